@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, crf_quality, ftrl, packing, sharding, simhash, suffix_dedup, trie_bpe
+from . import cover_tree, crf_quality, ftrl, ngram_lm, packing, sharding, simhash, suffix_dedup, trie_bpe
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op3_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -53,7 +57,7 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_shards, op2_simhash, op3_line_labels, op5_trie_bpe, op7_packing, op8_cover_tree, op9_ftrl, op10_suffix_array)
+    f.__name__: f for f in (op1_shards, op2_simhash, op3_line_labels, op4_language_model, op5_trie_bpe, op7_packing, op8_cover_tree, op9_ftrl, op10_suffix_array)
 }
 
 #: In DuckDB's SQL, of the queries that it can express.
