@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, crf_quality, ftrl, ngram_lm, packing, sharding, simhash, suffix_dedup, trie_bpe
+from . import compact_windows, cover_tree, crf_quality, ftrl, ngram_lm, packing, sharding, simhash, suffix_dedup, trie_bpe
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op5_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.near_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), vocabulary(), 2048)
 
@@ -57,7 +61,7 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_shards, op2_simhash, op3_line_labels, op4_language_model, op5_trie_bpe, op7_packing, op8_cover_tree, op9_ftrl, op10_suffix_array)
+    f.__name__: f for f in (op1_shards, op2_simhash, op3_line_labels, op4_language_model, op5_trie_bpe, op6_compact_windows, op7_packing, op8_cover_tree, op9_ftrl, op10_suffix_array)
 }
 
 #: In DuckDB's SQL, of the queries that it can express.
