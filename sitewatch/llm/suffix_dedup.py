@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -227,7 +228,8 @@ def segment_bounds(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.
     return key, lo, hi, own | (place[0] != place[1])
 
 
-FIELDS = (("key", "<u8"), ("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("lo", "<i8"), ("hi", "<i8"), ("flags", "u1"))
+#: A segment as it travels; it is known by 48 bits of its key and 64 of its content.
+FIELDS = (("key_a", "<u4"), ("key_b", "<u2"), ("h", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("size", "<u4"), ("flags", "u1"))
 #: Of a segment: equal to an earlier one of its task; may repeat within itself.
 AGAIN, OWN = 1, 2
 
@@ -244,7 +246,11 @@ def _unblob(blobs: list[bytes]) -> dict[str, np.ndarray]:
         for k, d in FIELDS:
             out[k].append(np.frombuffer(x, d, n, at))
             at += n * np.dtype(d).itemsize
-    return {k: np.concatenate(v) for k, v in out.items()}
+    cols = {k: np.concatenate(v) for k, v in out.items()}
+    cols["key"] = cols.pop("key_a").astype(np.uint64) | (cols.pop("key_b").astype(np.uint64) << np.uint64(32))
+    cols["lo"] = cols["lo"].astype(np.int64)
+    cols["hi"] = cols["lo"] + cols.pop("size")
+    return cols
 
 
 def _by_doc(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, ask: bool, key: np.ndarray | None = None) -> pa.Table:
@@ -255,7 +261,7 @@ def _by_doc(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, ask: bool, key: np.
         lo, hi, doc = _merge(doc, lo, hi)
     cuts = np.flatnonzero(np.diff(doc)) + 1
     offsets = np.concatenate(([0], cuts, [len(doc)])).astype(np.int32) if len(doc) else np.zeros(1, np.int32)
-    keys = (key[order].view(np.int64) if key is not None else np.zeros(len(doc), np.int64))
+    keys = (key[order].astype(np.int64) if key is not None else np.zeros(len(doc), np.int64))
     lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (lo, hi, keys)]
     heads = doc[offsets[:-1]]
     return pa.table([pa.array(heads, pa.int64()), *lists, pa.array(np.full(len(heads), ask))], names=["doc_id", "lo", "hi", "key", "ask"])
@@ -274,7 +280,7 @@ def _merge(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
 SPANS = "doc_id bigint, lo array<bigint>, hi array<bigint>, key array<bigint>, ask boolean"
 
 
-def repeated_spans(docs: DataFrame, width: int = 100, shard_bytes: int = 64 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = 100, shard_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, lo, hi): lists of byte spans covered by ``width``-byte strings that begin earlier as well.
 
     ``docs``: doc_id bigint, data binary. Earlier is by (doc_id, start); rows that share a doc_id
@@ -290,15 +296,17 @@ def repeated_spans(docs: DataFrame, width: int = 100, shard_bytes: int = 64 << 2
     shards = max(12, -(-total // shard_bytes))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, held, size = xxhash.xxh3_128_digest, [], 0
+        digest, held, size = xxhash.xxh3_64_intdigest, [], 0
 
         def packed() -> pa.RecordBatch:
-            cols = {k: np.concatenate([x[k] for x in held]) for k, _ in FIELDS}
-            order = np.lexsort((cols["lo"], cols["doc"], cols["h2"], cols["h1"]))
-            cols = {k: v[order] for k, v in cols.items()}
-            cols["flags"] |= np.concatenate(([False], (np.diff(cols["h1"]) == 0) & (np.diff(cols["h2"]) == 0) & ((np.diff(cols["doc"]) != 0) | (np.diff(cols["lo"]) != 0)))).astype(np.uint8)
-            shard = ((cols["key"] >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
-            by = np.argsort(shard, kind="stable")
+            cols = {k: np.concatenate([x[k] for x in held]) for k in ("key", "h", "doc", "lo", "hi", "flags")}
+            order = np.lexsort((cols["lo"], cols["doc"], cols["h"], cols["key"]))
+            key, h, doc, lo = (cols[k][order] for k in ("key", "h", "doc", "lo"))
+            again = (np.diff(key) == 0) & (np.diff(h) == 0) & ((np.diff(doc) != 0) | (np.diff(lo) != 0))
+            cols["flags"][order[1:][again]] |= AGAIN
+            cols |= {"key_a": cols["key"] & np.uint64(0xFFFFFFFF), "key_b": cols["key"] >> np.uint64(32), "size": cols["hi"] - cols["lo"]}
+            shard = ((cols["key"] >> np.uint64(8)) % np.uint64(shards)).astype(np.int64)
+            by = np.lexsort((cols["lo"], cols["doc"], shard))
             parts = [p for p in np.split(by, np.searchsorted(shard[by], np.arange(1, shards))) if len(p)]
             return pa.RecordBatch.from_arrays([pa.array([int(shard[p[0]]) for p in parts], pa.int32()), pa.array([_blob(cols, p) for p in parts], pa.binary())], ["shard", "blob"])
 
@@ -306,8 +314,8 @@ def repeated_spans(docs: DataFrame, width: int = 100, shard_bytes: int = 64 << 2
             for doc, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 key, lo, hi, own = segment_bounds(data or b"", width)
                 if len(key) and doc is not None:
-                    h = np.frombuffer(b"".join([digest(data[i:j]) for i, j in zip(lo.tolist(), hi.tolist())]), "<u8").reshape(-1, 2)
-                    held.append({"key": key, "h1": h[:, 0], "h2": h[:, 1], "doc": np.full(len(key), doc), "lo": lo, "hi": hi, "flags": np.where(own, OWN, 0).astype(np.uint8)})
+                    h = np.array([digest(data[i:j]) for i, j in zip(lo.tolist(), hi.tolist())], np.uint64)
+                    held.append({"key": key >> np.uint64(16), "h": h, "doc": np.full(len(key), doc), "lo": lo, "hi": hi, "flags": np.where(own, OWN, 0).astype(np.uint8)})
                     size += len(data)
                     if size > 32 << 20:
                         yield packed()
@@ -319,10 +327,10 @@ def repeated_spans(docs: DataFrame, width: int = 100, shard_bytes: int = 64 << 2
         c = _unblob(group.column("blob").to_pylist())
         again = c["flags"] & AGAIN > 0
         # the first of each class of equal segments, then those that may share a string with another class or hold one twice
-        order = np.lexsort((c["lo"], c["doc"], c["h2"], c["h1"]))
+        order = np.lexsort((c["lo"], c["doc"], c["h"], c["key"]))
         order = order[~again[order]]
-        h1, h2, doc, lo = (c[k][order] for k in ("h1", "h2", "doc", "lo"))
-        same = (np.diff(h1) == 0) & (np.diff(h2) == 0)
+        key, h, doc, lo = (c[k][order] for k in ("key", "h", "doc", "lo"))
+        same = (np.diff(key) == 0) & (np.diff(h) == 0)
         moved = np.concatenate(([False], same & ((np.diff(doc) != 0) | (np.diff(lo) != 0))))
         first = order[np.concatenate(([True], ~same))] if len(order) else order
         by = first[np.argsort(c["key"][first], kind="stable")]
@@ -341,10 +349,12 @@ def repeated_spans(docs: DataFrame, width: int = 100, shard_bytes: int = 64 << 2
     asked = spans.where("ask").groupBy("doc_id").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("lo", "hi", "key")])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor().decompress
         for b in batches:
             rows: list[tuple] = []
-            for doc, data, lo, hi, key in zip(*(b.column(i).to_pylist() for i in range(5))):
-                rows += [(((k & (1 << 64) - 1) >> 20) % shards, k, doc, i, data[i:j]) for i, j, k in zip(lo, hi, key) if j <= len(data)]
+            for doc, pressed, lo, hi, key in zip(*(b.column(i).to_pylist() for i in range(5))):
+                data = unpress(pressed)
+                rows += [((k >> 8) % shards, k, doc, i, data[i:j]) for i, j, k in zip(lo, hi, key) if j <= len(data)]
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["shard", "key", "doc", "lo", "data"])
 
@@ -359,21 +369,33 @@ def repeated_spans(docs: DataFrame, width: int = 100, shard_bytes: int = 64 << 2
         start = lo[segment] + at - heads[segment]
         return _by_doc(doc[segment], start, start + width, False)
 
-    found = docs.join(asked, "doc_id").select("doc_id", "data", "lo", "hi", "key").mapInArrow(fetch, "shard int, key bigint, doc bigint, lo bigint, data binary")
+    found = _pressed(docs).join(asked, "doc_id").select("doc_id", "data", "lo", "hi", "key").mapInArrow(fetch, "shard int, key bigint, doc bigint, lo bigint, data binary")
     judged = found.groupBy("shard").applyInArrow(judge, SPANS)
     spans = spans.where("not ask").unionByName(judged)
     return spans.groupBy("doc_id").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("lo", "hi")])
 
 
+def _pressed(data: DataFrame) -> DataFrame:
+    """(doc_id, data) with the bytes compressed: two joins by doc_id move them."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press(x) for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "data"])
+
+    return data.mapInArrow(each, data.schema)
+
+
 def without_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): each text's bytes without the repeated ones; a null text is empty."""
     data = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor().decompress
         for b in batches:
             rows = []
-            for text, lo, hi in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+            for pressed, lo, hi in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+                text = unpress(pressed)
                 if not lo:
                     rows.append((len(text), 0, 0, text))
                     continue
@@ -385,7 +407,7 @@ def without_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
             cols = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = data.join(repeated_spans(data, width), "doc_id", "left").select("doc_id", "data", "lo", "hi")
+    joined = _pressed(data).join(repeated_spans(data, width), "doc_id", "left").select("doc_id", "data", "lo", "hi")
     return joined.mapInArrow(remove, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
