@@ -19,7 +19,7 @@ from .common import checkpointed
 #: Pseudo-counts of the unigram model in a context, and quantisation steps a decade.
 PRIOR, STEPS = 100.0, 24
 END, BEGIN = b"", b" "
-FOLLOW_BITS = 40
+FOLLOW_BITS, CONTEXT_BITS, SALTS = 40, 48, 8
 
 
 class EliasFano:
@@ -130,8 +130,9 @@ class Batch:
         self.counts = np.bincount(self.word[learns], minlength=size)
         pairs, self.pair = np.unique(before * size + self.word, return_inverse=True)
         self.pair_counts = np.bincount(self.pair[learns], minlength=len(pairs))
-        self.context, self.follow = self.hash[pairs // size], self.hash[pairs % size] >> np.uint64(64 - FOLLOW_BITS)
-        spread = ((self.context ^ (self.follow * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)
+        self.context = self.hash[pairs // size] >> np.uint64(64 - CONTEXT_BITS)
+        self.follow = self.hash[pairs % size] >> np.uint64(64 - FOLLOW_BITS)
+        spread = (self.context * np.uint64(SALTS) + self.follow % np.uint64(SALTS)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)
         self.word_shard, self.pair_shard = self.hash % np.uint64(shards), spread % np.uint64(shards)
         self.words_by = np.lexsort((self.hash, self.word_shard))
         self.pairs_by = np.lexsort((self.follow, self.context, self.pair_shard))
@@ -154,6 +155,17 @@ def _wide(low: bytes, high: bytes) -> np.ndarray:
     return out
 
 
+def _short(hashes: np.ndarray, bits: int) -> bytes:
+    """The low ``bits`` of each hash."""
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : bits // 8]).tobytes()
+
+
+def _long(data: bytes, bits: int) -> np.ndarray:
+    out = np.zeros((len(data) * 8 // bits, 8), np.uint8)
+    out[:, : bits // 8] = np.frombuffer(data, np.uint8).reshape(-1, bits // 8)
+    return out.view("<u8").ravel()
+
+
 def _pack(docs: DataFrame, batches_wanted: int) -> DataFrame:
     """(batch, blob): documents by a hash of their row, some hundreds in a compressed blob."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +196,7 @@ def _unpack(group: pa.Table, shards: int) -> tuple[pa.Table, Batch]:
     return rows, Batch(rows.column("text").to_pylist(), rows.column("train").to_numpy(zero_copy_only=False).astype(bool), shards)
 
 
-def language_model_scores(docs: DataFrame, batch_bytes: int = 24 << 20, prior: float = PRIOR) -> DataFrame:
+def language_model_scores(docs: DataFrame, batch_bytes: int = 12 << 20, prior: float = PRIOR) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text; a null text is empty.
 
     Documents whose crc32(doc_id as text) mod 7 is 2 teach nothing. A batch of documents (dealt by a
@@ -194,12 +206,12 @@ def language_model_scores(docs: DataFrame, batch_bytes: int = 24 << 20, prior: f
     weights of pairs. With them a batch scores its documents by the pair's share in its context,
     smoothed towards the unigram model by ``prior`` pseudo-counts.
 
-    No shard or batch depends on a single word's frequency: a pair's two words choose its shard.
-    Words are known by 64 bits of hash, followers by 40 in their context.
+    A context's pairs lie in up to ``SALTS`` shards by their second word, and a batch sends a pair once
+    however often it has it. Words are known by 64 bits of hash, contexts by 48 and followers by 40.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     wanted = max(6, -(-total // batch_bytes))
-    shards = max(6, -(-total // (2 * batch_bytes)))
+    shards = max(6, -(-total // batch_bytes))
     packed = _pack(docs, wanted)
 
     def ask(group: pa.Table) -> pa.Table:
@@ -208,11 +220,12 @@ def language_model_scores(docs: DataFrame, batch_bytes: int = 24 << 20, prior: f
         number = group.column("batch")[0].as_py()
         for s in range(shards):
             words, pairs = b.of_shard(s)
-            follow = np.ascontiguousarray(b.follow[pairs].view(np.uint8).reshape(-1, 8)[:, : FOLLOW_BITS // 8])
+            if not len(words) and not len(pairs):
+                continue
             context = b.context[pairs]
             new = np.concatenate(([True], context[1:] != context[:-1])) if len(pairs) else np.zeros(0, bool)
             run = np.diff(np.append(np.flatnonzero(new), len(pairs)))
-            rows.append((s, number, b.hash[words].tobytes(), *_narrow(b.counts[words]), context[new].tobytes(), *_narrow(run), follow.tobytes(), *_narrow(b.pair_counts[pairs])))
+            rows.append((s, number, b.hash[words].tobytes(), *_narrow(b.counts[words]), _short(context[new], CONTEXT_BITS), *_narrow(run), _short(b.follow[pairs], FOLLOW_BITS), *_narrow(b.pair_counts[pairs])))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] * 2 + [pa.binary()] * 9)], names=ASK)
 
     def serve(group: pa.Table) -> pa.Table:
@@ -222,10 +235,8 @@ def language_model_scores(docs: DataFrame, batch_bytes: int = 24 << 20, prior: f
         known, at = np.unique(words, return_inverse=True)
         totals = np.bincount(at, counts, minlength=len(known)).astype(np.int64)
         answers = totals[at]
-        context = np.concatenate([np.repeat(np.frombuffer(r["contexts"], "<u8"), _wide(r["runs"], r["runs_big"])) for r in rows])
-        follow = np.zeros((len(context), 8), np.uint8)
-        follow[:, : FOLLOW_BITS // 8] = np.frombuffer(b"".join(r["follow"] for r in rows), np.uint8).reshape(-1, FOLLOW_BITS // 8)
-        follow = follow.view("<u8").ravel()
+        context = np.concatenate([np.repeat(_long(r["contexts"], CONTEXT_BITS), _wide(r["runs"], r["runs_big"])) for r in rows])
+        follow = np.concatenate([_long(r["follow"], FOLLOW_BITS) for r in rows])
         pair_counts = np.concatenate([_wide(r["pair_counts"], r["pair_counts_big"]) for r in rows])
         order = np.lexsort((follow, context))
         order = order[pair_counts[order] > 0]
