@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def pressed(rows: DataFrame, column: str) -> DataFrame:
+    """(doc_id, column) with the column's bytes compressed, for joins that move whole texts; no null may be in it."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press(x) for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", column])
+
+    rows = rows.select("doc_id", column)
+    return rows.mapInArrow(each, rows.schema)
+
+
 def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[str | Column], value: Column, name: str) -> DataFrame:
     """Add ``name``: the running sum of ``value`` within ``keys``, in the order (bucket, order).
 

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, pressed
 
 GRAM = 32
 #: Bytes that a bucket queue holds in memory before it writes runs to an unnamed scratch file.
@@ -369,22 +369,12 @@ def repeated_spans(docs: DataFrame, width: int = 100, shard_bytes: int = 8 << 20
         start = lo[segment] + at - heads[segment]
         return _by_doc(doc[segment], start, start + width, False)
 
-    found = _pressed(docs).join(asked, "doc_id").select("doc_id", "data", "lo", "hi", "key").mapInArrow(fetch, "shard int, key bigint, doc bigint, lo bigint, data binary")
+    found = pressed(docs, "data").join(asked, "doc_id").select("doc_id", "data", "lo", "hi", "key").mapInArrow(fetch, "shard int, key bigint, doc bigint, lo bigint, data binary")
     judged = found.groupBy("shard").applyInArrow(judge, SPANS)
     spans = spans.where("not ask").unionByName(judged)
     return spans.groupBy("doc_id").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("lo", "hi")])
 
 
-def _pressed(data: DataFrame) -> DataFrame:
-    """(doc_id, data) with the bytes compressed: two joins by doc_id move them."""
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press(x) for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "data"])
-
-    return data.mapInArrow(each, data.schema)
-
-
 def without_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): each text's bytes without the repeated ones; a null text is empty."""
     data = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"))
@@ -407,7 +397,7 @@ def without_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
             cols = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = _pressed(data).join(repeated_spans(data, width), "doc_id", "left").select("doc_id", "data", "lo", "hi")
+    joined = pressed(data, "data").join(repeated_spans(data, width), "doc_id", "left").select("doc_id", "data", "lo", "hi")
     return joined.mapInArrow(remove, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
