@@ -44,7 +44,7 @@ def fit_ftrl(texts: list[str | None], labels: np.ndarray, epochs: int = 3, alpha
         slot, ends = features(texts[at : at + 500], slots)
         for a, b in zip(ends[:-1], ends[1:]):
             i, count = np.unique(slot[a:b], return_counts=True)
-            rows.append((np.append(i, slots), np.append(8.0 * count / max(1, b - a), 1.0)))
+            rows.append((np.append(i, slots).astype(np.int32), np.append(8.0 * count / max(1, b - a), 1.0).astype(np.float32)))
 
     def weights(i: np.ndarray | slice) -> np.ndarray:
         return np.where(np.abs(z[i]) <= l1, 0.0, -(z[i] - np.sign(z[i]) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2))
@@ -74,7 +74,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "quality",
     return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("doc_id", "text", "y")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 16) -> np.ndarray:
     """Mean of the weights that ``parts`` tasks learn, each from its share of the sample; a slot is one row, so at most 2^18 + 1 of them come back.
 
     Without a labelled row all weights are zero and every score is one half.

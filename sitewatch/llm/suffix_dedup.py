@@ -317,7 +317,7 @@ def repeated_spans(docs: DataFrame, width: int = 100, shard_bytes: int = 8 << 20
                     h = np.array([digest(data[i:j]) for i, j in zip(lo.tolist(), hi.tolist())], np.uint64)
                     held.append({"key": key >> np.uint64(16), "h": h, "doc": np.full(len(key), doc), "lo": lo, "hi": hi, "flags": np.where(own, OWN, 0).astype(np.uint8)})
                     size += len(data)
-                    if size > 32 << 20:
+                    if size > 12 << 20:
                         yield packed()
                         held, size = [], 0
         if held:
