@@ -167,7 +167,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     linked = components(near_pairs(classes, radius))  # by fingerprint value
     first = linked.join(classes, linked.node == classes.fp).groupBy("component").agg(F.min("first").alias("component_id"))
     named = linked.join(first, "component").select(F.col("node").alias("fp"), "component_id")
-    classes = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # a table of its own: the last join then shuffles both sides, and Spark can split a hot fingerprint's rows
+    classes = checkpointed(classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
