@@ -10,29 +10,39 @@ from sitewatch.llm.common import checkpointed, table
 from sitewatch.llm.queries import vocabulary
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python a thousand at a time: the stages share each executor's memory, and buffers stay with it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the line labels reject go."""
+    small_batches(spark)
     return crf_quality.keep_content(docs, table(spark, sf_dir, "labels"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the classifier's threshold go."""
+    small_batches(spark)
     return ftrl.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the smallest doc_id stays."""
+    small_batches(spark)
     return simhash.keep_first(docs)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 100 bytes or more that stand earlier in the corpus leave their texts."""
+    small_batches(spark)
     short = suffix_dedup.shortened(docs)
     return short.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in short.columns else short
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all texts with their sequences of at most 2048 tokens."""
+    small_batches(spark)
     return packing.packed_documents(docs, vocabulary())
 
 

@@ -177,27 +177,40 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None = None, share: float
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, cols = b.column(1).to_pylist(), [[] for _ in range(8)]
-            for at in range(0, len(texts), 500):
-                some = [t or "" for t in texts[at : at + 500]]
-                tokens = [t.encode("utf-8", "replace").split() for t in some]
-                for t, ws, repeat in zip(some, tokens, repeated_words(tokens).tolist()):
-                    x, words, dup = lines_of(t)
-                    n = len(ws)
-                    failed = n < 10 or 100 * repeat > 20 * n
-                    content = float(words[field.viterbi(x) == 1].sum()) / n if n else 0.0
-                    for c, value in zip(cols, (n, len(t) - sum(t.count(chr(s)) for s in SPACES), sum(t.count(chr(s)) for s in SYMBOLS), dup, repeat, failed, content, not failed and content >= share)):
-                        c.append(value)
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
+            cols = judged(b.column(1).to_pylist(), field, share)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", *NAMES])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, content_share double, kept boolean")
 
 
+def judged(texts: list[str | None], field: LineField, share: float) -> list[list]:
+    """The columns ``NAMES`` of some texts."""
+    cols: list[list] = [[] for _ in NAMES]
+    for at in range(0, len(texts), 500):
+        some = [t or "" for t in texts[at : at + 500]]
+        tokens = [t.encode("utf-8", "replace").split() for t in some]
+        for t, ws, repeat in zip(some, tokens, repeated_words(tokens).tolist()):
+            x, words, dup = lines_of(t)
+            n = len(ws)
+            failed = n < 10 or 100 * repeat > 20 * n
+            content = float(words[field.viterbi(x) == 1].sum()) / n if n else 0.0
+            for c, value in zip(cols, (n, len(t) - sum(t.count(chr(s)) for s in SPACES), sum(t.count(chr(s)) for s in SYMBOLS), dup, repeat, failed, content, not failed and content >= share)):
+                c.append(value)
+    return cols
+
+
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept")
 
 
-def keep_content(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
-    return docs.join(quality_rules(docs, labels).where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+def keep_content(docs: DataFrame, labels: DataFrame | None = None, share: float = CONTENT_SHARE) -> DataFrame:
+    """The rows that the rules keep, with all their columns; rows are judged where they lie, without a shuffle."""
+    field = train(docs, labels) if labels is not None else UNTRAINED
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            yield b.filter(pa.array(judged(texts, field, share)[-1], pa.bool_()))
+
+    return docs.mapInArrow(each, docs.schema)

@@ -99,27 +99,36 @@ def scored(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2 MB
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
         for b in batches:
-            texts, scores = b.column(1).to_pylist(), []
-            for at in range(0, len(texts), 500):
-                slot, ends = features(texts[at : at + 500])
-                sums = np.concatenate(([0.0], np.cumsum(w[slot])))
-                mean = 8.0 * (sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(1, np.diff(ends))
-                scores.append(1 / (1 + np.exp(-np.clip(mean + w[-1], -35, 35))))
-            score = np.concatenate(scores) if scores else np.zeros(0)
+            score = scores_of(b.column(1).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
+def scores_of(texts: list[str | None], w: np.ndarray) -> np.ndarray:
+    scores = [np.zeros(0)]
+    for at in range(0, len(texts), 500):
+        slot, ends = features(texts[at : at + 500])
+        sums = np.concatenate(([0.0], np.cumsum(w[slot])))
+        mean = 8.0 * (sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(1, np.diff(ends))
+        scores.append(1 / (1 + np.exp(-np.clip(mean + w[-1], -35, 35))))
+    return np.concatenate(scores)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted); labels teach only where crc32(doc_id as text) mod 4 is not 2."""
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
     return scored(docs, train(docs, labels)).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents predicted to be good, with all their columns."""
-    good = quality_scores(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi")
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows predicted to be good, with all their columns; rows are scored where they lie, without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # 2 MB
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            yield b.filter(pa.array(scores_of(texts, shared.value) >= threshold))
+
+    return docs.mapInArrow(each, docs.schema)
