@@ -26,7 +26,8 @@ class BucketQueue:
     Beyond ``QUEUE_MEMORY`` the buffered runs go to one unnamed scratch file, which ends with the queue.
     """
 
-    def __init__(self, symbols: int):
+    def __init__(self, symbols: int, kind: type = np.int64):
+        self.kind = np.dtype(kind)
         self.memory: list[list[np.ndarray]] = [[] for _ in range(symbols)]
         self.disk: list[list[tuple[int, int]]] = [[] for _ in range(symbols)]
         self.held, self.file = 0, None
@@ -58,11 +59,11 @@ class BucketQueue:
         runs = []
         for at, n in self.disk[symbol]:
             self.file.seek(at)
-            runs.append(np.frombuffer(self.file.read(8 * n), np.int64))
+            runs.append(np.frombuffer(self.file.read(self.kind.itemsize * n), self.kind))
         runs += self.memory[symbol]
         self.held -= sum(r.nbytes for r in self.memory[symbol])
         self.disk[symbol], self.memory[symbol] = [], []
-        return np.concatenate(runs) if runs else np.zeros(0, np.int64)
+        return np.concatenate(runs) if runs else np.zeros(0, self.kind)
 
 
 def _star_order(t: np.ndarray, stars: np.ndarray, depth: int) -> np.ndarray:
@@ -111,16 +112,18 @@ def induced_suffix_array(t: np.ndarray, depth: int = 1 << 62) -> np.ndarray:
     n, symbols = len(t), int(t.max()) + 1
     if n == 1:
         return np.zeros(1, np.int64)
+    kind = np.int32 if n < 1 << 31 else np.int64  # of positions
     step = np.diff(t)
-    follow = np.where(step != 0, np.arange(n - 1), n)
+    follow = np.where(step != 0, np.arange(n - 1, dtype=kind), kind(n - 1))
     follow = np.minimum.accumulate(follow[::-1])[::-1]
     small = np.ones(n, bool)
     small[:-1] = step[np.minimum(follow, n - 2)] > 0
+    del step, follow
     stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    ordered = _star_order(t, stars, depth)
+    ordered = _star_order(t, stars, depth).astype(kind)
     seeds = np.split(ordered, np.searchsorted(t[ordered], np.arange(1, symbols)))
 
-    queue, large = BucketQueue(symbols), []
+    queue, large = BucketQueue(symbols, kind), []
     for c in range(symbols):
         got, wave = [], queue.pop(c)
         while len(wave):
@@ -130,11 +133,11 @@ def induced_suffix_array(t: np.ndarray, depth: int = 1 << 62) -> np.ndarray:
             here = t[before] == c
             queue.push(t[before[~here]], before[~here])
             wave = before[here]
-        large.append(np.concatenate(got) if got else np.zeros(0, np.int64))
+        large.append(np.concatenate(got) if got else np.zeros(0, kind))
         before = seeds[c][seeds[c] > 0] - 1
         queue.push(t[before], before)
 
-    queue, out = BucketQueue(symbols), []
+    queue, out = BucketQueue(symbols, kind), []
     for c in range(symbols - 1, -1, -1):
         got, wave = [], queue.pop(c)
         while len(wave):
@@ -150,7 +153,7 @@ def induced_suffix_array(t: np.ndarray, depth: int = 1 << 62) -> np.ndarray:
         queue.push(t[before], before)
         out += [*got, own]
         large[c] = None
-    return np.concatenate([np.array([n - 1]), np.concatenate(out)[::-1]])
+    return np.concatenate([*out, np.array([n - 1], kind)])[::-1]
 
 
 def earlier_repeats(segments: list[bytes], doc: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
@@ -159,13 +162,12 @@ def earlier_repeats(segments: list[bytes], doc: np.ndarray, start: np.ndarray, w
     text = np.frombuffer(b"\0".join(segments) + b"\0\0", np.uint8)
     lengths = np.array([len(s) for s in segments], np.int64)
     heads = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
-    t = text.astype(np.int64) + 2
+    t = text.astype(np.int16) + np.int16(2)
     t[heads + lengths] = 1  # ends of segments, whatever bytes they hold
     t[-1] = 0
     sa = induced_suffix_array(t, width)
-    segment = np.repeat(np.arange(len(segments)), lengths + 1)
-    inside = np.arange(len(segment)) - heads[segment]
-    valid = inside + width <= lengths[segment]
+    segment = np.repeat(np.arange(len(segments), dtype=np.int32), lengths + 1)
+    valid = np.arange(len(segment)) + width <= (heads + lengths)[segment]
     sa = sa[sa < len(segment)]
     sa = sa[valid[sa]]
     flags = np.zeros(len(segment), bool)
@@ -176,15 +178,13 @@ def earlier_repeats(segments: list[bytes], doc: np.ndarray, start: np.ndarray, w
         same &= t[sa[1:] + k] == t[sa[:-1] + k]
         if not k % 8 and not same.any():
             return flags
-    rank = np.lexsort((inside + start[segment], doc[segment]))
-    place = np.empty(len(segment), np.int64)
-    place[rank] = np.arange(len(segment))
-    # equal (doc, start) pairs are one place
-    key = np.stack((doc[segment][rank], (inside + start[segment])[rank]))
-    place[rank] = np.concatenate(([0], np.cumsum((np.diff(key, axis=1) != 0).any(0))))
+    # a suffix's place in the corpus as one number: equal (doc, start) pairs are one place
+    number = np.unique(doc, return_inverse=True)[1]
+    base = number * (int((start + lengths).max()) + 1) + start - heads
+    place = base[segment[sa]] + sa
     group = np.concatenate(([0], np.cumsum(~same)))
-    first = np.minimum.reduceat(place[sa], np.concatenate(([0], np.flatnonzero(~same) + 1)))
-    flags[sa[place[sa] > first[group]]] = True
+    first = np.minimum.reduceat(place, np.concatenate(([0], np.flatnonzero(~same) + 1)))
+    flags[sa[place > first[group]]] = True
     return flags
 
 
