@@ -14,66 +14,80 @@ from .common import checkpointed, components
 
 #: Most pivots; with 64 to 1,024 components they stay within 256 MB.
 PIVOTS = 32_768
-LEAF = 64
+LEAF = 256
+#: Components of vectors on one side of a task: 16,384 rows of 64 components, 1,024 of 1,024.
+SIDE = 1 << 20
+#: More than the rounding of a distance that comes from a dot product.
+SLACK = 1e-6
+
+
+def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of unit vectors ``x`` from the unit vector ``c``."""
+    return np.sqrt(np.maximum(2 - 2 * (x @ c), 0))
 
 
 class CoverTree:
     """Nested levels whose radii halve: every point of a node lies within the node's radius of its centre.
 
-    Nodes are slices of one permuted matrix. A node's centre is also the centre of its first child.
+    Nodes are slices of one permuted matrix of unit vectors. A node's centre is also the centre of its first child.
     """
 
     def __init__(self, x: np.ndarray):
         self.order, self.lo, self.hi, self.center, self.radius, self.children = np.arange(len(x)), [], [], [], [], []
-        self.x = x
         if len(x):
-            d = np.sqrt(np.maximum(((x - x[0]) ** 2).sum(1), 0))
-            self._node(np.arange(len(x)), 0, d, float(d.max()), 0)
-            self.x = x[self.order]
+            d = _distances(x, x[0])
+            self._node(x, np.arange(len(x)), x[0], d, float(d.max()), 0)
+        self.x = x[self.order]
 
-    def _node(self, rows: np.ndarray, center: int, d: np.ndarray, scale: float, at: int) -> int:
-        me = len(self.lo)
+    def _node(self, x: np.ndarray, rows: np.ndarray, center: np.ndarray, d: np.ndarray, scale: float, at: int) -> int:
+        me, radius = len(self.lo), float(d.max())
         self.lo.append(at)
         self.hi.append(at + len(rows))
-        self.center.append(self.x[center])
-        self.radius.append(float(d.max()))
+        self.center.append(center)
+        self.radius.append(radius)
         self.children.append([])
         self.order[at : at + len(rows)] = rows
-        if len(rows) <= LEAF or d.max() == 0:
+        if len(rows) <= LEAF or radius < SLACK:
             return me
         half = scale / 2
-        while half >= d.max():
+        while half >= radius:
             half /= 2
         owner, nearest, centers = np.zeros(len(rows), np.int64), d.copy(), [center]
-        while nearest.max() > half and len(centers) < 64:  # the farthest point is a centre of the next level
-            far = int(nearest.argmax())
-            centers.append(int(rows[far]))
-            new = np.sqrt(np.maximum(((self.x[rows] - self.x[centers[-1]]) ** 2).sum(1), 0))
+        while nearest.max() > half and len(centers) < 64 and LEAF * len(centers) < 2 * len(rows):  # the farthest point is a centre of the next level
+            centers.append(x[int(nearest.argmax())])
+            new = _distances(x, centers[-1])
             closer = new < nearest
             owner[closer], nearest[closer] = len(centers) - 1, new[closer]
         for k, c in enumerate(centers):
-            own = owner == k
-            if own.any():
-                self.children[me].append(self._node(rows[own], c, nearest[own], half, at))
-                at += int(own.sum())
+            own = np.flatnonzero(owner == k)
+            if len(own):
+                self.children[me].append(self._node(x[own], rows[own], c, nearest[own], half, at))
+                at += len(own)
         return me
 
 
-def node_pairs(a: CoverTree, b: CoverTree, limit: float) -> Iterator[tuple[int, int]]:
-    """Pairs of leaves that may hold points within ``limit``: all others are pruned by the covering radii."""
+def node_pairs(a: CoverTree, b: CoverTree, limit: float) -> Iterator[tuple[int, int, bool]]:
+    """(node, node, all): pairs that may hold points within ``limit``; all others are pruned by the covering radii.
+
+    all: the radii prove that every point of one is within ``limit`` of every point of the other. Where
+    they don't, the nodes are leaves. Of one tree with itself, each unordered pair comes once.
+    """
     stack = [(0, 0)] if a.lo and b.lo else []
     while stack:
         i, j = stack.pop()
-        if a is b and i > j and a.lo[i] >= b.hi[j]:
+        if a is b and a.lo[i] >= b.hi[j]:
             continue
-        if np.sqrt(((a.center[i] - b.center[j]) ** 2).sum()) > limit + a.radius[i] + b.radius[j] + 1e-9:
+        apart, radii = float(_distances(a.center[i][None, :], b.center[j])[0]), a.radius[i] + b.radius[j]
+        if apart > limit + radii + SLACK:
             continue
-        if a.children[i] and (not b.children[j] or a.radius[i] >= b.radius[j]):
+        if apart + radii < limit - SLACK and (a is not b or i == j or a.hi[i] <= b.lo[j]):
+            yield i, j, True
+        elif a.children[i] and (not b.children[j] or a.radius[i] >= b.radius[j]):
             stack += [(c, j) for c in a.children[i]]
         elif b.children[j]:
             stack += [(i, c) for c in b.children[j]]
         else:
-            yield i, j
+            yield i, j, False
 
 
 def _unit(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -81,18 +95,20 @@ def _unit(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def links(vectors: DataFrame, threshold: float = 0.9, rows_per_block: int = 4096) -> tuple[DataFrame, DataFrame]:
+def links(vectors: DataFrame, threshold: float = 0.9, rows_per_block: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(per vector number of direct links, edges that span the components) among ``vectors``.
 
     ``vectors``: rep long, weight long, v array<double> of one length, all different as lists. The
     pivots, about one for every half block of rows, are the centres of the first level. A vector goes
-    to the cell of its nearest pivot and visits the cells that a hyperplane bound can't exclude; cells
-    larger than ``rows_per_block`` are cut into blocks by hash. One task joins a block of a cell's
+    to the cell of its nearest pivot and visits the cells that a hyperplane bound can't exclude, but of
+    two cells only one's vectors visit the other. Cells larger than ``rows_per_block`` (``SIDE``
+    components unless given) are cut into blocks by hash. One task joins a block of a cell's
     own vectors with a block of its own or visiting vectors: it builds a cover tree on each side,
     walks both at once and checks what remains by cosine in double precision.
     """
     spark, limit = vectors.sparkSession, float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    n = vectors.count()
+    n, width = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    rows_per_block = rows_per_block or max(64, SIDE // width)
     share = min(1.0, min(PIVOTS, 2.0 * n / rows_per_block) / max(1, n))
     pivots = vectors.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("v").limit(2 * PIVOTS).collect()
     centres = np.array([r["v"] for r in pivots], float)
@@ -115,6 +131,8 @@ def links(vectors: DataFrame, threshold: float = 0.9, rows_per_block: int = 4096
                     apart = 2 * np.sqrt(np.maximum(2 - 2 * c[own] @ c.T, 0))
                     row, cell = np.nonzero(gap <= limit * apart + 1e-9)
                     home = cell == own[row]
+                    visits = home | (((cell + own[row]) % 2 == 1) == (cell > own[row]))  # half of the cells, whichever the own one is
+                    row, cell, home = row[visits], cell[visits], home[visits]
                 took = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([took.column(0), took.column(1), took.column(2), pa.array(cell.astype(np.int32)), pa.array(home)], ["rep", "weight", "v", "cell", "home"])
 
@@ -157,19 +175,26 @@ def _task(g: pd.DataFrame, threshold: float, limit: float) -> pd.DataFrame:
             i = parent[i]
         return i
 
-    for i, j in node_pairs(ta, tb, limit):
+    for i, j, whole in node_pairs(ta, tb, limit):
         ra, rb = ta.order[ta.lo[i] : ta.hi[i]], tb.order[tb.lo[j] : tb.hi[j]]
-        cos = (raw[0][ra] @ raw[-1][rb].T) / norm[0][ra][:, None] / norm[-1][rb]
-        p, q = np.nonzero(cos >= threshold)
-        p, q = ra[p], rb[q] + base
-        if same:
-            once = p < q if i == j else p != q
-            p, q = p[once], q[once]
-        elif guests:  # a visiting vector's own cell sees the pair too: the smaller id's home counts it
-            once = reps[p] < reps[q]
-            p, q = p[once], q[once]
-        np.add.at(got, p, weight[q])
-        np.add.at(got, q, weight[p])
+        if whole:
+            got[ra] += weight[rb + base].sum()
+            if same and i == j:
+                got[ra] -= weight[ra]
+            else:
+                got[rb + base] += weight[ra].sum()
+            p, q = np.concatenate((ra, np.repeat(ra[:1], len(rb)))), np.concatenate((np.repeat(rb[:1], len(ra)), rb)) + base
+        else:
+            p, q = np.nonzero(ta.x[ta.lo[i] : ta.hi[i]] @ tb.x[tb.lo[j] : tb.hi[j]].T >= threshold - SLACK)
+            p, q = ra[p], rb[q]
+            if same and i == j:
+                p, q = p[p < q], q[p < q]
+            sure = np.concatenate([np.zeros(0, bool), *(  # cosine in double precision from the vectors as they are
+                (raw[0][p[k : k + 65_536]] * raw[-1][q[k : k + 65_536]]).sum(1) / norm[0][p[k : k + 65_536]] / norm[-1][q[k : k + 65_536]] >= threshold
+                for k in range(0, len(p), 65_536))])
+            p, q = p[sure], q[sure] + base
+            np.add.at(got, p, weight[q])
+            np.add.at(got, q, weight[p])
         if len(p):
             for k in np.unique(np.concatenate((p, q))).tolist():
                 top[k] = root(k)
