@@ -8,11 +8,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
 
+from sitewatch.llm import cover_tree
 from sitewatch.llm.queries import QUERIES, vocabulary
 
 SPACE = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -348,3 +350,39 @@ def test_passage_over_fifty_words_is_found(spark):
     got = {(r["doc_id"], r["other_id"]) for r in near_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert {tuple(sorted(p)) for p in got} <= {(2 * k, 2 * k + 1) for k in range(60)}
     assert len({tuple(sorted(p)) for p in got}) >= 54
+
+
+@pytest.mark.parametrize("guests", [0, 1])
+def test_cover_tree_blocks_against_all_pairs(guests):
+    """Scattered, grouped, tight and parallel vectors, within a block and between two."""
+    rng = np.random.default_rng(1)
+    c = rng.normal(size=(30, 16))
+    near = np.repeat(c, 20, 0) + rng.normal(size=(600, 16)) * rng.choice([0.01, 0.2, 0.3], (600, 1))
+    x = np.concatenate([rng.normal(size=(1500, 16)), near, c[0] + rng.normal(size=(500, 16)) * 0.05, c[1] * rng.uniform(0.5, 2, (400, 1))])
+    rng.shuffle(x)
+    n, weight, home = len(x), rng.integers(1, 4, len(x)), np.arange(len(x)) < (1300 if guests else len(x))
+    norm = np.sqrt((x * x).sum(1))
+    linked = (x @ x.T) / norm[:, None] / norm >= 0.9
+    np.fill_diagonal(linked, False)
+    if guests:
+        linked &= home[:, None] != home
+    block = pd.DataFrame({"guests": guests, "a": 0, "b": 0, "block": 0, "home": home, "rep": np.arange(n), "weight": weight, "v": list(x)})
+    found = cover_tree._task(block, 0.9, float(np.sqrt(0.2)))
+    counts, edges = found[found["w"].isna()], found[~found["w"].isna()]
+    got = np.zeros(n, np.int64)
+    np.add.at(got, counts["u"].to_numpy(), counts["n"].to_numpy())
+    assert (got == linked @ weight).all()
+
+    def roots(pairs):
+        top = list(range(n))
+        for a, b in pairs:
+            while top[a] != a:
+                a = top[a]
+            while top[b] != b:
+                b = top[b]
+            top[max(a, b)] = min(a, b)
+        for i in range(n):
+            top[i] = top[top[i]]
+        return top
+
+    assert roots(zip(edges["u"].tolist(), edges["w"].astype(int).tolist())) == roots(zip(*(i.tolist() for i in np.nonzero(linked))))
