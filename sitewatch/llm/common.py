@@ -38,6 +38,20 @@ def pressed(rows: DataFrame, column: str) -> DataFrame:
     return rows.mapInArrow(each, rows.schema)
 
 
+def numbered(docs: DataFrame) -> DataFrame | None:
+    """``docs`` with ``_n``, the number of each (doc_id, text) in that order; None if every row has a doc_id of its own.
+
+    Rows of the same doc_id and text have one number, other texts of that doc_id have their own, and a
+    null doc_id comes after all others. Texts are told apart by a 64-bit hash.
+    """
+    repeated = docs.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("_rows")).where("doc_id is null or _rows > 1")
+    if not repeated.limit(1).count():
+        return None
+    names = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_g")).distinct()
+    names = checkpointed(names.orderBy(F.col("_id").asc_nulls_last(), "_g").withColumn("_n", F.monotonically_increasing_id()))
+    return docs.join(names, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_g"))).drop("_id", "_g")
+
+
 def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[str | Column], value: Column, name: str) -> DataFrame:
     """Add ``name``: the running sum of ``value`` within ``keys``, in the order (bucket, order).
 

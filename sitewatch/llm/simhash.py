@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components
+from .common import checkpointed, components, numbered
 
 BITS = 64
 
@@ -173,6 +173,16 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """The documents that are the smallest doc_id of their group, with all their columns."""
+    """One document of each group, that of the smallest doc_id, with all its columns.
+
+    Rows of the same doc_id and text are one document and one of them stays. Other texts of that doc_id
+    are documents of their own. A null doc_id comes after all others, so such a row stays only if its
+    group has no row with a doc_id, and then one of them does.
+    """
+    rows = numbered(docs)
+    if rows is not None:
+        rows = rows.dropDuplicates(["_n"])
+        groups = near_duplicates(rows.select(F.col("_n").alias("doc_id"), "text"), radius)
+        return rows.join(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_n")), "_n", "left_semi").select(docs.columns)
     groups = near_duplicates(docs, radius)
     return docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")

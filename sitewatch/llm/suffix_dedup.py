@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, pressed
+from .common import checkpointed, numbered, pressed
 
 GRAM = 32
 #: Bytes that a bucket queue holds in memory before it writes runs to an unnamed scratch file.
@@ -375,9 +375,45 @@ def repeated_spans(docs: DataFrame, width: int = 100, shard_bytes: int = 8 << 20
     return spans.groupBy("doc_id").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("lo", "hi")])
 
 
+def _with_spans(docs: DataFrame, width: int) -> DataFrame:
+    """The rows of ``docs``, the text as compressed bytes, with ``_lo`` and ``_hi``: the spans of their repeated strings.
+
+    A row gets the spans of its doc_id and text, so rows neither multiply nor go.
+    """
+    rows = numbered(docs)
+    once = docs.select("doc_id", "text") if rows is None else rows.select("_n", "text").dropDuplicates(["_n"])
+    spans = repeated_spans(once.toDF("doc_id", "text").select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data")), width)
+    rows = docs.withColumn("_n", F.col("doc_id")) if rows is None else rows
+    rows = rows.withColumn("text", F.coalesce(F.col("text").cast("binary"), F.lit(b""))).select(*docs.columns, "_n")
+    at = docs.columns.index("text")
+
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            cols = list(b.columns)
+            cols[at] = pa.array([press(x) for x in cols[at].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(cols, b.schema.names)
+
+    spans = spans.select(F.col("doc_id").alias("_d"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    return rows.mapInArrow(press, rows.schema).join(spans, F.col("_n") == F.col("_d"), "left").select(*docs.columns, "_lo", "_hi")
+
+
+def _removed(text: bytes, lo: list[int] | None, hi: list[int] | None) -> tuple[bytes, int]:
+    """``text`` without the union of the spans, and how many separate ones that is."""
+    if not lo:
+        return text, 0
+    lo, hi = np.array(lo), np.array(hi)
+    order = np.argsort(lo, kind="stable")
+    lo, hi, _ = _merge(np.zeros(len(lo), np.int64), lo[order], hi[order])
+    return b"".join(text[i:j] for i, j in zip([0, *hi.tolist()], [*lo.tolist(), len(text)])), len(lo)
+
+
 def without_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): each text's bytes without the repeated ones; a null text is empty."""
-    data = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("data"))
+    """(doc_id, n_bytes, n_removed, n_spans, kept): each text's bytes without the repeated ones; a null text is empty.
+
+    A row for each row of ``docs``. Rows of the same doc_id and text are at the same place and don't repeat
+    each other; other texts of that doc_id, and null doc_ids after all others, are places of their own.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,29 +422,27 @@ def without_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
             rows = []
             for pressed, lo, hi in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
                 text = unpress(pressed)
-                if not lo:
-                    rows.append((len(text), 0, 0, text))
-                    continue
-                lo, hi = np.array(lo), np.array(hi)
-                order = np.argsort(lo, kind="stable")
-                lo, hi, _ = _merge(np.zeros(len(lo), np.int64), lo[order], hi[order])
-                kept = b"".join(text[i:j] for i, j in zip([0, *hi.tolist()], [*lo.tolist(), len(text)]))
-                rows.append((len(text), len(text) - len(kept), len(lo), kept))
+                kept, n = _removed(text, lo, hi)
+                rows.append((len(text), len(text) - len(kept), n, kept))
             cols = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = pressed(data, "data").join(repeated_spans(data, width), "doc_id", "left").select("doc_id", "data", "lo", "hi")
-    return joined.mapInArrow(remove, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return _with_spans(docs.select("doc_id", "text"), width).mapInArrow(remove, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
 def shortened(docs: DataFrame, width: int = 100) -> DataFrame:
-    """``docs`` with their texts without repeated bytes; bytes that a cut leaves without their character go too."""
-    kept = without_repeats(docs.select("doc_id", "text"), width)
+    """``docs``, row by row, with their texts without repeated bytes; bytes that a cut leaves without their character go too.
+
+    Rows of one doc_id and rows without one are taken as in ``without_repeats``.
+    """
+    names, at = docs.columns, docs.columns.index("text")
 
-    def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+            cols = list(b.columns)
+            texts = [_removed(unpress(x), lo, hi)[0].decode("utf-8", "ignore") for x, lo, hi in zip(*(c.to_pylist() for c in (cols[at], *cols[-2:])))]
+            cols[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(cols[:-2], names)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    new = kept.select("doc_id", "kept").mapInArrow(text, f"doc_id {kind}, text string")
-    return docs.drop("text").join(new, "doc_id").select(docs.columns)
+    return _with_spans(docs, width).mapInArrow(remove, docs.schema)

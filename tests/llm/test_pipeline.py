@@ -5,9 +5,9 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import pytest
-from sitewatch.llm import crf_quality, ftrl, simhash
+from sitewatch.llm import crf_quality, ftrl, simhash, suffix_dedup
 from sitewatch.llm.queries import vocabulary
-from test_operators import brute_kept, write_tables
+from test_operators import brute_components, brute_kept, made_documents, write_tables
 
 DATA = "/root/testdata/sf0.001"
 
@@ -57,3 +57,55 @@ def test_substrings_and_packing(stages):
 
 def test_run_on_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, write_tables(tmp_path, [], [], [])).collect() == []
+
+
+@pytest.fixture(scope="module")
+def messy(tmp_path_factory):
+    """The awkward table with repeated rows, a doc_id with two texts and null doc_ids, one of them a copy."""
+    docs = made_documents()
+    text = dict(docs)
+    docs += [docs[20]] * 3 + [docs[40], (docs[21][0], text[40] + " " + text[41]), (None, text[36]), (None, text[36] + " and " + text[38]), (None, "a row without an id " * 3 + text[35]), (None, "a row without an id " * 3 + text[35])]
+    labels = [(d, int(len(t or "") % 2)) for d, t in docs if d]
+    return docs, write_tables(tmp_path_factory.mktemp("messy"), docs, labels, [])
+
+
+def in_order(docs):
+    """The distinct rows, null doc_ids last."""
+    return sorted(set(docs), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+
+
+def test_one_document_of_each_group(spark, messy):
+    docs, folder = messy
+    got = simhash.keep_first(spark.read.parquet(f"{folder}/documents.parquet"))
+    rows = in_order(docs)
+    fps = {i: simhash.simhash(t) for i, (_, t) in enumerate(rows)}
+    group = brute_components(fps, lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4)
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    ids = lambda some: sorted((d or 0) for d, _ in some)  # noqa: E731  # of one doc_id's texts either may come first
+    assert len(kept) == len(set(kept)) and set(kept) <= set(docs)
+    assert ids(kept) == ids(rows[i] for i in fps if group[i] == i)
+
+
+def test_substrings_of_repeated_rows_and_rows_without_id(spark, messy):
+    docs, folder = messy
+    got = suffix_dedup.shortened(spark.read.parquet(f"{folder}/documents.parquet"))
+    assert sorted((r["doc_id"] or 0) for r in got.collect()) == sorted((d or 0) for d, _ in docs)
+    rows = [(d, t) for d, t in in_order(docs) if d != docs[21][0] or t == docs[21][1]]
+    want = dict(enumerate(rows))
+    removed = brute_kept([(i, t) for i, (_, t) in want.items()])
+    few = spark.createDataFrame([(d, t) for d, t in docs if d != docs[21][0] or t == docs[21][1]], "doc_id bigint, text string")
+    sizes = {(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.without_repeats(few).collect() if r["doc_id"] is not None}
+    assert sizes == {(d, *removed[i][:2]) for i, (d, _) in want.items() if d is not None}
+    assert suffix_dedup.without_repeats(few).count() == few.count()
+
+
+def test_every_stage_on_the_messy_table(spark, messy, tmp_path):
+    docs = before = spark.read.parquet(f"{messy[1]}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, messy[1]).write.parquet(str(tmp_path / name))
+        docs, before = spark.read.parquet(str(tmp_path / name)), docs
+        if name == "suffix_array_dedup":
+            assert docs.count() == before.count()
+        elif name != "best_fit_packing":
+            assert docs.exceptAll(before).count() == 0
+    assert docs.where("piece = 0").count() == before.count()
