@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,18 +69,27 @@ def j16_missed_windows(spark: SparkSession, d: str) -> DataFrame:
 def st05_cooldown(spark: SparkSession, d: str) -> DataFrame:
     """Violations that alert: none of the same person and type was alerted within six hours before.
 
-    It depends on the last alert that was let through, so it is a fold over a person's rows.
+    It depends on the last alert that was let through, so it is a fold over a person's rows. Of one
+    second's rows only the first can alert; the others go before the shuffle. The rest is sorted by Spark,
+    which can spill, and folded batch by batch, so no person's rows are in memory at once.
     """
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        last, out = None, []
-        for r in g.sort_values(["at", "event_id"]).itertuples():
-            if last is None or r.at - last >= 21_600:
-                last = r.at
-                out.append((r.user_id, r.event_type, r.event_id))
-        return pd.DataFrame(out, columns=["user_id", "event_type", "event_id"])
-
     rows = safety_events(spark, d).where("is_violation").select("user_id", "event_type", "event_id", seconds(F.col("ts")).alias("at"))
-    return rows.groupBy("user_id", "event_type").applyInPandas(fold, "user_id bigint, event_type string, event_id bigint")
+    firsts = rows.groupBy("user_id", "event_type", "at").agg(F.min("event_id").alias("event_id"))
+    firsts = firsts.repartition("user_id", "event_type").sortWithinPartitions("user_id", "event_type", F.col("at").asc_nulls_last(), "event_id")
+    return firsts.select("user_id", "event_type", "event_id", "at").mapInArrow(cooldown_fold, "user_id bigint, event_type string, event_id bigint")
+
+
+def cooldown_fold(batches: Iterator[pa.RecordBatch], wait: int = 21_600) -> Iterator[pa.RecordBatch]:
+    """Alerts among sorted batches of (user_id, event_type, event_id, at); only the last alert is carried from one to the next."""
+    key = last = None
+    for b in batches:
+        keep = []
+        for user, kind, at in zip(*(b.column(i).to_pylist() for i in (0, 1, 3))):
+            alerts = (user, kind) != key or (at is not None and last is not None and at - last >= wait)
+            if alerts:
+                key, last = (user, kind), at
+            keep.append(alerts)
+        yield b.filter(pa.array(keep, pa.bool_())).select([0, 1, 2])
 
 
 def j15_visits_by_day(spark: SparkSession, d: str) -> DataFrame:

@@ -24,14 +24,18 @@ def cooldown_alerts(events: DataFrame, seconds: int = 21_600) -> DataFrame:
 
     ``events``: user_id, event_type, event_id, at (epoch seconds). Rows of one micro-batch are taken
     in the order of their time, so the result equals the batch fold if batches come in time order.
+    Of a micro-batch a key's distinct seconds are held, each with its first event: no other can alert.
     """
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        out = []
-        for r in pd.concat(list(parts)).sort_values(["at", "event_id"]).itertuples():
-            if last is None or r.at - last >= seconds:
-                last = r.at
-                out.append(r.event_id)
+        out, first = [], pd.Series(dtype="int64")
+        for part in parts:
+            part = part if last is None else part[part["at"] - last >= seconds]
+            first = pd.concat([first, part.groupby("at")["event_id"].min()]).groupby(level=0).min()
+        for at, event in first.items():  # by time
+            if last is None or at - last >= seconds:
+                last = int(at)
+                out.append(event)
         if last is not None:
             state.update((last,))
         yield pd.DataFrame({"user_id": [key[0]] * len(out), "event_type": [key[1]] * len(out), "event_id": out})

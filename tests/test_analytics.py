@@ -56,6 +56,31 @@ def test_cooldown(spark):
     assert set(QUERIES["st05_cooldown"](spark, DATA).toPandas()["event_id"]) == want
 
 
+def test_cooldown_of_a_hot_key_is_folded_by_batches(spark, monkeypatch):
+    """One person holds nearly all events, some at the same second, and the fold never sees them at once."""
+    import random
+
+    import pyarrow as pa
+    from sitewatch.operators import temporal
+
+    rng = random.Random(4)
+    events = [(1 if n % 10 else n, "error", n, rng.randint(0, 90_000) * 10) for n in range(3000)] + [(None, "error", 9000, 5), (None, "error", 9001, 5)]
+    want, last = [], {}
+    for user, kind, event, at in sorted(events, key=lambda e: (e[3], e[2])):
+        if user not in last or at - last[user] >= 21_600:
+            last[user] = at
+            want.append((user, kind, event))
+    frame = spark.createDataFrame(events, "user_id bigint, event_type string, event_id bigint, at bigint").selectExpr("*", "timestamp_seconds(at)::timestamp_ntz ts", "true is_violation")
+    monkeypatch.setattr(temporal, "safety_events", lambda spark, d: frame)
+    query = temporal.st05_cooldown(spark, DATA)
+    assert sorted(map(tuple, query.collect()), key=str) == sorted(want, key=str)
+    assert "FlatMapGroupsIn" not in query._jdf.queryExecution().toString()
+    rows = sorted(((u, k, e, a) for u, k, e, a in events if u is not None), key=lambda r: (r[0], r[1], r[3], r[2]))
+    batches = (pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 7])], ["user_id", "event_type", "event_id", "at"]) for i in range(0, len(rows), 7))
+    got = [tuple(r.values()) for b in temporal.cooldown_fold(batches) for r in b.to_pylist()]
+    assert sorted(got) == sorted(w for w in want if w[0] is not None)
+
+
 def test_streaming_cooldown_equals_batch(spark, tmp_path):
     from sitewatch.streaming.counts import cooldown_alerts
 
