@@ -277,6 +277,46 @@ def _merge(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     return lo[new], reach[ends] - number[ends] * big, doc[new]
 
 
+#: Bytes of text that are looked through for frequent keys.
+SAMPLE = 32 << 20
+
+
+def hot_keys(docs: DataFrame, width: int, total: int, most: int) -> np.ndarray:
+    """Sorted keys (48 bits) whose distinct segments take about ``most`` bytes or more, estimated from ``SAMPLE`` bytes of documents.
+
+    What it names decides how strings are dealt to shards, not which repeat.
+    """
+    every = max(1, total // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0) if every > 1 else docs
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                key, lo, hi, _ = segment_bounds(data or b"", width)
+                if len(key) and doc is not None:
+                    h = np.array([xxhash.xxh3_64_intdigest(data[i:j]) for i, j in zip(lo.tolist(), hi.tolist())], np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(16)).astype(np.int64)), pa.array(h.view(np.int64)), pa.array(hi - lo)], ["key", "h", "size"])
+
+    # equal segments count once: they become one before they reach a shard
+    sizes = some.select("doc_id", "data").mapInArrow(each, "key bigint, h bigint, size bigint").groupBy("key", "h").agg(F.max("size").alias("size"))
+    sizes = sizes.groupBy("key").agg(F.sum("size").alias("size"), F.count("*").alias("n")).where((F.col("size") * every >= most) & (F.col("n") >= 8))
+    return np.array(sorted(r["key"] for r in sizes.select("key").collect()), np.uint64)
+
+
+def hashed(data: bytes, key: np.ndarray, lo: np.ndarray, hi: np.ndarray, own: np.ndarray, hot: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """(key, lo, hi, own, h): segments with the hash of their bytes; those of ``hot`` keys as their single ``width``-byte strings."""
+    digest, is_hot = xxhash.xxh3_64_intdigest, np.isin(key, hot)
+    cold = ~is_hot
+    h = np.array([digest(data[i:j]) for i, j in zip(lo[cold].tolist(), hi[cold].tolist())], np.uint64)
+    if cold.all():
+        return key, lo, hi, own, h
+    count = hi[is_hot] - lo[is_hot] - width + 1
+    at = np.repeat(lo[is_hot], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[i : i + width]) for i in at.tolist()), "<u8").reshape(-1, 2)
+    return (np.concatenate((key[cold], both[:, 0] >> np.uint64(16))), np.concatenate((lo[cold], at)), np.concatenate((hi[cold], at + width)),
+            np.concatenate((own[cold], np.zeros(len(at), bool))), np.concatenate((h, both[:, 1])))
+
+
 SPANS = "doc_id bigint, lo array<bigint>, hi array<bigint>, key array<bigint>, ask boolean"
 
 
@@ -287,13 +327,15 @@ def repeated_spans(docs: DataFrame, width: int = 100, shard_bytes: int = 8 << 20
     are at the same place and don't repeat each other.
 
     Texts are cut into segments that hold each ``width``-byte string once, keyed by the smallest hash
-    of the string's grams; equal strings have equal keys, so a shard of keys can be judged alone. Of
-    equal segments the first stands for all: they are dropped while still in their task, and again
+    of the string's grams; equal strings have equal keys, so a shard of keys can be judged alone. Keys
+    with too many distinct segments for a shard (a frequent gram in ever other surroundings) are cut
+    on: each of their strings is a segment of its own, keyed by its own hash. Of equal segments the first stands for all: they are dropped while still in their task, and again
     by shard. Where one key has different segments, or a segment may repeat itself, the bytes are fetched and a suffix array of the
     shard tells which strings repeat. A key's segments travel as packed columns, some rows a task.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
     shards = max(12, -(-total // shard_bytes))
+    hot = hot_keys(docs, width, int(total), shard_bytes // 4)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, held, size = xxhash.xxh3_64_intdigest, [], 0
@@ -314,9 +356,9 @@ def repeated_spans(docs: DataFrame, width: int = 100, shard_bytes: int = 8 << 20
             for doc, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 key, lo, hi, own = segment_bounds(data or b"", width)
                 if len(key) and doc is not None:
-                    h = np.array([digest(data[i:j]) for i, j in zip(lo.tolist(), hi.tolist())], np.uint64)
-                    held.append({"key": key >> np.uint64(16), "h": h, "doc": np.full(len(key), doc), "lo": lo, "hi": hi, "flags": np.where(own, OWN, 0).astype(np.uint8)})
-                    size += len(data)
+                    key, lo, hi, own, h = hashed(data, key >> np.uint64(16), lo, hi, own, hot, width)
+                    held.append({"key": key, "h": h, "doc": np.full(len(key), doc), "lo": lo, "hi": hi, "flags": np.where(own, OWN, 0).astype(np.uint8)})
+                    size += max(len(data), 16 * len(key))
                     if size > 12 << 20:
                         yield packed()
                         held, size = [], 0

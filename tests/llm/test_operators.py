@@ -283,6 +283,36 @@ def test_suffix_arrays(run, docs):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in run("op10_suffix_array")} == brute_kept(docs)
 
 
+@pytest.mark.parametrize("footer", [60, 90, 150])
+def test_a_frequent_gram_is_dealt_to_many_shards(spark, monkeypatch, footer):
+    """A footer in all documents, each in other surroundings: results as by brute force, no group holds more than a few of its segments."""
+    from sitewatch.llm import suffix_dedup
+
+    rng, largest = random.Random(footer), []
+    prose = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    end = prose(footer)
+    docs = [(d, prose(rng.randint(80, 160)) + end + prose(rng.randint(80, 160))) for d in range(400)]
+    docs += [(d + 400, t if d % 2 else prose(30) + t[20:]) for d, t in docs[:60]]
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = suffix_dedup.without_repeats(rows).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got} == brute_kept(docs)
+    data = rows.select("doc_id", rows["text"].cast("binary").alias("data"))
+    total = sum(len(t) for _, t in docs)
+    few = suffix_dedup.hot_keys(data, 100, total, 8 << 10)
+    assert 1 <= len(few) < 10
+    monkeypatch.setattr(suffix_dedup, "hot_keys", lambda docs, width, total, most: few)
+    again = suffix_dedup.without_repeats(rows).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+    weight = Counter()
+    for text in {t for _, t in docs}:
+        key, lo, hi, own = suffix_dedup.segment_bounds(text.encode(), 100)
+        key, lo, hi, _, h = suffix_dedup.hashed(text.encode(), key >> np.uint64(16), lo, hi, own, few, 100)
+        largest += [(k, x, b - a) for k, x, a, b in zip(key.tolist(), h.tolist(), lo.tolist(), hi.tolist())]
+    for k, _, n in set(largest):
+        weight[k] += n
+    assert max(weight.values()) < 8 << 10
+
+
 def test_induced_suffix_array():
     from sitewatch.llm.suffix_dedup import induced_suffix_array
 
