@@ -382,6 +382,37 @@ def test_passage_over_fifty_words_is_found(spark):
     assert len({tuple(sorted(p)) for p in got}) >= 54
 
 
+def test_short_passages_with_a_changed_word_against_brute_force():
+    """One word changed at every position: found wherever two aligned stretches of 50 words or more reach 0.8."""
+    from sitewatch.llm.compact_windows import passages, shingles
+
+    word = lambda s, k: f"{s}{k}"
+    for n in range(50, 61):
+        for at in range(n):
+            p = [word("p", k) for k in range(n)]
+            q = [*p[:at], "changed", *p[at + 1 :]]
+            a, b = (shingles(" ".join([word(s, k) for k in range(20)] + x + [word(s, k) for k in range(20, 40)])) for s, x in (("a", p), ("b", q)))
+            brute = 0
+            for i in range(len(a)):
+                for j in range(i + 46, min(len(a), i + n) + 1):
+                    x, y = set(a[i:j].tolist()), set(b[i:j].tolist())
+                    brute = max(brute, len(x & y) / len(x | y))
+            got = passages(a, b, 46, 0.8)
+            assert bool(got) == (brute >= 0.8), (n, at)
+            for i, j, k, m, score in got:
+                x, y = set(a[i:j].tolist()), set(b[k:m].tolist())
+                assert j - i >= 46 and m - k >= 46 and math.isclose(score, len(x & y) / len(x | y))
+
+
+def test_a_gap_in_a_long_passage_does_not_cut_it():
+    from sitewatch.llm.compact_windows import passages
+
+    a = np.arange(1, 301, dtype=np.uint64)
+    b = a.copy()
+    b[30:46] += np.uint64(10_000)
+    assert passages(a, b, 46, 0.8) == [(0, 300, 0, 300, 284 / 316)]
+
+
 @pytest.mark.parametrize("guests", [0, 1])
 def test_cover_tree_blocks_against_all_pairs(guests):
     """Scattered, grouped, tight and parallel vectors, within a block and between two."""
