@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -19,11 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder the session names.
 
-    Only a session without ``spark.checkpoint.dir`` (tests) gets a folder of its own.
+    Only a session in one process without ``spark.checkpoint.dir`` (tests) gets a folder of its own; on
+    a cluster that would be a folder that executors can't see, so there it is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        context.setCheckpointDir(folder or tempfile.mkdtemp())
     return df.checkpoint()
 
 
