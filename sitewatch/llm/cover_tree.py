@@ -216,16 +216,19 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``rows`` (vec_id, embedding).
 
     Links are pairs of other rows with a cosine of ``threshold`` or more. Equal vectors are one class
-    that is joined once. A vector that is null, empty, zero or not finite links with nothing; vectors
-    of another length than most are compared among their own length.
+    that is joined once, known by a number of its own and named by its smallest vec_id at the end, so an
+    id that stands on two vectors links neither with the other's. A repeated row is a row of its own, and
+    its copies are links. A null vec_id comes after all others: it names a component that has no other. A
+    vector that is null, empty, zero or not finite links with nothing; vectors of another length than
+    most are compared among their own length.
     """
     v = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.size("embedding") > 0
     fine &= F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     fine &= F.exists("embedding", lambda x: x != 0)
     rows = checkpointed(rows.select("vec_id", F.when(F.coalesce(fine, F.lit(False)), v).alias("v")))
-    classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
-    classes = checkpointed(classes)
+    classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight"))
+    classes = checkpointed(checkpointed(classes).withColumn("rep", F.monotonically_increasing_id()))
     sizes = [r["k"] for r in classes.select(F.size("v").alias("k")).distinct().collect()]
     counts = edges = None
     for k in sorted(sizes):
@@ -233,11 +236,13 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
         counts, edges = (counts.unionByName(c), edges.unionByName(e)) if counts is not None else (c, e)
     if counts is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    named = components(edges).select(F.col("node").alias("rep"), "component")
+    named = checkpointed(components(edges).select(F.col("node").alias("rep"), "component"))
+    first = named.join(classes.select("rep", "first"), "rep").groupBy("component").agg(F.min("first").alias("smallest"))
+    named = named.join(first, "component").select("rep", "smallest", F.lit(True).alias("linked"))
     # a class of copies is the component of its smallest id
     classes = classes.join(counts, "rep", "left").join(named, "rep", "left")
-    classes = classes.select("v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    classes = classes.select(
+        "v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.when(F.col("linked"), F.col("smallest")).otherwise(F.col("first")).alias("component_id"))
     out = rows.join(classes, "v", "left")
-    return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
-        (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept"))
+    component = F.when(F.col("v").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
