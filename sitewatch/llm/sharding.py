@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, running_total
 
 
-def balanced_shards(nodes: DataFrame, n_shards: int, rounds: int = 4, rows_per_bucket: int = 50_000) -> DataFrame:
+#: A shard's capacity holds this many of the units that are placed one by one; so there are at most GRAIN for each shard.
+GRAIN = 200
+
+
+def balanced_shards(nodes: DataFrame, n_shards: int, rounds: int = 20, rows_per_bucket: int = 50_000) -> DataFrame:
     """Put ``nodes`` (size long, hub, further columns) into shards of near equal bytes.
 
     Rows of one hub are linked with each other (a star, so no pair is ever written). Labels start
     from a hash. In each round a hub's rows look at the shards of their neighbours, counted per
     (hub, shard), and those outside the hub's strongest shards ask to move there; a hub larger than
     a shard's capacity keeps as many shards as it fills. A shard accepts requests, closest hubs
-    first, while they fit what its linked rows leave of its capacity. After the last round each
-    shard keeps rows up to total / n_shards bytes, linked rows first and small single rows last;
-    what is over is dealt to the free space of the others. So a shard's bytes differ from the mean by
-    about one (small) row at most. Adds ``shard`` and ``slot`` (0, 1, ... within a shard).
+    first, while they fit what its linked rows leave of its capacity. The rounds end when nobody moves (or
+    after ``rounds``: the last step holds all the same). Then shards are evened by whole hubs, see
+    ``_evened``: a shard's bytes differ from the mean by about a half percent where no row
+    and no hub is larger than that. Adds ``shard`` and ``slot`` (0, 1, ... within a shard).
 
-    Null hubs are links of nobody. Repeated rows are rows of their own. An empty table stays empty.
+    Null hubs are links of nobody. Repeated rows are rows of their own. Equal sizes are ordered by hash. An
+    empty table stays empty.
     """
     names = nodes.columns
     nodes = nodes.withColumn("_hub", F.coalesce(F.col("hub").cast("string"), F.concat(F.lit("alone "), F.monotonically_increasing_id())))
@@ -67,26 +73,54 @@ def _accepted_moves(nodes: DataFrame, capacity: float, buckets: int) -> DataFram
 
 
 def _evened(nodes: DataFrame, names: list[str], n_shards: int, capacity: float, buckets: int) -> DataFrame:
-    """Trim every shard to its capacity, deal the rest into the free space, number the rows."""
-    cells = nodes.groupBy("_hub", "shard").agg(F.count("*").alias("_n"))
-    nodes = nodes.join(cells, ["_hub", "shard"])
-    size_class = F.lit(40) - F.least(F.lit(40), F.log2(F.col("size") + 1).cast("int"))
-    salted = F.pmod(F.xxhash64("_hub", F.pmod("_tie", F.lit(8))), F.lit(buckets))
-    nodes = nodes.withColumn("_bucket", (F.when(F.col("_n") > 1, 0).otherwise(41) + size_class) * F.lit(buckets) + salted)
-    order = [F.desc("size"), "_hub", "_tie"]
-    placed = checkpointed(running_total(nodes, ["shard"], "_bucket", order, F.col("size"), "_upto"))
-    kept, over = placed.where(F.col("_upto") <= F.lit(capacity)), placed.where(F.col("_upto") > F.lit(capacity))
-    held = {r["shard"]: r["b"] for r in kept.groupBy("shard").agg(F.sum("size").alias("b")).collect()}  # one row a shard
+    """Even the shards' bytes by units, then number the rows.
+
+    A unit is a hub with all its rows, whose label is the shard that holds most of it; a hub larger than a shard's
+    capacity is taken row by row. Units over 1 / ``GRAIN`` of the capacity, at most ``GRAIN`` for each
+    shard, are placed one by one on the driver, the largest first: by their label if they fit, else where most is
+    free. The small ones keep their label up to the capacity, and what is over is dealt to the free
+    space that is left, so a shard misses its share by about one small unit.
+    """
+    cells = nodes.groupBy("_hub", "shard").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
+    hubs = cells.groupBy("_hub").agg(
+        F.sum("n").alias("_n"), F.sum("b").alias("_b"), F.max_by("shard", F.struct("b", (-F.col("shard")).alias("s"))).alias("_label"))
+    whole = F.col("_b") <= F.lit(capacity)
+    nodes = nodes.join(hubs, "_hub")
+    nodes = nodes.withColumn("_unit", F.when(whole, F.col("_hub")).otherwise(F.concat_ws(" ", "_hub", F.col("_tie").cast("string"), F.monotonically_increasing_id().cast("string"))))
+    nodes = nodes.withColumn("shard", F.when(whole, F.col("_label")).otherwise(F.col("shard"))).withColumn("_b", F.when(whole, F.col("_b")).otherwise(F.col("size")))
+    nodes = checkpointed(nodes.withColumn("_n", F.when(whole, F.col("_n")).otherwise(F.lit(1))))
+    units = nodes.groupBy("_unit").agg(F.first("_b").alias("_b"), F.first("_n").alias("_n"), F.first("shard").alias("shard"), F.min("_tie").alias("_tie"))
+    grain = max(1.0, capacity / GRAIN)
+    large = units.where(F.col("_b") > F.lit(grain)).collect()  # at most total / grain
+    load = np.zeros(n_shards)
+    places = []
+    for u in sorted(large, key=lambda u: (-u["_b"], u["_tie"], u["_unit"])):
+        to = u["shard"] if load[u["shard"]] + u["_b"] <= capacity else int(load.argmin())
+        load[to] += u["_b"]
+        places.append((u["_unit"], to))
+    places = nodes.sparkSession.createDataFrame(places, "_unit string, _place int")
+
+    small = units.where(F.col("_b") <= F.lit(grain))
+    size_class = F.lit(40) - F.least(F.lit(40), F.log2(F.col("_b") + 1).cast("int"))
+    salted = F.pmod(F.xxhash64("_unit"), F.lit(buckets))
+    small = small.withColumn("_bucket", (F.when(F.col("_n") > 1, 0).otherwise(41) + size_class) * F.lit(buckets) + salted)
+    order = [F.desc("_b"), "_unit"]
+    small = checkpointed(running_total(small, ["shard"], "_bucket", order, F.col("_b"), "_upto"))
+    room = F.element_at(F.array(*[F.lit(float(capacity - x)) for x in load]), F.col("shard") + 1)
+    kept, over = small.where(F.col("_upto") <= room), small.where(F.col("_upto") > room)
+    held = {r["shard"]: r["b"] for r in kept.groupBy("shard").agg(F.sum("_b").alias("b")).collect()}  # one row a shard
     ends, at = [], 0.0
     for s in range(n_shards):
-        at += capacity - held.get(s, 0)
+        at += max(0.0, capacity - load[s] - held.get(s, 0))
         ends.append(at)
-    over = over.withColumn("_one", F.lit(0))
-    over = running_total(over, ["_one"], "_bucket", order, F.col("size"), "_upto").drop("_one")
-    middle = F.col("_upto") - F.col("size") / 2
+    due = max(1.0, capacity * n_shards - load.sum() - sum(held.values()))
+    over = running_total(over.withColumn("_one", F.lit(0)), ["_one"], "_bucket", order, F.col("_b"), "_upto").drop("_one")
+    middle = (F.col("_upto") - F.col("_b") / 2) * F.lit(at / due)
     free = F.array(*[F.lit(x) for x in ends])
     over = over.withColumn("shard", F.least(F.lit(n_shards - 1), F.size(F.filter(free, lambda e: e <= middle))).cast("int"))
-    rows = kept.unionByName(over).withColumn("_bucket", F.pmod("_tie", F.lit(buckets)))
+    moved = checkpointed(over.select("_unit", F.col("shard").alias("_dealt")))
+    rows = nodes.join(F.broadcast(places), "_unit", "left").join(moved, "_unit", "left")
+    rows = rows.withColumn("shard", F.coalesce("_place", "_dealt", "shard")).withColumn("_bucket", F.pmod("_tie", F.lit(buckets)))
     rows = running_total(rows, ["shard"], "_bucket", ["_tie"], F.lit(1).cast("long"), "slot")
     return rows.select(*names, "shard", (F.col("slot") - 1).alias("slot"))
 
@@ -94,7 +128,8 @@ def _evened(nodes: DataFrame, names: list[str], n_shards: int, capacity: float,
 def document_shards(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     """Documents in shards of near equal bytes; equal texts are linked.
 
-    A null text counts no bytes and is equal to other null texts, not to the empty text.
+    A null text counts no bytes and is equal to other null texts, not to the empty text. Repeated rows, and rows
+    without a doc_id, are rows of their own.
     """
     text = F.col("text")
     nodes = docs.select(
