@@ -1,4 +1,4 @@
-"""Language-model scores from an Elias-Fano bigram trie that is built and asked by shards."""
+"""Language-model scores from an Elias-Fano trigram trie that is built and asked by shards."""
 
 from __future__ import annotations
 
@@ -16,132 +16,249 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: Pseudo-counts of the unigram model in a context, and quantisation steps a decade.
-PRIOR, STEPS = 100.0, 24
+#: Pseudo-counts of the shorter context's model in a context of one word and in one of two, and quantisation steps a decade.
+PRIOR_2, PRIOR_3, STEPS = 1000.0, 30.0, 20
 END, BEGIN = b"", b" "
-FOLLOW_BITS, CONTEXT_BITS, SALTS = 40, 48, 8
+#: Bytes of text, as expected, in which frequent first words are looked for, and the times that such a word must occur there.
+SAMPLE, OFTEN = 8 << 20, 64
+ODD = np.uint64(0x9E3779B97F4A7C15)
+_SELECT = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.uint8)
+
+
+def _select(words: np.ndarray, before: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Places of the ``i``-th ones (from 0) of a bit vector; ``before``: the ones before each of its 64-bit words."""
+    at = np.searchsorted(before, i.astype(before.dtype), "right") - 1
+    w, nth = words[at], (i - before[at]).astype(np.uint8)
+    place = at * 64
+    for half in (32, 16, 8):
+        ones = np.bitwise_count(w & np.uint64((1 << half) - 1))
+        beyond = nth >= ones
+        nth -= ones * beyond
+        w = w >> (beyond * np.uint64(half))
+        place += beyond * half
+    return place + _SELECT[w & np.uint64(255), nth]
 
 
 class EliasFano:
-    """A non-decreasing sequence: low bytes as they are, high parts in unary as one bit vector."""
+    """A non-decreasing sequence: low parts as they are, high parts in unary as one bit vector, and the ones before each of its words.
+
+    Elements are read and searched in this form; nothing is decoded beyond the elements that are asked for.
+    """
 
     def __init__(self, values: np.ndarray):
         values = values.astype(np.uint64)
         self.n = len(values)
-        spread = int(values[-1]) // self.n if self.n else 0
-        self.low_bytes = -(-max(0, spread.bit_length()) // 8)
-        shift = np.uint64(8 * self.low_bytes) if self.low_bytes < 8 else np.uint64(63)
-        self.shift = shift
-        low = values & ((np.uint64(1) << shift) - np.uint64(1))
-        self.low = np.ascontiguousarray(low.view(np.uint8).reshape(-1, 8)[:, : -(-int(shift) // 8)]) if self.n else np.zeros((0, 0), np.uint8)
-        at = (values >> shift).astype(np.int64) + np.arange(self.n)
-        bits = np.zeros(int(at[-1]) + 1 if self.n else 0, np.uint8)
-        bits[at] = 1
-        self.high = np.packbits(bits)
-
-    def parts(self) -> list[np.ndarray]:
-        return [self.low, self.high]
+        bits = max(0, (int(values[-1]) // self.n).bit_length() - 1) if self.n else 0
+        self.shift = np.uint64(bits)
+        self.low = np.ascontiguousarray((values & np.uint64((1 << bits) - 1)).view(np.uint8).reshape(-1, 8)[:, : -(-bits // 8)])
+        at = (values >> self.shift).astype(np.int64) + np.arange(self.n)
+        ones = np.zeros((int(at[-1]) // 64 + 2) * 64 if self.n else 64, np.uint8)  # a zero stands behind the last one
+        ones[at] = 1
+        self.high = np.packbits(ones, bitorder="little").view("<u8")
+        count = np.bitwise_count(self.high)
+        self.ranks = np.cumsum(count, dtype=np.int64) - count
+
+    def parts(self) -> list[str]:
+        return ["low", "high", "ranks"]
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(i), 8), np.uint8)
+        out[:, : self.low.shape[1]] = self.low[i]
+        return out.view(np.uint64).ravel()
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The elements at places ``i``: the place of the i-th one of the high bits, and the low part."""
+        high = _select(self.high, self.ranks, i) - i
+        return (high.astype(np.uint64) << self.shift) | self._low(i)
+
+    def find(self, lo: np.ndarray, hi: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """The place of each ``target`` within [lo, hi), -1 where it is not there: a successor search in that range alone.
+
+        The zeros around the target's high part bound the elements that have it, the range bounds them further, and
+        their low parts are halved.
+        """
+        zeros = np.arange(len(self.ranks)) * 64 - self.ranks
+        out, parts = np.full(len(target), -1, np.int64), len(self.high) * 64 - self.n
+        for a in range(0, len(target), 1 << 18):
+            part = slice(a, a + (1 << 18))
+            h = (target[part] >> self.shift).astype(np.int64)
+            inside = np.flatnonzero((lo[part] < hi[part]) & (h < parts))  # beyond the last high part there is nothing
+            h, low = h[inside], target[part][inside] & ((np.uint64(1) << self.shift) - np.uint64(1))
+            first = np.zeros(len(h), np.int64)
+            first[h > 0] = _select(~self.high, zeros, h[h > 0] - 1) + 1 - h[h > 0]
+            first = np.maximum(first, lo[part][inside])
+            end = np.minimum(_select(~self.high, zeros, h) - h, hi[part][inside])
+            last, go = end.copy(), np.flatnonzero(first < end)
+            while len(go):
+                mid = (first[go] + last[go]) >> 1
+                less = self._low(mid) < low[go]
+                first[go[less]] = mid[less] + 1
+                last[go[~less]] = mid[~less]
+                go = go[first[go] < last[go]]
+            there = np.flatnonzero(first < end)
+            there = there[self._low(first[there]) == low[there]]
+            out[a + inside[there]] = first[there]
+        return out
 
     def decode(self) -> np.ndarray:
-        high = np.flatnonzero(np.unpackbits(np.asarray(self.high)))[: self.n] - np.arange(self.n)
-        low = np.zeros((self.n, 8), np.uint8)
-        low[:, : self.low.shape[1]] = self.low
-        return (high.astype(np.uint64) << self.shift) | low.view(np.uint64).ravel()
+        return self.get(np.arange(self.n))
 
 
-class BigramTrie:
-    """Contexts, pointers to their followers, the followers by rank in the shard's own dictionary, quantised joint weights.
+class TrigramTrie:
+    """Three levels: roots by hash, their followers and the followers of these by rank in the shard's own dictionary.
 
-    The pointers are one monotone sequence, and so are the followers once each context's ranks are
-    raised by what comes before it; all levels lie in one memory-mapped scratch file.
+    Each level has pointers to where the next one's ranges begin, its ranks as one monotone sequence (a
+    range's ranks are raised by the number of its parent times the size of the dictionary), and quantised
+    values: the smoothed probability of a follower in its context, and what a context leaves to the
+    shorter one. Everything lies in one memory-mapped scratch file of the task.
     """
 
-    def __init__(self, context: np.ndarray, follow: np.ndarray, counts: np.ndarray):
-        """Entries sorted by (context, follow) and distinct, with counts above zero."""
-        new = np.concatenate(([True], context[1:] != context[:-1])) if len(context) else np.zeros(0, bool)
-        words, rank = np.unique(follow, return_inverse=True)
-        node = np.cumsum(new) - 1
-        self.width = np.uint64(max(1, len(words)))
-        self.contexts, self.words = EliasFano(context[new]), EliasFano(words)
-        self.pointers = EliasFano(np.append(np.flatnonzero(new), len(context)))
-        self.follow = EliasFano(node.astype(np.uint64) * self.width + rank.astype(np.uint64))
-        self.codes = quantised(counts)
+    def __init__(self, words: np.ndarray, roots: np.ndarray, c1: np.ndarray, pair_root: np.ndarray, pair_word: np.ndarray, c2: np.ndarray,
+                 parent: np.ndarray, third: np.ndarray, c3: np.ndarray, priors: tuple[float, float] = (PRIOR_2, PRIOR_3)):
+        """``words`` and ``roots``: sorted hashes; pairs sorted by (root, word), triples by (pair, word); all with counts above zero."""
+        self.size = np.uint64(max(1, len(words)))
+        self.words, self.roots = EliasFano(words), EliasFano(roots)
+        self.first = EliasFano(np.searchsorted(pair_root, np.arange(len(roots) + 1)))
+        self.second = EliasFano(np.searchsorted(parent, np.arange(len(c2) + 1)))
+        self.pairs = EliasFano(pair_root.astype(np.uint64) * self.size + pair_word.astype(np.uint64))
+        self.triples = EliasFano(parent.astype(np.uint64) * self.size + third.astype(np.uint64))
+        self.back_1, self.back_2 = quantised(priors[0] / (c1 + priors[0])), quantised(priors[1] / (c2 + priors[1]))
+        self.p_2, self.p_3 = quantised(c2 / (c1[pair_root] + priors[0])), quantised(c3 / (c2[parent] + priors[1]))
         self._map()
 
     def _map(self) -> None:
-        levels = [*(p for e in (self.contexts, self.words, self.pointers, self.follow) for p in e.parts()), self.codes]
-        self.file = tempfile.TemporaryFile()  # noqa: SIM115
-        places = []
-        for x in levels:
-            places.append(self.file.tell())
-            self.file.write(x.tobytes() or b"\0")
+        holders = [(e, k) for e in (self.words, self.roots, self.first, self.second, self.pairs, self.triples) for k in e.parts()]
+        holders += [(self, k) for k in ("back_1", "back_2", "p_2", "p_3")]
+        self.file, places = tempfile.TemporaryFile(), []  # noqa: SIM115
+        for e, k in holders:
+            x = getattr(e, k)
+            places.append(self.file.seek(-(-self.file.tell() // 8) * 8))
+            self.file.write(x.tobytes())
         self.file.flush()
-        mapped = [np.memmap(self.file, np.uint8, "r", p, x.shape) if x.size else x for p, x in zip(places, levels)]
-        for k, e in enumerate((self.contexts, self.words, self.pointers, self.follow)):
-            e.low, e.high = mapped[2 * k], mapped[2 * k + 1]
-        self.codes = mapped[-1]
+        for (e, k), at in zip(holders, places):
+            x = getattr(e, k)
+            setattr(e, k, np.memmap(self.file, x.dtype, "r", at, x.shape).view(np.ndarray) if x.size else x)
+
+    def children(self, pointers: EliasFano, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ranges of the nodes begin and end on the next level; no range for a node of -1."""
+        lo, hi = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+        there = np.flatnonzero(node >= 0)
+        lo[there], hi[there] = pointers.get(node[there]), pointers.get(node[there] + 1)
+        return lo, hi
+
+    def ask(self, roots: np.ndarray, root_of: np.ndarray, word: np.ndarray, pair_of: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Codes (what roots leave, probabilities of pairs, what pairs leave, probabilities of triples) of nodes, 0 where they are not in the trie.
+
+        ``roots``: hashes; a pair is a place in them and a word's hash, a triple a place among the pairs and a word's hash.
+        """
+        every = lambda e, x: e.find(np.zeros(len(x), np.int64), np.full(len(x), e.n), x)
+        node = every(self.roots, roots)
 
-    def ask(self, context: np.ndarray, follow: np.ndarray) -> np.ndarray:
-        """The code of each pair, 0 where it is not in the trie: find the context, then the follower among its own."""
-        if not self.follow.n or not len(context):
-            return np.zeros(len(context), np.uint8)
-        contexts, words = self.contexts.decode(), self.words.decode()
-        node, rank = np.searchsorted(contexts, context), np.searchsorted(words, follow)
-        node_at, rank_at = np.minimum(node, len(contexts) - 1), np.minimum(rank, len(words) - 1)
-        there = (contexts[node_at] == context) & (words[rank_at] == follow)
-        follows = self.follow.decode()
-        key = node_at.astype(np.uint64) * self.width + rank_at.astype(np.uint64)
-        at = np.minimum(np.searchsorted(follows, key), len(follows) - 1)
-        pointers = self.pointers.decode().astype(np.int64)
-        there &= (follows[at] == key) & (at >= pointers[node_at]) & (at < pointers[node_at + 1])
-        return np.where(there, self.codes[at], 0).astype(np.uint8)
+        def below(pointers: EliasFano, level: EliasFano, parent: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+            distinct, at = np.unique(hashes, return_inverse=True)
+            rank = every(self.words, distinct)[at]
+            parent = np.where(rank < 0, -1, parent)
+            lo, hi = self.children(pointers, parent)
+            return level.find(lo, hi, np.maximum(parent, 0).astype(np.uint64) * self.size + np.maximum(rank, 0).astype(np.uint64))
 
+        pair = below(self.first, self.pairs, node[root_of], word)
+        triple = below(self.second, self.triples, pair[pair_of], third)
+        value = lambda codes, at: np.where(at >= 0, codes[np.maximum(at, 0)] if len(codes) else 0, 0).astype(np.uint8)
+        return value(self.back_1, node), value(self.p_2, pair), value(self.back_2, pair), value(self.p_3, triple)
 
-def quantised(counts: np.ndarray) -> np.ndarray:
-    """Codes 1 to 255 of joint weights on a logarithmic scale."""
-    return (1 + np.minimum(254, np.rint(STEPS * np.log10(np.maximum(1, counts))))).astype(np.uint8)
 
+def quantised(share: np.ndarray) -> np.ndarray:
+    """Codes 1 to 255 of numbers up to 1 on a logarithmic scale."""
+    return (1 + np.minimum(254, np.rint(-STEPS * np.log10(np.minimum(1.0, share))))).astype(np.uint8)
 
-def weight_of(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes > 0, 10.0 ** ((codes.astype(float) - 1) / STEPS), 0.0)
+
+def value_of(codes: np.ndarray, missing: float) -> np.ndarray:
+    table = np.append(missing, 10.0 ** (-np.arange(255) / STEPS))
+    return table[codes]
 
 
 class Batch:
-    """The distinct words and pairs of some documents, in an order that only their hashes decide."""
+    """The distinct words, pairs and triples of some documents, as a trie whose roots are sorted by their shard.
+
+    A root is a first word, and of a frequent one a share of its followers: so its nodes lie in several shards.
+    """
 
-    def __init__(self, texts: list[bytes], train: np.ndarray, shards: int):
+    def __init__(self, texts: list[bytes], train: np.ndarray, shards: int, hot: dict[int, int]):
         index: defaultdict[bytes, int] = defaultdict(count().__next__)
-        end, begin = index[END], index[BEGIN]
+        begin = index[BEGIN]
         ids = []
         for t in texts:
             words = t.lower().split()
-            row = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-            ids.append(np.concatenate((row, [end])))
+            words.append(END)
+            ids.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
+        digest, size = xxhash.xxh64_intdigest, len(index)
+        self.hash = np.array([digest(w) for w in index], np.uint64)
+        order = np.argsort(self.hash)  # words are numbered by their hashes, so that a batch is the same each time, however its rows come
+        number = np.empty(size, np.int64)
+        number[order] = np.arange(size)
+        self.hash, begin = self.hash[order], int(number[begin])
         self.lengths = np.array([len(r) for r in ids], np.int64)
-        self.word = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        before = np.empty_like(self.word)
-        before[1:] = self.word[:-1]
-        before[np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64)[: len(self.lengths)]] = begin
-        self.before, self.end = np.where(before == begin, end, before), end
+        self.word = number[np.concatenate(ids)] if ids else np.zeros(0, np.int64)
+        self.heads = np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64)[: len(self.lengths)]
+        self.before = np.empty_like(self.word)
+        self.before[1:] = self.word[:-1]
+        self.before[self.heads] = begin
         learns = np.repeat(train, self.lengths)
-        digest = xxhash.xxh64_intdigest
-        self.hash = np.array([digest(w) for w in index], np.uint64)
-        size = len(self.hash)
         self.counts = np.bincount(self.word[learns], minlength=size)
-        pairs, self.pair = np.unique(before * size + self.word, return_inverse=True)
+        self.counts[begin] = train.sum()
+        self.inside = np.ones(len(self.word), bool)  # a triple ends here
+        self.inside[self.heads] = False
+
+        salts = np.array([hot.get(h, 1) for h in self.hash.tolist()], np.int64)
+        start = np.cumsum(salts) - salts
+        self.root_word = np.repeat(np.arange(size), salts)
+        self.salt = np.arange(len(self.root_word)) - start[self.root_word]
+        self.root_hash = self.hash[self.root_word] ^ (self.salt.astype(np.uint64) * ODD)
+        shard = (self.root_hash ^ (self.root_hash >> np.uint64(33))) * ODD >> np.uint64(20)
+        shard = (shard % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((self.root_hash, shard))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.root_word, self.salt, self.root_hash, self.root_shard = self.root_word[order], self.salt[order], self.root_hash[order], shard[order]
+        fork = (self.hash >> np.uint64(7)).astype(np.int64)
+        root = rank[start[self.before] + fork[self.word] % salts[self.before]]
+        pairs, self.pair = np.unique(root * size + self.word, return_inverse=True)
+        self.pair_root, self.pair_word = pairs // size, pairs % size
         self.pair_counts = np.bincount(self.pair[learns], minlength=len(pairs))
-        self.context = self.hash[pairs // size] >> np.uint64(64 - CONTEXT_BITS)
-        self.follow = self.hash[pairs % size] >> np.uint64(64 - FOLLOW_BITS)
-        spread = (self.context * np.uint64(SALTS) + self.follow % np.uint64(SALTS)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)
-        self.word_shard, self.pair_shard = self.hash % np.uint64(shards), spread % np.uint64(shards)
-        self.words_by = np.lexsort((self.hash, self.word_shard))
-        self.pairs_by = np.lexsort((self.follow, self.context, self.pair_shard))
-        at = np.arange(shards + 1, dtype=np.uint64)
-        self.word_cuts = np.searchsorted(self.word_shard[self.words_by], at)
-        self.pair_cuts = np.searchsorted(self.pair_shard[self.pairs_by], at)
-
-    def of_shard(self, s: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.words_by[self.word_cuts[s] : self.word_cuts[s + 1]], self.pairs_by[self.pair_cuts[s] : self.pair_cuts[s + 1]]
+        at = np.flatnonzero(self.inside)
+        triples, self.triple = np.unique(self.pair[at - 1] * size + self.word[at], return_inverse=True)
+        self.parent, self.third = triples // size, triples % size
+        self.triple_counts = np.bincount(self.triple[learns[at]], minlength=len(triples))
+        self.first_root = rank[start]
+        self.begin = begin
+
+    def slices(self) -> Iterator[tuple[int, slice, slice, slice]]:
+        """(shard, its roots, its pairs, its triples), of the shards that occur."""
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(self.root_shard)) + 1, [len(self.root_shard)])) if len(self.root_shard) else np.zeros(1, np.int64)
+        pair_cuts = np.searchsorted(self.pair_root, cuts)
+        triple_cuts = np.searchsorted(self.parent, pair_cuts)
+        for k in range(len(cuts) - 1):
+            yield int(self.root_shard[cuts[k]]), slice(cuts[k], cuts[k + 1]), slice(pair_cuts[k], pair_cuts[k + 1]), slice(triple_cuts[k], triple_cuts[k + 1])
+
+    def questions(self) -> Iterator[tuple]:
+        """A row for each shard that occurs: its part of the trie with the counts of the training documents."""
+        place = np.zeros(len(self.hash), np.int64)
+        for shard, r, p, t in self.slices():
+            used = np.unique(np.concatenate((self.pair_word[p], self.third[t])))
+            place[used] = np.arange(len(used))
+            kind = "<u2" if len(used) < 1 << 16 else "<u4"
+            word = self.root_word[r]
+            totals = (self.salt[r] == 0) & (word != self.begin)
+            yield (
+                shard, self.hash[word].tobytes(), (self.salt[r] * 2 + totals).astype("<u4").tobytes(), *_narrow(self.counts[word]),
+                self.hash[used].tobytes(),
+                *_narrow(np.bincount(self.pair_root[p] - r.start, minlength=r.stop - r.start)), place[self.pair_word[p]].astype(kind).tobytes(), *_narrow(self.pair_counts[p]),
+                *_narrow(np.bincount(self.parent[t] - p.start, minlength=p.stop - p.start)), place[self.third[t]].astype(kind).tobytes(), *_narrow(self.triple_counts[t]))
+
+
+#: Columns of a question after its shard and batch, and of an answer.
+ASKED = ["roots", "salts", "counts", "counts_big", "words", "pairs", "pairs_big", "pair_words", "pair_counts", "pair_counts_big", "triples", "triples_big", "triple_words", "triple_counts", "triple_counts_big"]
+ANSWERED = ["counts", "counts_big", "back_1", "p_2", "back_2", "p_3"]
 
 
 def _narrow(counts: np.ndarray) -> tuple[bytes, bytes]:
@@ -155,19 +272,82 @@ def _wide(low: bytes, high: bytes) -> np.ndarray:
     return out
 
 
-def _short(hashes: np.ndarray, bits: int) -> bytes:
-    """The low ``bits`` of each hash."""
-    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : bits // 8]).tobytes()
+def answers(rows: list[dict], priors: tuple[float, float]) -> Iterator[tuple]:
+    """(batch, counts of the roots' words, codes of all nodes, training tokens and distinct ones of the shard) for each question to a shard.
 
+    The questions' nodes are merged and counted, the trie is built from those with a training count,
+    and every distinct node is looked up in it.
+    """
+    read = lambda k, d: [np.frombuffer(r[k], d) for r in rows]
+    wide = lambda k: [_wide(r[k], r[k + "_big"]) for r in rows]
+    dictionaries = read("words", "<u8")
+    words = np.unique(np.concatenate(dictionaries))
+    rank = lambda k: np.concatenate([np.searchsorted(words, d)[np.frombuffer(r[k], "<u2" if len(d) < 1 << 16 else "<u4")] for r, d in zip(rows, dictionaries)])
+    salts = np.concatenate(read("salts", "<u4"))
+    roots, root_of = np.unique(np.concatenate(read("roots", "<u8")) ^ ((salts >> 1).astype(np.uint64) * ODD), return_inverse=True)
+    size = max(1, len(words))
+    c1 = np.bincount(root_of, np.concatenate(wide("counts")), minlength=len(roots))
+    totals = np.zeros(len(roots), bool)
+    totals[root_of[salts & 1 == 1]] = True
+    tokens, types = int(c1[totals].sum()), int((c1[totals] > 0).sum())
+    pairs, pair_of = np.unique(np.repeat(root_of, np.concatenate(wide("pairs"))) * size + rank("pair_words"), return_inverse=True)
+    c2 = np.bincount(pair_of, np.concatenate(wide("pair_counts")), minlength=len(pairs))
+    triples, triple_of = np.unique(np.repeat(pair_of, np.concatenate(wide("triples"))) * size + rank("triple_words"), return_inverse=True)
+    c3 = np.bincount(triple_of, np.concatenate(wide("triple_counts")), minlength=len(triples))
+    r, p, t = c1 > 0, c2 > 0, c3 > 0
+    root_at, pair_at = np.cumsum(r) - 1, np.cumsum(p) - 1
+    trie = TrigramTrie(words, roots[r], c1[r], root_at[pairs[p] // size], pairs[p] % size, c2[p], pair_at[triples[t] // size], triples[t] % size, c3[t], priors)
+    codes = trie.ask(roots, pairs // size, words[pairs % size], triples // size, words[triples % size])
+    a = b = c = 0
+    for row in rows:
+        i, j, k = len(row["roots"]) // 8, len(row["pair_counts"]), len(row["triple_counts"])
+        at = root_of[a : a + i], pair_of[b : b + j], triple_of[c : c + k]
+        yield (row["batch"], row["shard"], *_narrow(c1[at[0]].astype(np.int64)), codes[0][at[0]].tobytes(), codes[1][at[1]].tobytes(), codes[2][at[1]].tobytes(), codes[3][at[2]].tobytes(), tokens, types)
+        a, b, c = a + i, b + j, c + k
+
+
+def log_probabilities(b: Batch, got: list[dict], n: int, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(training counts, add-one log10 shares, the model's log10 probabilities) of a batch's tokens from its shards' answers."""
+    counts, back_1 = np.zeros(len(b.root_word), np.int64), np.zeros(len(b.root_word), np.uint8)
+    p_2, back_2 = np.zeros(len(b.pair_word), np.uint8), np.zeros(len(b.pair_word), np.uint8)
+    p_3 = np.zeros(len(b.third), np.uint8)
+    by_shard = {r["shard"]: r for r in got}
+    for shard, r, p, t in b.slices():
+        a = by_shard[shard]
+        counts[r] = _wide(a["counts"], a["counts_big"])
+        for out, s, k in ((back_1, r, "back_1"), (p_2, p, "p_2"), (back_2, p, "back_2"), (p_3, t, "p_3")):
+            out[s] = np.frombuffer(a[k], np.uint8)
+    count_of = counts[b.first_root][b.word]
+    unigram = (count_of + 1) / (n + v + 1)
+    one = (value_of(p_2, 0.0)[b.pair]) + value_of(back_1, 1.0)[b.pair_root][b.pair] * unigram
+    full = one.copy()
+    at = np.flatnonzero(b.inside)
+    full[at] = value_of(p_3, 0.0)[b.triple] + value_of(back_2, 1.0)[b.pair[at - 1]] * one[at]
+    return count_of, np.log10(unigram), np.log10(full)
+
+
+def hot_words(docs: DataFrame, total: int, shards: int) -> dict[int, int]:
+    """Hashes of words that begin more pairs than a quarter of a shard holds, with the number of parts that they are cut into.
+
+    Shares are estimated from about ``SAMPLE`` bytes of documents: they decide where nodes are counted, not what is counted.
+    """
+    every = max(1, total // SAMPLE)
 
-def _long(data: bytes, bits: int) -> np.ndarray:
-    out = np.zeros((len(data) * 8 // bits, 8), np.uint8)
-    out[:, : bits // 8] = np.frombuffer(data, np.uint8).reshape(-1, bits // 8)
-    return out.view("<u8").ravel()
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [w for t in b.column(0).to_pylist() for w in (BEGIN, *t.lower().split())]
+            found, n = np.unique(np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select(F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    counts = some.mapInArrow(each, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    whole = counts.agg(F.sum("n")).first()[0] or 1
+    rows = counts.where((F.col("n") >= OFTEN) & (F.col("n") * 4 * shards >= whole)).collect()
+    return {r["h"] % (1 << 64): -(-4 * shards * r["n"] // whole) for r in rows}
 
 
 def _pack(docs: DataFrame, batches_wanted: int) -> DataFrame:
-    """(batch, blob): documents by a hash of their row, some hundreds in a compressed blob."""
+    """(batch, blob): documents by a hash of their doc_id and text, some hundreds in a compressed blob."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for b in batches:
@@ -186,96 +366,58 @@ def _pack(docs: DataFrame, batches_wanted: int) -> DataFrame:
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
     rows = docs.select(
         "doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), F.coalesce(~held, F.lit(True)).alias("train"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(batches_wanted)).cast("int").alias("batch"))
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches_wanted)).cast("int").alias("batch"))
     return rows.mapInArrow(each, "batch int, blob binary")
 
 
-def _unpack(group: pa.Table, shards: int) -> tuple[pa.Table, Batch]:
+def _unpack(group: pa.Table, shards: int, hot: dict[int, int]) -> tuple[pa.Table, Batch]:
     open_ = zstandard.ZstdDecompressor()
     rows = pa.concat_tables([pa.ipc.open_stream(open_.decompress(x)).read_all() for x in group.column("blob").to_pylist()])
-    return rows, Batch(rows.column("text").to_pylist(), rows.column("train").to_numpy(zero_copy_only=False).astype(bool), shards)
+    return rows, Batch(rows.column("text").to_pylist(), rows.column("train").to_numpy(zero_copy_only=False).astype(bool), shards, hot)
 
 
-def language_model_scores(docs: DataFrame, batch_bytes: int = 12 << 20, prior: float = PRIOR) -> DataFrame:
+def language_model_scores(docs: DataFrame, batch_bytes: int = 12 << 20, priors: tuple[float, float] = (PRIOR_2, PRIOR_3)) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text; a null text is empty.
 
-    Documents whose crc32(doc_id as text) mod 7 is 2 teach nothing. A batch of documents (dealt by a
-    hash of doc_id) sends each of its distinct words and word pairs once, with the count of its
-    training documents, to the shard of their hash. A shard adds up what all batches send, builds
-    its trie and answers every batch in the batch's own order: exact counts of words and quantised
-    weights of pairs. With them a batch scores its documents by the pair's share in its context,
-    smoothed towards the unigram model by ``prior`` pseudo-counts.
+    A row for each row of ``docs``; repeated rows count as often as they come, and rows without a doc_id teach. Documents
+    whose crc32(doc_id as text) mod 7 is 2 teach nothing. A batch of documents (dealt by a hash of
+    doc_id and text) sends its distinct words, pairs and triples of words once, as a trie with the counts of its
+    training documents, to the shards of the first words; a frequent first word's followers are dealt to
+    several shards. A shard adds up what all batches send, builds its compact trie and answers every batch
+    in the batch's own order. With that a batch scores its documents: a word's probability after two
+    others is its smoothed share there plus what that context leaves to the model of one word less.
 
-    A context's pairs lie in up to ``SALTS`` shards by their second word, and a batch sends a pair once
-    however often it has it. Words are known by 64 bits of hash, contexts by 48 and followers by 40.
+    Only shards that a batch has words for get a row from it, so rows grow with the text and not with
+    batches times shards. Words are known by 64 bits of hash.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    wanted = max(6, -(-total // batch_bytes))
-    shards = max(6, -(-total // batch_bytes))
+    wanted = shards = max(6, -(-total // batch_bytes))
+    hot = hot_words(docs, total, shards)
     packed = _pack(docs, wanted)
 
     def ask(group: pa.Table) -> pa.Table:
-        _, b = _unpack(group, shards)
-        rows: list[tuple] = []
+        _, b = _unpack(group, shards, hot)
         number = group.column("batch")[0].as_py()
-        for s in range(shards):
-            words, pairs = b.of_shard(s)
-            if not len(words) and not len(pairs):
-                continue
-            context = b.context[pairs]
-            new = np.concatenate(([True], context[1:] != context[:-1])) if len(pairs) else np.zeros(0, bool)
-            run = np.diff(np.append(np.flatnonzero(new), len(pairs)))
-            rows.append((s, number, b.hash[words].tobytes(), *_narrow(b.counts[words]), _short(context[new], CONTEXT_BITS), *_narrow(run), _short(b.follow[pairs], FOLLOW_BITS), *_narrow(b.pair_counts[pairs])))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] * 2 + [pa.binary()] * 9)], names=ASK)
+        rows = [(q[0], number, *q[1:]) for q in b.questions()]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] * 2 + [pa.binary()] * len(ASKED))], names=["shard", "batch", *ASKED])
 
     def serve(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["batch"])
-        words = np.concatenate([np.frombuffer(r["words"], "<u8") for r in rows])
-        counts = np.concatenate([_wide(r["counts"], r["counts_big"]) for r in rows])
-        known, at = np.unique(words, return_inverse=True)
-        totals = np.bincount(at, counts, minlength=len(known)).astype(np.int64)
-        answers = totals[at]
-        context = np.concatenate([np.repeat(_long(r["contexts"], CONTEXT_BITS), _wide(r["runs"], r["runs_big"])) for r in rows])
-        follow = np.concatenate([_long(r["follow"], FOLLOW_BITS) for r in rows])
-        pair_counts = np.concatenate([_wide(r["pair_counts"], r["pair_counts_big"]) for r in rows])
-        order = np.lexsort((follow, context))
-        order = order[pair_counts[order] > 0]
-        c, f = context[order], follow[order]
-        first = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (f[1:] != f[:-1])))) if len(order) else order
-        trie = BigramTrie(c[first], f[first], np.add.reduceat(pair_counts[order], first) if len(first) else first)
-        out, w, p = [], 0, 0
-        for r in rows:
-            nw, np_ = len(r["words"]) // 8, len(r["follow"]) * 8 // FOLLOW_BITS
-            codes = trie.ask(context[p : p + np_], follow[p : p + np_])
-            out.append((r["batch"], r["shard"], *_narrow(answers[w : w + nw]), codes.tobytes(), int(totals.sum()), int((totals > 0).sum())))
-            w, p = w + nw, p + np_
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32()] * 2 + [pa.binary()] * 3 + [pa.int64()] * 2)], names=ANSWER)
-
-    asked = packed.groupBy("batch").applyInArrow(ask, "shard int, batch int, words binary, counts binary, counts_big binary, contexts binary, runs binary, runs_big binary, follow binary, pair_counts binary, pair_counts_big binary")
-    answers = checkpointed(asked.groupBy("shard").applyInArrow(serve, "batch int, shard int, counts binary, counts_big binary, codes binary, tokens bigint, types bigint"))
-    sums = answers.groupBy("shard").agg(F.first("tokens").alias("n"), F.first("types").alias("v")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*answers(rows, priors)), [pa.int32()] * 2 + [pa.binary()] * len(ANSWERED) + [pa.int64()] * 2)], names=["batch", "shard", *ANSWERED, "tokens", "types"])
+
+    asked = packed.groupBy("batch").applyInArrow(ask, ", ".join(["shard int", "batch int", *(f"{k} binary" for k in ASKED)]))
+    answered = checkpointed(asked.groupBy("shard").applyInArrow(serve, ", ".join(["batch int", "shard int", *(f"{k} binary" for k in ANSWERED), "tokens bigint", "types bigint"])))
+    sums = answered.groupBy("shard").agg(F.first("tokens").alias("n"), F.first("types").alias("v")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n, v = int(sums[0]), int(sums[1])
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def score(group: pa.Table, got: pa.Table) -> pa.Table:
-        rows, b = _unpack(group, shards)
-        counts, codes = np.zeros(len(b.hash), np.int64), np.zeros(len(b.context), np.uint8)
-        for r in got.to_pylist():
-            words, pairs = b.of_shard(r["shard"])
-            counts[words], codes[pairs] = _wide(r["counts"], r["counts_big"]), np.frombuffer(r["codes"], np.uint8)
-        unigram = (counts + 1) / (n + v + 1)
-        context = counts[b.before].astype(float)
-        seen = np.minimum(weight_of(codes)[b.pair], context)
-        p = (seen + prior * unigram[b.word]) / (context + prior)
-        heads = np.concatenate(([0], np.cumsum(b.lengths)[:-1]))
-        sums = [np.add.reduceat(x, heads) for x in ((counts[b.word] > 0).astype(np.int64), np.log10(unigram)[b.word], np.log10(p))]
+        rows, b = _unpack(group, shards, hot)
+        counts, unigram, full = log_probabilities(b, got.to_pylist(), n, v)
+        sums = [np.add.reduceat(x, b.heads) for x in ((counts > 0).astype(np.int64), unigram, full)]
         held = ~rows.column("train").to_numpy(zero_copy_only=False).astype(bool)
         return pa.table([rows.column("doc_id"), pa.array(held), pa.array(b.lengths), pa.array(sums[0]), pa.array(np.full(len(held), n)), pa.array(sums[1]), pa.array(sums[2])],
                         names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, schema)
-
-
-ASK = ["shard", "batch", "words", "counts", "counts_big", "contexts", "runs", "runs_big", "follow", "pair_counts", "pair_counts_big"]
-ANSWER = ["batch", "shard", "counts", "counts_big", "codes", "tokens", "types"]
+    return packed.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(score, schema)
