@@ -349,7 +349,7 @@ def repeated_spans(docs: DataFrame, width: int = 100, shard_bytes: int = 8 << 20
             cols |= {"key_a": cols["key"] & np.uint64(0xFFFFFFFF), "key_b": cols["key"] >> np.uint64(32), "size": cols["hi"] - cols["lo"]}
             shard = ((cols["key"] >> np.uint64(8)) % np.uint64(shards)).astype(np.int64)
             by = np.lexsort((cols["lo"], cols["doc"], shard))
-            parts = [p for p in np.split(by, np.searchsorted(shard[by], np.arange(1, shards))) if len(p)]
+            parts = np.split(by, np.flatnonzero(np.diff(shard[by])) + 1) if len(by) else []
             return pa.RecordBatch.from_arrays([pa.array([int(shard[p[0]]) for p in parts], pa.int32()), pa.array([_blob(cols, p) for p in parts], pa.binary())], ["shard", "blob"])
 
         for b in batches:
