@@ -21,6 +21,8 @@ PRIOR_2, PRIOR_3, STEPS = 1000.0, 30.0, 20
 END, BEGIN = b"", b" "
 #: Bytes of text, as expected, in which frequent first words are looked for, and the times that such a word must occur there.
 SAMPLE, OFTEN = 8 << 20, 64
+#: Bits of the hash by which pairs and triples know their words; unigrams have all 64.
+WORD_BITS = 48
 ODD = np.uint64(0x9E3779B97F4A7C15)
 _SELECT = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.uint8)
 
@@ -103,6 +105,21 @@ class EliasFano:
     def decode(self) -> np.ndarray:
         return self.get(np.arange(self.n))
 
+    def pack(self) -> bytes:
+        """The sequence as bytes, to be sent."""
+        return self.n.to_bytes(8, "little") + int(self.shift).to_bytes(8, "little") + self.low.tobytes() + self.high.tobytes()
+
+    @classmethod
+    def unpack(cls, data: bytes) -> EliasFano:
+        e = cls.__new__(cls)
+        e.n, bits = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little")
+        e.shift, width = np.uint64(bits), -(-bits // 8)
+        e.low = np.frombuffer(data, np.uint8, e.n * width, 16).reshape(e.n, width)
+        e.high = np.frombuffer(data[16 + e.n * width :], "<u8")
+        count = np.bitwise_count(e.high)
+        e.ranks = np.cumsum(count, dtype=np.int64) - count
+        return e
+
 
 class TrigramTrie:
     """Three levels: roots by hash, their followers and the followers of these by rank in the shard's own dictionary.
@@ -177,6 +194,17 @@ def value_of(codes: np.ndarray, missing: float) -> np.ndarray:
     return table[codes]
 
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, which one each is), in 32 bits."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return keys[new], number
+
+
 class Batch:
     """The distinct words, pairs and triples of some documents, as a trie whose roots are sorted by their shard.
 
@@ -190,7 +218,7 @@ class Batch:
         for t in texts:
             words = t.lower().split()
             words.append(END)
-            ids.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
+            ids.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
         digest, size = xxhash.xxh64_intdigest, len(index)
         self.hash = np.array([digest(w) for w in index], np.uint64)
         order = np.argsort(self.hash)  # words are numbered by their hashes, so that a batch is the same each time, however its rows come
@@ -198,7 +226,7 @@ class Batch:
         number[order] = np.arange(size)
         self.hash, begin = self.hash[order], int(number[begin])
         self.lengths = np.array([len(r) for r in ids], np.int64)
-        self.word = number[np.concatenate(ids)] if ids else np.zeros(0, np.int64)
+        self.word = number[np.concatenate(ids)].astype(np.int32) if ids else np.zeros(0, np.int32)
         self.heads = np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64)[: len(self.lengths)]
         self.before = np.empty_like(self.word)
         self.before[1:] = self.word[:-1]
@@ -222,11 +250,11 @@ class Batch:
         self.root_word, self.salt, self.root_hash, self.root_shard = self.root_word[order], self.salt[order], self.root_hash[order], shard[order]
         fork = (self.hash >> np.uint64(7)).astype(np.int64)
         root = rank[start[self.before] + fork[self.word] % salts[self.before]]
-        pairs, self.pair = np.unique(root * size + self.word, return_inverse=True)
+        pairs, self.pair = _numbered(root * size + self.word)
         self.pair_root, self.pair_word = pairs // size, pairs % size
         self.pair_counts = np.bincount(self.pair[learns], minlength=len(pairs))
         at = np.flatnonzero(self.inside)
-        triples, self.triple = np.unique(self.pair[at - 1] * size + self.word[at], return_inverse=True)
+        triples, self.triple = _numbered(self.pair[at - 1].astype(np.int64) * size + self.word[at])
         self.parent, self.third = triples // size, triples % size
         self.triple_counts = np.bincount(self.triple[learns[at]], minlength=len(triples))
         self.first_root = rank[start]
@@ -250,8 +278,8 @@ class Batch:
             word = self.root_word[r]
             totals = (self.salt[r] == 0) & (word != self.begin)
             yield (
-                shard, self.hash[word].tobytes(), (self.salt[r] * 2 + totals).astype("<u4").tobytes(), *_narrow(self.counts[word]),
-                self.hash[used].tobytes(),
+                shard, _planes(self.hash[word], 8), (self.salt[r] * 2 + totals).astype("<u4").tobytes(), *_narrow(self.counts[word]),
+                EliasFano(self.hash[used] >> np.uint64(64 - WORD_BITS)).pack(),
                 *_narrow(np.bincount(self.pair_root[p] - r.start, minlength=r.stop - r.start)), place[self.pair_word[p]].astype(kind).tobytes(), *_narrow(self.pair_counts[p]),
                 *_narrow(np.bincount(self.parent[t] - p.start, minlength=p.stop - p.start)), place[self.third[t]].astype(kind).tobytes(), *_narrow(self.triple_counts[t]))
 
@@ -266,6 +294,17 @@ def _narrow(counts: np.ndarray) -> tuple[bytes, bytes]:
     return np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[counts >= 255].astype("<u8").tobytes()
 
 
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of sorted numbers, their first bytes first: those hardly vary and compress."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _from_planes(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
 def _wide(low: bytes, high: bytes) -> np.ndarray:
     out = np.frombuffer(low, np.uint8).astype(np.int64)
     out[out == 255] = np.frombuffer(high, "<u8").astype(np.int64)
@@ -280,11 +319,12 @@ def answers(rows: list[dict], priors: tuple[float, float]) -> Iterator[tuple]:
     """
     read = lambda k, d: [np.frombuffer(r[k], d) for r in rows]
     wide = lambda k: [_wide(r[k], r[k + "_big"]) for r in rows]
-    dictionaries = read("words", "<u8")
+    press = zstandard.ZstdCompressor(level=1).compress
+    dictionaries = [EliasFano.unpack(r["words"]).decode() for r in rows]
     words = np.unique(np.concatenate(dictionaries))
     rank = lambda k: np.concatenate([np.searchsorted(words, d)[np.frombuffer(r[k], "<u2" if len(d) < 1 << 16 else "<u4")] for r, d in zip(rows, dictionaries)])
     salts = np.concatenate(read("salts", "<u4"))
-    roots, root_of = np.unique(np.concatenate(read("roots", "<u8")) ^ ((salts >> 1).astype(np.uint64) * ODD), return_inverse=True)
+    roots, root_of = np.unique(np.concatenate([_from_planes(r["roots"], 8) for r in rows]) ^ ((salts >> 1).astype(np.uint64) * ODD), return_inverse=True)
     size = max(1, len(words))
     c1 = np.bincount(root_of, np.concatenate(wide("counts")), minlength=len(roots))
     totals = np.zeros(len(roots), bool)
@@ -302,7 +342,7 @@ def answers(rows: list[dict], priors: tuple[float, float]) -> Iterator[tuple]:
     for row in rows:
         i, j, k = len(row["roots"]) // 8, len(row["pair_counts"]), len(row["triple_counts"])
         at = root_of[a : a + i], pair_of[b : b + j], triple_of[c : c + k]
-        yield (row["batch"], row["shard"], *_narrow(c1[at[0]].astype(np.int64)), codes[0][at[0]].tobytes(), codes[1][at[1]].tobytes(), codes[2][at[1]].tobytes(), codes[3][at[2]].tobytes(), tokens, types)
+        yield (row["batch"], row["shard"], *_narrow(c1[at[0]].astype(np.int64)), *(press(codes[i][at[j]].tobytes()) for i, j in enumerate((0, 1, 1, 2))), tokens, types)
         a, b, c = a + i, b + j, c + k
 
 
@@ -311,12 +351,12 @@ def log_probabilities(b: Batch, got: list[dict], n: int, v: int) -> tuple[np.nda
     counts, back_1 = np.zeros(len(b.root_word), np.int64), np.zeros(len(b.root_word), np.uint8)
     p_2, back_2 = np.zeros(len(b.pair_word), np.uint8), np.zeros(len(b.pair_word), np.uint8)
     p_3 = np.zeros(len(b.third), np.uint8)
-    by_shard = {r["shard"]: r for r in got}
+    by_shard, open_ = {r["shard"]: r for r in got}, zstandard.ZstdDecompressor().decompress
     for shard, r, p, t in b.slices():
         a = by_shard[shard]
         counts[r] = _wide(a["counts"], a["counts_big"])
         for out, s, k in ((back_1, r, "back_1"), (p_2, p, "p_2"), (back_2, p, "back_2"), (p_3, t, "p_3")):
-            out[s] = np.frombuffer(a[k], np.uint8)
+            out[s] = np.frombuffer(open_(a[k]), np.uint8)
     count_of = counts[b.first_root][b.word]
     unigram = (count_of + 1) / (n + v + 1)
     one = (value_of(p_2, 0.0)[b.pair]) + value_of(back_1, 1.0)[b.pair_root][b.pair] * unigram
@@ -349,7 +389,7 @@ def hot_words(docs: DataFrame, total: int, shards: int) -> dict[int, int]:
 def _pack(docs: DataFrame, batches_wanted: int) -> DataFrame:
     """(batch, blob): documents by a hash of their doc_id and text, some hundreds in a compressed blob."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for b in batches:
             batch = b.column(3).to_numpy()
             order = np.argsort(batch, kind="stable")
@@ -376,7 +416,7 @@ def _unpack(group: pa.Table, shards: int, hot: dict[int, int]) -> tuple[pa.Table
     return rows, Batch(rows.column("text").to_pylist(), rows.column("train").to_numpy(zero_copy_only=False).astype(bool), shards, hot)
 
 
-def language_model_scores(docs: DataFrame, batch_bytes: int = 12 << 20, priors: tuple[float, float] = (PRIOR_2, PRIOR_3)) -> DataFrame:
+def language_model_scores(docs: DataFrame, batch_bytes: int = 20 << 20, priors: tuple[float, float] = (PRIOR_2, PRIOR_3)) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text; a null text is empty.
 
     A row for each row of ``docs``; repeated rows count as often as they come, and rows without a doc_id teach. Documents
@@ -388,7 +428,7 @@ def language_model_scores(docs: DataFrame, batch_bytes: int = 12 << 20, priors:
     others is its smoothed share there plus what that context leaves to the model of one word less.
 
     Only shards that a batch has words for get a row from it, so rows grow with the text and not with
-    batches times shards. Words are known by 64 bits of hash.
+    batches times shards. Words are known by 64 bits of hash, within pairs and triples by 48.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     wanted = shards = max(6, -(-total // batch_bytes))
@@ -398,11 +438,13 @@ def language_model_scores(docs: DataFrame, batch_bytes: int = 12 << 20, priors:
     def ask(group: pa.Table) -> pa.Table:
         _, b = _unpack(group, shards, hot)
         number = group.column("batch")[0].as_py()
-        rows = [(q[0], number, *q[1:]) for q in b.questions()]
+        press = zstandard.ZstdCompressor(level=1).compress
+        rows = [(q[0], number, *map(press, q[1:])) for q in b.questions()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32()] * 2 + [pa.binary()] * len(ASKED))], names=["shard", "batch", *ASKED])
 
     def serve(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: r["batch"])
+        open_ = zstandard.ZstdDecompressor().decompress
+        rows = [{k: open_(x) if isinstance(x, bytes) else x for k, x in r.items()} for r in sorted(group.to_pylist(), key=lambda r: r["batch"])]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*answers(rows, priors)), [pa.int32()] * 2 + [pa.binary()] * len(ANSWERED) + [pa.int64()] * 2)], names=["batch", "shard", *ANSWERED, "tokens", "types"])
 
     asked = packed.groupBy("batch").applyInArrow(ask, ", ".join(["shard int", "batch int", *(f"{k} binary" for k in ASKED)]))
