@@ -89,12 +89,6 @@ def a13_segment_leaders(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").withColumn("rank", F.row_number().over(w)).where("rank <= 2").select("c_mktsegment", "rank", "c_custkey", "c_acctbal")
 
 
-def f05_name_search(spark: SparkSession, d: str) -> DataFrame:
-    """Events of persons whose name contains a text, by a semi join."""
-    people = table(spark, d, "customer").where(F.lower("c_name").contains("42")).select(F.col("c_custkey").cast("string").alias("person_id"))
-    return shown_events(spark, d).join(people, "person_id", "left_semi").select("event_id", "person_id", "camera_id")
-
-
 def f06_type_filter(spark: SparkSession, d: str) -> DataFrame:
     """Events with a type in any of its spellings."""
     return typed(shown_events(spark, d)).where(F.array_contains("types", "protective_clothing")).select("event_id", "camera_id")

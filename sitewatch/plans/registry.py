@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from sitewatch.functions.vocabulary import TYPES
-from sitewatch.operators import dashboard, similarity, spatial, telemetry, temporal
+from sitewatch.operators import dashboard, search, similarity, spatial, telemetry, temporal
+from sitewatch.plans import search_sql
 
-QUERIES = {
-    name: f
-    for module in (dashboard, similarity, spatial, telemetry, temporal)
-    for name, f in vars(module).items()
-    if callable(f) and getattr(f, "__module__", "") == module.__name__ and name[:1] in "afjorsuw" and name[1:3].isdigit() or name == "st05_cooldown"
-}
+#: The modules whose queries are registered under their functions' names.
+MODULES = (dashboard, search, similarity, spatial, telemetry, temporal)
+
+
+def _queries(module) -> dict:
+    """Functions of a module that are called by an operator's id, as in ``a01_summary`` or ``st05_cooldown``."""
+    own = ((name, f) for name, f in vars(module).items() if getattr(f, "__module__", "") == module.__name__)
+    return {name: f for name, f in own if re.match(r"(a|f|io|j|o|p|r|s|st|u|w)\d\d_", name)}
+
+
+QUERIES = {name: f for module in MODULES for name, f in _queries(module).items()}
 
 _EV = """ev0 AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, 'cam_' || CAST(user_id % 16 AS VARCHAR) AS camera_id FROM events),
 ev AS (SELECT *, CASE WHEN k % 10 <> 0 THEN CAST(user_id AS VARCHAR) END AS person_id,
@@ -56,7 +64,6 @@ ORACLE_SQL = {
     "a10_today_and_week": f"WITH {_EV} SELECT count(*) FILTER (ts >= TIMESTAMP '2024-01-30') AS today, count(*) FILTER (ts >= TIMESTAMP '2024-01-29') AS week FROM sh",
     "a12_person_rolling": f"WITH {_EV}, c AS (SELECT person_id, count(*) FILTER (is_violation AND ts >= TIMESTAMP '2024-01-30') AS d1, count(*) FILTER (is_violation AND ts >= TIMESTAMP '2024-01-24') AS d7, count(*) FILTER (is_violation AND ts >= TIMESTAMP '2024-01-01') AS d30 FROM ev GROUP BY 1) SELECT CAST(c_custkey AS VARCHAR) AS person_id, coalesce(d1, 0) AS d1, coalesce(d7, 0) AS d7, coalesce(d30, 0) AS d30 FROM customer LEFT JOIN c ON c.person_id = CAST(c_custkey AS VARCHAR)",
     "a13_segment_leaders": "SELECT c_mktsegment, rank, c_custkey, c_acctbal FROM (SELECT *, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS INTEGER) AS rank FROM customer) WHERE rank <= 2",
-    "f05_name_search": f"WITH {_EV} SELECT event_id, person_id, camera_id FROM sh WHERE person_id IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_name ILIKE '%42%')",
     "f06_type_filter": f"WITH {_EV} SELECT event_id, camera_id FROM sh WHERE (k >> 2) & 1 = 1",
     "f08_active_visits": "SELECT o_orderkey, o_orderdate <= TIMESTAMP '1998-06-30 12:00:00' AS present FROM orders WHERE o_orderdate + to_days(CAST(o_orderkey % 20 AS INTEGER)) >= TIMESTAMP '1998-06-30 12:00:00'",
     "f10_person_search": "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_name ILIKE '%00012%'",
@@ -87,3 +94,4 @@ ORACLE_SQL = {
     "j16_missed_windows": f"WITH {_WIN} SELECT c.camera_id, w.window_start FROM (SELECT DISTINCT window_start FROM rec) w, (SELECT DISTINCT camera_id FROM ev) c WHERE (c.camera_id, w.window_start) NOT IN (SELECT (camera_id, window_start) FROM rec)",
     "j15_visits_by_day": "SELECT CAST(d AS DATE) AS day, count(*) AS n FROM range(TIMESTAMP '1998-06-01', TIMESTAMP '1998-07-01', INTERVAL 1 DAY) r(d) JOIN orders ON CAST(o_orderdate AS DATE) <= d AND CAST(o_orderdate + to_days(CAST(o_orderkey % 20 AS INTEGER)) AS DATE) >= d AND o_orderdate >= DATE '1998-05-01' AND o_orderdate < DATE '1998-07-01' GROUP BY 1",
 }
+ORACLE_SQL |= search_sql.ORACLE_SQL

@@ -62,3 +62,39 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("l_returnflag", "l_linestatus").alias("stage"), F.col("l_quantity").cast("int").alias("batch"), F.col("l_shipdate").alias("ts"),
         F.struct("l_shipdate", "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus").alias("seq"),
     )
+
+
+def case_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the event list shows them: with an own name, stored types, evidence and all cameras."""
+    e = safety_events(spark, sf_dir)
+    k, none = F.col("k"), F.array().cast("array<string>")
+    return e.select(
+        "*",
+        F.when(k % 7 == 0, F.concat(F.lit("Worker "), F.col("user_id").cast("string"))).alias("person_name"),
+        F.when(k % 2 == 1, none).when(k % 4 == 0, F.array(F.lit("fall_detected"), F.lit("hardhat"))).alias("stored"),
+        F.when(k % 3 == 0, "snaps").alias("bucket"),
+        F.when(k % 3 == 0, F.concat(F.lit("violation/"), F.col("event_id").cast("string"), F.lit(".jpg"))).alias("key"),
+        F.when(k % 5 == 0, F.concat(F.lit("/data/old/snap_"), F.col("event_id").cast("string"), F.lit(".jpg"))).alias("path"),
+        F.when(k % 2 == 0, F.array("camera_id", F.concat(F.lit("cam_"), ((F.col("user_id") + 1) % 16).cast("string")))).otherwise(F.array("camera_id")).alias("cameras"),
+    )
+
+
+def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directory of persons: id, name, employee flag; some names are what trackers left."""
+    key = F.col("c_custkey")
+    name = (
+        F.when(key % 11 == 3, F.concat(F.lit("track_"), key.cast("string"))).when(key % 13 == 4, "   ").when(key % 17 == 5, key.cast("string"))
+        .when(key % 19 == 6, F.concat(F.lit("person_"), key.cast("string"))).when(key % 23 == 7, F.concat(F.lit("Unknown "), key.cast("string"))).otherwise(F.col("c_name")))
+    return table(spark, sf_dir, "customer").select(key.cast("string").alias("id"), name.alias("name"), (F.col("c_mktsegment") != "BUILDING").alias("employee"), "c_acctbal", "c_mktsegment", "c_custkey")
+
+
+def cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cameras from the suppliers: id, floor, name, suffix, host, patrol and enabled flags."""
+    s = F.col("s_suppkey")
+    floor = F.element_at(F.array(*map(F.lit, ["一楼", "二楼", " 三楼", "室外", "地下", "四楼"])), (s % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("cam_"), s.cast("string")).alias("camera_id"), floor.alias("floor"),
+        F.concat(F.when(s % 2 == 0, F.trim(floor)).otherwise(""), F.lit(" 通道"), s.cast("string")).alias("name"),
+        F.when(s % 5 == 0, F.concat(F.lit(" 门"), s.cast("string"))).otherwise("").alias("suffix"),
+        F.when(s % 7 == 0, "").when(s % 7 == 1, "camera.local").otherwise(F.concat(F.lit("10.0."), (s % 4).cast("string"), F.lit("."), (s * 37 % 256).cast("string"))).alias("host"),
+        (s % 3 != 0).alias("patrol"), (s % 9 != 0).alias("enabled"), s.alias("number"), "s_acctbal")
