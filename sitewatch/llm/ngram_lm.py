@@ -163,22 +163,22 @@ class TrigramTrie:
         lo[there], hi[there] = pointers.get(node[there]), pointers.get(node[there] + 1)
         return lo, hi
 
-    def ask(self, roots: np.ndarray, root_of: np.ndarray, word: np.ndarray, pair_of: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, ...]:
+    def rank(self, hashes: np.ndarray) -> np.ndarray:
+        """Ranks of words in the dictionary, -1 of others."""
+        return self.words.find(np.zeros(len(hashes), np.int64), np.full(len(hashes), self.words.n), hashes)
+
+    def ask(self, roots: np.ndarray, root_of: np.ndarray, second: np.ndarray, pair_of: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, ...]:
         """Codes (what roots leave, probabilities of pairs, what pairs leave, probabilities of triples) of nodes, 0 where they are not in the trie.
 
-        ``roots``: hashes; a pair is a place in them and a word's hash, a triple a place among the pairs and a word's hash.
+        ``roots``: hashes; a pair is a place in them and a word's rank, a triple a place among the pairs and a word's rank.
         """
-        every = lambda e, x: e.find(np.zeros(len(x), np.int64), np.full(len(x), e.n), x)
-        node = every(self.roots, roots)
-
-        def below(pointers: EliasFano, level: EliasFano, parent: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-            distinct, at = np.unique(hashes, return_inverse=True)
-            rank = every(self.words, distinct)[at]
-            parent = np.where(rank < 0, -1, parent)
-            lo, hi = self.children(pointers, parent)
+        node = self.roots.find(np.zeros(len(roots), np.int64), np.full(len(roots), self.roots.n), roots)
+
+        def below(pointers: EliasFano, level: EliasFano, parent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+            lo, hi = self.children(pointers, np.where(rank < 0, -1, parent))
             return level.find(lo, hi, np.maximum(parent, 0).astype(np.uint64) * self.size + np.maximum(rank, 0).astype(np.uint64))
 
-        pair = below(self.first, self.pairs, node[root_of], word)
+        pair = below(self.first, self.pairs, node[root_of], second)
         triple = below(self.second, self.triples, pair[pair_of], third)
         value = lambda codes, at: np.where(at >= 0, codes[np.maximum(at, 0)] if len(codes) else 0, 0).astype(np.uint8)
         return value(self.back_1, node), value(self.p_2, pair), value(self.back_2, pair), value(self.p_3, triple)
@@ -228,9 +228,9 @@ class Batch:
         self.lengths = np.array([len(r) for r in ids], np.int64)
         self.word = number[np.concatenate(ids)].astype(np.int32) if ids else np.zeros(0, np.int32)
         self.heads = np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64)[: len(self.lengths)]
-        self.before = np.empty_like(self.word)
-        self.before[1:] = self.word[:-1]
-        self.before[self.heads] = begin
+        before = np.empty_like(self.word)
+        before[1:] = self.word[:-1]
+        before[self.heads] = begin
         learns = np.repeat(train, self.lengths)
         self.counts = np.bincount(self.word[learns], minlength=size)
         self.counts[begin] = train.sum()
@@ -249,7 +249,7 @@ class Batch:
         rank[order] = np.arange(len(order))
         self.root_word, self.salt, self.root_hash, self.root_shard = self.root_word[order], self.salt[order], self.root_hash[order], shard[order]
         fork = (self.hash >> np.uint64(7)).astype(np.int64)
-        root = rank[start[self.before] + fork[self.word] % salts[self.before]]
+        root = rank[start[before] + fork[self.word] % salts[before]]
         pairs, self.pair = _numbered(root * size + self.word)
         self.pair_root, self.pair_word = pairs // size, pairs % size
         self.pair_counts = np.bincount(self.pair[learns], minlength=len(pairs))
@@ -317,32 +317,32 @@ def answers(rows: list[dict], priors: tuple[float, float]) -> Iterator[tuple]:
     The questions' nodes are merged and counted, the trie is built from those with a training count,
     and every distinct node is looked up in it.
     """
-    read = lambda k, d: [np.frombuffer(r[k], d) for r in rows]
-    wide = lambda k: [_wide(r[k], r[k + "_big"]) for r in rows]
     press = zstandard.ZstdCompressor(level=1).compress
-    dictionaries = [EliasFano.unpack(r["words"]).decode() for r in rows]
+    sizes = [(r["batch"], r["shard"], len(r["salts"]) // 4, len(r["pair_counts"]), len(r["triple_counts"])) for r in rows]
+    wide = lambda k: np.concatenate([_wide(r.pop(k), r.pop(k + "_big")) for r in rows])
+    salts = np.concatenate([np.frombuffer(r.pop("salts"), "<u4") for r in rows])
+    roots, root_of = _numbered(np.concatenate([_from_planes(r.pop("roots"), 8) for r in rows]) ^ ((salts >> 1).astype(np.uint64) * ODD))
+    dictionaries = [EliasFano.unpack(r.pop("words")).decode() for r in rows]
     words = np.unique(np.concatenate(dictionaries))
-    rank = lambda k: np.concatenate([np.searchsorted(words, d)[np.frombuffer(r[k], "<u2" if len(d) < 1 << 16 else "<u4")] for r, d in zip(rows, dictionaries)])
-    salts = np.concatenate(read("salts", "<u4"))
-    roots, root_of = np.unique(np.concatenate([_from_planes(r["roots"], 8) for r in rows]) ^ ((salts >> 1).astype(np.uint64) * ODD), return_inverse=True)
+    places = [np.searchsorted(words, d).astype(np.int32) for d in dictionaries]
+    rank = lambda k: np.concatenate([p[np.frombuffer(r.pop(k), "<u2" if len(p) < 1 << 16 else "<u4")] for r, p in zip(rows, places)])
     size = max(1, len(words))
-    c1 = np.bincount(root_of, np.concatenate(wide("counts")), minlength=len(roots))
+    c1 = np.bincount(root_of, wide("counts"), minlength=len(roots))
     totals = np.zeros(len(roots), bool)
     totals[root_of[salts & 1 == 1]] = True
     tokens, types = int(c1[totals].sum()), int((c1[totals] > 0).sum())
-    pairs, pair_of = np.unique(np.repeat(root_of, np.concatenate(wide("pairs"))) * size + rank("pair_words"), return_inverse=True)
-    c2 = np.bincount(pair_of, np.concatenate(wide("pair_counts")), minlength=len(pairs))
-    triples, triple_of = np.unique(np.repeat(pair_of, np.concatenate(wide("triples"))) * size + rank("triple_words"), return_inverse=True)
-    c3 = np.bincount(triple_of, np.concatenate(wide("triple_counts")), minlength=len(triples))
+    pairs, pair_of = _numbered(np.repeat(root_of, wide("pairs")).astype(np.int64) * size + rank("pair_words"))
+    c2 = np.bincount(pair_of, wide("pair_counts"), minlength=len(pairs))
+    triples, triple_of = _numbered(np.repeat(pair_of, wide("triples")).astype(np.int64) * size + rank("triple_words"))
+    c3 = np.bincount(triple_of, wide("triple_counts"), minlength=len(triples))
     r, p, t = c1 > 0, c2 > 0, c3 > 0
     root_at, pair_at = np.cumsum(r) - 1, np.cumsum(p) - 1
     trie = TrigramTrie(words, roots[r], c1[r], root_at[pairs[p] // size], pairs[p] % size, c2[p], pair_at[triples[t] // size], triples[t] % size, c3[t], priors)
-    codes = trie.ask(roots, pairs // size, words[pairs % size], triples // size, words[triples % size])
+    codes = trie.ask(roots, pairs // size, pairs % size, triples // size, triples % size)
     a = b = c = 0
-    for row in rows:
-        i, j, k = len(row["roots"]) // 8, len(row["pair_counts"]), len(row["triple_counts"])
+    for batch, shard, i, j, k in sizes:
         at = root_of[a : a + i], pair_of[b : b + j], triple_of[c : c + k]
-        yield (row["batch"], row["shard"], *_narrow(c1[at[0]].astype(np.int64)), *(press(codes[i][at[j]].tobytes()) for i, j in enumerate((0, 1, 1, 2))), tokens, types)
+        yield (batch, shard, *_narrow(c1[at[0]].astype(np.int64)), *(press(codes[n][at[m]].tobytes()) for n, m in enumerate((0, 1, 1, 2))), tokens, types)
         a, b, c = a + i, b + j, c + k
 
 
@@ -416,7 +416,7 @@ def _unpack(group: pa.Table, shards: int, hot: dict[int, int]) -> tuple[pa.Table
     return rows, Batch(rows.column("text").to_pylist(), rows.column("train").to_numpy(zero_copy_only=False).astype(bool), shards, hot)
 
 
-def language_model_scores(docs: DataFrame, batch_bytes: int = 20 << 20, priors: tuple[float, float] = (PRIOR_2, PRIOR_3)) -> DataFrame:
+def language_model_scores(docs: DataFrame, batch_bytes: int = 16 << 20, priors: tuple[float, float] = (PRIOR_2, PRIOR_3)) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text; a null text is empty.
 
     A row for each row of ``docs``; repeated rows count as often as they come, and rows without a doc_id teach. Documents
@@ -444,7 +444,8 @@ def language_model_scores(docs: DataFrame, batch_bytes: int = 20 << 20, priors:
 
     def serve(group: pa.Table) -> pa.Table:
         open_ = zstandard.ZstdDecompressor().decompress
-        rows = [{k: open_(x) if isinstance(x, bytes) else x for k, x in r.items()} for r in sorted(group.to_pylist(), key=lambda r: r["batch"])]
+        rows = [{k: open_(x) if isinstance(x, bytes) else x for k, x in r.items()} for one in group.to_batches() for r in one.to_pylist()]
+        rows.sort(key=lambda r: r["batch"])
         return pa.table([pa.array(c, t) for c, t in zip(zip(*answers(rows, priors)), [pa.int32()] * 2 + [pa.binary()] * len(ANSWERED) + [pa.int64()] * 2)], names=["batch", "shard", *ANSWERED, "tokens", "types"])
 
     asked = packed.groupBy("batch").applyInArrow(ask, ", ".join(["shard int", "batch int", *(f"{k} binary" for k in ASKED)]))
