@@ -10,7 +10,6 @@ from sitewatch.functions.vocabulary import TYPES, type_order
 from sitewatch.sources.views import safety_events, shown_events, table, typed
 
 
-
 def _days_ago(n: int):
     return F.date_trunc("day", now()) - F.expr(f"INTERVAL {n} DAYS")
 
@@ -121,12 +120,6 @@ def o02_recent_violations(spark: SparkSession, d: str) -> DataFrame:
     return shown_events(spark, d).where("is_violation").orderBy(F.desc("ts"), F.desc("event_id")).limit(10).select("event_id", "ts")
 
 
-def r04_capacity_alerts(spark: SparkSession, d: str) -> DataFrame:
-    """The first event of each camera's cooldown bucket of six hours in which a person was over the limit."""
-    bucket = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 21600)
-    return safety_events(spark, d).where("value > 100").groupBy("camera_id", bucket.alias("bucket")).agg(F.min("ts").alias("first_ts"), F.count("*").alias("n"))
-
-
 def u05_ordered_types(spark: SparkSession, d: str) -> DataFrame:
     """Each event's types in first-seen order."""
     return typed(safety_events(spark, d)).select("event_id", F.array_join("types", ",").alias("types"))

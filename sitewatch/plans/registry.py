@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 
 from sitewatch.functions.vocabulary import TYPES
-from sitewatch.operators import dashboard, search, similarity, spatial, telemetry, temporal
-from sitewatch.plans import search_sql
+from sitewatch.operators import dashboard, runtime, search, similarity, spatial, telemetry, temporal
+from sitewatch.plans import runtime_sql, search_sql
 
 #: The modules whose queries are registered under their functions' names.
-MODULES = (dashboard, search, similarity, spatial, telemetry, temporal)
+MODULES = (dashboard, runtime, search, similarity, spatial, telemetry, temporal)
 
 
 def _queries(module) -> dict:
@@ -36,8 +36,8 @@ pr0 AS (SELECT p.frame, p.obj AS person, i.obj AS item, greatest(0, least(p.x2,
   (p.x2 - p.x1) * (p.y2 - p.y1) AS pa, (i.x2 - i.x1) * (i.y2 - i.y1) AS ia,
   (i.x1 + i.x2) / 2 BETWEEN p.x1 AND p.x2 AND (i.y1 + i.y2) / 2 BETWEEN p.y1 AND p.y2 AS centre FROM bx p JOIN bx i ON p.frame = i.frame AND p.kind = 'person' AND i.kind = 'item'),
 pr AS (SELECT *, both_ / (pa + ia - both_) AS iou FROM pr0)"""
-_TEL = """tl AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag, l_linestatus, l_shipdate FROM lineitem),
-te AS (SELECT l_suppkey AS camera, l_suppkey % 4 AS shard, l_extendedprice / 100 AS ms, l_returnflag || l_linestatus AS stage, CAST(l_quantity AS INTEGER) AS batch, tl.* FROM tl)"""
+_TEL = """tl AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag, l_linestatus, l_shipdate FROM lineitem),
+te AS (SELECT l_suppkey AS camera, l_suppkey % 4 AS shard, CAST(round(l_extendedprice * 100) AS BIGINT) AS units, CAST(round(l_extendedprice * 100) AS BIGINT) / 10000 AS ms, l_returnflag || l_linestatus AS stage, CAST(l_quantity AS INTEGER) AS batch, tl.* FROM tl)"""
 _SC = """sc AS (SELECT q.vec_id AS query, s.vec_id AS subject, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])) /
   sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) * list_dot_product(CAST(s.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[]))) AS score
   FROM embeddings q JOIN embeddings s ON q.vec_id % 100 = 0 AND q.vec_id <> s.vec_id),
@@ -70,7 +70,6 @@ ORACLE_SQL = {
     "j01_names": f"WITH {_EV} SELECT event_id, coalesce(c_name, person_id, 'unknown') AS name FROM sh LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = person_id",
     "o01_event_page": f"WITH {_EV} SELECT event_id, ts, camera_id FROM sh ORDER BY ts DESC, event_id DESC LIMIT 20 OFFSET 40",
     "o02_recent_violations": f"WITH {_EV} SELECT event_id, ts FROM sh WHERE is_violation ORDER BY ts DESC, event_id DESC LIMIT 10",
-    "r04_capacity_alerts": f"WITH {_EV} SELECT camera_id, CAST(floor(floor(epoch(ts)) / 21600) AS BIGINT) AS bucket, min(ts) AS first_ts, count(*) AS n FROM ev WHERE value > 100 GROUP BY ALL",
     "u05_ordered_types": f"WITH {_TY} SELECT ev.event_id, coalesce(string_agg(ty.type, ',' ORDER BY ty.o), '') AS types FROM ev LEFT JOIN ty ON ty.event_id = ev.event_id GROUP BY 1",
     "j08_best_subject": f"WITH {_SC}, p AS (SELECT query, max(CASE WHEN rank = 1 THEN subject END) AS s, max(score) AS b, min(score) AS c FROM rk WHERE rank <= 2 GROUP BY 1) SELECT query, CASE WHEN b >= 0.2 AND b - c >= 0.005 THEN s END AS subject, round(b, 4) AS best FROM p",
     "j09_ranked_subjects": f"WITH {_SC} SELECT query, CAST(rank AS INTEGER) AS rank, subject, round(least(1.0, greatest(0.0, (score + 1) / 2)) * 100, 1) AS points FROM rk WHERE rank <= 10",
@@ -80,18 +79,19 @@ ORACLE_SQL = {
     "f12_large_boxes": f"WITH {_BOX}, a AS (SELECT *, (x2 - x1) * (y2 - y1) >= 30000 AS large FROM bx WHERE kind = 'person'), c AS (SELECT *, bool_or(large) OVER (PARTITION BY frame) AS a FROM a) SELECT frame, obj FROM c WHERE large OR (NOT a AND score >= 0.7 AND (y2 - y1) / (x2 - x1) >= 1.3)",
     "a34_enclosing_box": f"WITH {_BOX} SELECT frame, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM bx GROUP BY frame",
     "a19_percentiles": f"WITH {_TEL}, r AS (SELECT *, row_number() OVER (PARTITION BY stage, shard ORDER BY ms) - 1 AS i, count(*) OVER (PARTITION BY stage, shard) AS n FROM te) SELECT stage, shard, {_rank(0.5)} AS p50, {_rank(0.95)} AS p95, {_rank(0.99)} AS p99, count(*) AS n FROM r GROUP BY stage, shard",
-    "a21_slowest_cameras": f"WITH {_TEL}, r AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY ms) - 1 AS i, count(*) OVER (PARTITION BY camera) AS n FROM te) SELECT camera, {_rank(0.95)} AS p95, round(avg(ms), 4) AS mean, count(*) AS n FROM r GROUP BY camera ORDER BY p95 DESC, camera LIMIT 5",
+    "a21_slowest_cameras": f"WITH {_TEL}, r AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY ms) - 1 AS i, count(*) OVER (PARTITION BY camera) AS n FROM te) SELECT camera, {_rank(0.95)} AS p95, sum(units) / (count(*) * 10000) AS mean, count(*) AS n FROM r GROUP BY camera ORDER BY p95 DESC, camera LIMIT 5",
+    "a21_slowest_stages": f"WITH {_TEL}, r AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY ms) - 1 AS i, count(*) OVER (PARTITION BY camera) AS n FROM te), five AS (SELECT camera, {_rank(0.95)} AS p95 FROM r GROUP BY camera ORDER BY p95 DESC, camera LIMIT 5), q AS (SELECT *, row_number() OVER (PARTITION BY camera, stage ORDER BY ms) - 1 AS i, count(*) OVER (PARTITION BY camera, stage) AS n FROM te WHERE camera IN (SELECT camera FROM five)), g AS (SELECT camera, stage, {_rank(0.95)} AS p95, count(*) AS n FROM q GROUP BY camera, stage) SELECT camera, stage, row_number() OVER (PARTITION BY camera ORDER BY p95 DESC, stage) AS place, p95, n FROM g QUALIFY place <= 5",
     "a22_batch_sizes": f"WITH {_TEL} SELECT batch, count(*) AS n FROM te GROUP BY batch",
     "a23_main_shard": f"WITH {_TEL}, c AS (SELECT camera, stage, count(*) AS n FROM te GROUP BY ALL) SELECT camera, arg_min(stage, (-n, stage)) AS stage FROM c GROUP BY camera",
     "w06_rolling_mean": f"WITH {_TEL}, r AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY l_shipdate DESC, l_orderkey DESC, l_partkey DESC, l_linenumber DESC, l_extendedprice DESC, l_quantity DESC, l_returnflag DESC, l_linestatus DESC) AS r FROM te) SELECT camera, round(avg(ms), 4) AS mean, count(*) AS n FROM r WHERE r <= 30 GROUP BY camera",
     "a26_shard_summary": f"WITH {_TEL}, c AS (SELECT shard, camera, avg(ms) AS m FROM te GROUP BY ALL) SELECT shard, round(avg(m), 4) AS mean, count(*) FILTER (m > 560) AS hot FROM c GROUP BY shard",
     "w02_stable_items": f"WITH {_EV} SELECT event_id, sum(k & 1) {_ORD} ROWS 2 PRECEDING) = 3 AND count(*) {_ORD} ROWS 2 PRECEDING) = 3 AS stable FROM ev",
     "w03_fused_confidence": f"WITH {_EV}, c AS (SELECT event_id, k / 100.0 AS x, lag(k / 100.0) {_ORD}) AS y, lag(k / 100.0, 2) {_ORD}) AS z FROM ev) SELECT event_id, round(CASE WHEN y IS NULL THEN x WHEN z IS NULL THEN 0.7 * x + 0.3 * y ELSE 0.7 * x + 0.3 * (0.7 * y + 0.3 * z) END, 9) AS fused FROM c",
-    "w05_gaps": f"WITH {_EV} SELECT * FROM (SELECT event_id, CAST(floor(epoch(ts)) - floor(epoch(lag(ts) {_ORD}))) AS BIGINT) AS gap_s FROM ev) WHERE gap_s IS NOT NULL",
+    "w05_gaps": f"WITH {_EV} SELECT * FROM (SELECT event_id, (epoch_us(ts) - epoch_us(lag(ts) {_ORD}))) // 1000 AS gap_ms FROM ev) WHERE gap_ms IS NOT NULL",
     "w08_latest": f"WITH {_EV} SELECT camera_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM ev GROUP BY 1",
     "s10_shifts": f"WITH {_EV} SELECT CASE WHEN hour(ts) < 8 THEN CAST(ts AS DATE) - 1 ELSE CAST(ts AS DATE) END AS shift_date, CASE WHEN hour(ts) >= 8 AND hour(ts) < 20 THEN 'day' ELSE 'night' END AS shift, count(*) AS n FROM ev GROUP BY ALL",
     "a15_patrol_records": f"WITH {_WIN} SELECT * FROM rec",
     "j16_missed_windows": f"WITH {_WIN} SELECT c.camera_id, w.window_start FROM (SELECT DISTINCT window_start FROM rec) w, (SELECT DISTINCT camera_id FROM ev) c WHERE (c.camera_id, w.window_start) NOT IN (SELECT (camera_id, window_start) FROM rec)",
     "j15_visits_by_day": "SELECT CAST(d AS DATE) AS day, count(*) AS n FROM range(TIMESTAMP '1998-06-01', TIMESTAMP '1998-07-01', INTERVAL 1 DAY) r(d) JOIN orders ON CAST(o_orderdate AS DATE) <= d AND CAST(o_orderdate + to_days(CAST(o_orderkey % 20 AS INTEGER)) AS DATE) >= d AND o_orderdate >= DATE '1998-05-01' AND o_orderdate < DATE '1998-07-01' GROUP BY 1",
 }
-ORACLE_SQL |= search_sql.ORACLE_SQL
+ORACLE_SQL |= search_sql.ORACLE_SQL | runtime_sql.ORACLE_SQL

@@ -54,16 +54,27 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frame timings: one row per distinct line item, ordered by ``seq`` within a camera."""
-    li = table(spark, sf_dir, "lineitem")
-    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate"]
-    return li.select(*keys).distinct().select(
-        F.col("l_suppkey").alias("camera"), (F.col("l_suppkey") % 4).alias("shard"), (F.col("l_extendedprice") / 100).alias("ms"),
-        F.concat("l_returnflag", "l_linestatus").alias("stage"), F.col("l_quantity").cast("int").alias("batch"), F.col("l_shipdate").alias("ts"),
+    """Frame timings, ordered by ``seq`` within a camera; ``units`` are ten-thousandths of a millisecond as whole numbers."""
+    units = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("camera"), (F.col("l_suppkey") % 4).alias("shard"), (units / 10_000).alias("ms"), units.alias("units"),
+        F.concat("l_returnflag", "l_linestatus").alias("stage"), F.col("l_quantity").cast("int").alias("batch"), F.col("l_shipdate").alias("ts"), F.col("l_orderkey").alias("order_no"), F.col("l_linenumber").alias("line_no"),
         F.struct("l_shipdate", "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus").alias("seq"),
     )
 
 
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of worker logs: timings as JSON, some of them broken, notices, and a line without a time."""
+    t, n = telemetry(spark, sf_dir), F.col("order_no") % 11
+    head = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(",000 INFO [worker] "))
+    cam = F.concat(F.lit("cam_"), F.col("camera").cast("string"))
+    timing = F.concat(head, F.lit('FRAME_TIMING {"camera_id": "'), cam, F.lit('", "stage": "'), "stage", F.lit('", "units": '), F.col("units").cast("string"), F.lit(', "batch": '), F.col("batch").cast("string"), F.lit("}"))
+    line = (
+        F.when(n == 7, F.concat(head, F.lit("Dropping invalid frame payload"))).when(n == 8, F.concat(head, F.lit("Skipping inference sample for camera=a"), F.col("camera").cast("string"), F.lit("-f")))
+        .when(n == 9, F.concat(head, F.lit('FRAME_TIMING {"camera_id": "'), cam)).when(n == 10, F.lit("Expired pending async identity update")).otherwise(timing))
+    return t.select(line.alias("line"), F.struct("order_no", "line_no", "camera", "units", "batch", "stage").alias("place"))
+
+
 def case_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as the event list shows them: with an own name, stored types, evidence and all cameras."""
     e = safety_events(spark, sf_dir)
