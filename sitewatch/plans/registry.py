@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 
 from sitewatch.functions.vocabulary import TYPES
-from sitewatch.operators import dashboard, runtime, search, similarity, spatial, telemetry, temporal
-from sitewatch.plans import runtime_sql, search_sql
+from sitewatch.operators import dashboard, lifecycle, runtime, search, similarity, spatial, telemetry, temporal
+from sitewatch.plans import lifecycle_sql, runtime_sql, search_sql
 
 #: The modules whose queries are registered under their functions' names.
-MODULES = (dashboard, runtime, search, similarity, spatial, telemetry, temporal)
+MODULES = (dashboard, lifecycle, runtime, search, similarity, spatial, telemetry, temporal)
 
 
 def _queries(module) -> dict:
@@ -94,4 +94,4 @@ ORACLE_SQL = {
     "j16_missed_windows": f"WITH {_WIN} SELECT c.camera_id, w.window_start FROM (SELECT DISTINCT window_start FROM rec) w, (SELECT DISTINCT camera_id FROM ev) c WHERE (c.camera_id, w.window_start) NOT IN (SELECT (camera_id, window_start) FROM rec)",
     "j15_visits_by_day": "SELECT CAST(d AS DATE) AS day, count(*) AS n FROM range(TIMESTAMP '1998-06-01', TIMESTAMP '1998-07-01', INTERVAL 1 DAY) r(d) JOIN orders ON CAST(o_orderdate AS DATE) <= d AND CAST(o_orderdate + to_days(CAST(o_orderkey % 20 AS INTEGER)) AS DATE) >= d AND o_orderdate >= DATE '1998-05-01' AND o_orderdate < DATE '1998-07-01' GROUP BY 1",
 }
-ORACLE_SQL |= search_sql.ORACLE_SQL | runtime_sql.ORACLE_SQL
+ORACLE_SQL |= search_sql.ORACLE_SQL | runtime_sql.ORACLE_SQL | lifecycle_sql.ORACLE_SQL
