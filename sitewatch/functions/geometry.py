@@ -26,9 +26,16 @@ def containment(inner: str, outer: str) -> Column:
     return F.when(area(inner) > 0, intersection(inner, outer) / area(inner)).otherwise(F.lit(0.0))
 
 
-def centre_inside(inner: str, outer: str) -> Column:
+def centre_inside(inner: str, outer: str, padding: float = 0.0) -> Column:
+    """The centre of a box lies in another one that is widened by a share of its sides."""
     x, y = (F.col(f"{inner}.x1") + F.col(f"{inner}.x2")) / 2, (F.col(f"{inner}.y1") + F.col(f"{inner}.y2")) / 2
-    return x.between(F.col(f"{outer}.x1"), F.col(f"{outer}.x2")) & y.between(F.col(f"{outer}.y1"), F.col(f"{outer}.y2"))
+    a, b, c, d = (F.col(f"{outer}.{k}") for k in ("x1", "x2", "y1", "y2"))
+    wide, high = (b - a) * F.lit(padding), (d - c) * F.lit(padding)
+    return x.between(a - wide, b + wide) & y.between(c - high, d + high)
+
+
+def bottom_centre(box: str) -> tuple[Column, Column]:
+    return (F.col(f"{box}.x1") + F.col(f"{box}.x2")) / 2, F.col(f"{box}.y2")
 
 
 def inside_polygon(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Column:

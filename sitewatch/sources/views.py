@@ -48,7 +48,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x1, y1 = (F.col("event_id") * 37 + F.col("k") * 11) % 500, (F.col("event_id") * 53 + F.col("k") * 7) % 300
     return e.select(
         F.floor(F.col("event_id") / 8).alias("frame"), F.col("event_id").alias("obj"),
-        F.when(F.col("event_id") % 8 < 4, "person").otherwise("item").alias("kind"), ((F.col("k") % 50 + 50) / 100).alias("score"),
+        F.when(F.col("event_id") % 8 < 4, "person").otherwise("item").alias("kind"), ((F.col("k") % 50 + 50) / 100).alias("score"), "k",
         F.struct(x1.cast("double").alias("x1"), y1.cast("double").alias("y1"), (x1 + 60 + F.col("k") * 3 % 200).cast("double").alias("x2"), (y1 + 80 + F.col("k") * 5 % 180).cast("double").alias("y2")).alias("box"),
     )
 
