@@ -20,8 +20,8 @@ CUES = (b"license", b"copyright", b"all rights reserved", b"cookie", b"http", b"
 FEATURES = 10
 #: Share of a document's words on content lines from which it stays.
 CONTENT_SHARE = 0.5
-#: Bounds of the training sample: expected documents, and lines of one document.
-SAMPLE, SAMPLE_LINES = 2_000, 100
+#: Bounds of the training sample: expected labelled documents, lines of a sequence that a long document is cut into, expected sequences.
+SAMPLE, SAMPLE_LINES, SAMPLE_SEQUENCES = 2_000, 100, 2_500
 
 
 def line_features(line: bytes, words: int, repeated: bool) -> tuple[float, ...]:
@@ -122,15 +122,22 @@ def fit_field(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, epochs: int = 1
 
 def train(docs: DataFrame, labels: DataFrame) -> LineField:
     """A field from about ``SAMPLE`` labelled documents: the lines of a good one are content, those of a
-    bad one boilerplate, but for lines without any mark of boilerplate, which keep the look of content."""
+    bad one boilerplate, but for lines without any mark of boilerplate, which keep the look of content.
+
+    Whole documents are cut into sequences of ``SAMPLE_LINES`` lines; of more than ``SAMPLE_SEQUENCES`` of them a hash picks about that many.
+    """
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [(d, y, lines_of(t)[0][:SAMPLE_LINES]) for d, t, y in zip(b["doc_id"], b["text"], b["y"])]
-            got = [g for g in got if len(g[2])]
-            yield pd.DataFrame({"doc_id": [g[0] for g in got], "y": [g[1] for g in got], "x": [g[2].ravel().tolist() for g in got]})
+            got = []
+            for d, t, y in zip(b["doc_id"], b["text"], b["y"]):
+                x = lines_of(t)[0]
+                got += [(d, k, y, x[k : k + SAMPLE_LINES]) for k in range(0, len(x), SAMPLE_LINES)]
+            yield pd.DataFrame({"doc_id": [g[0] for g in got], "part": [g[1] for g in got], "y": [g[2] for g in got], "x": [g[3].ravel().tolist() for g in got]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = labelled_sample(docs, labels, most=SAMPLE).mapInPandas(lines, f"doc_id {kind}, y int, x array<double>").collect()
+    rows = labelled_sample(docs, labels, most=SAMPLE).mapInPandas(lines, f"doc_id {kind}, part int, y int, x array<double>")
+    share = min(1.0, SAMPLE_SEQUENCES / max(1, rows.count()))
+    rows = rows.where(F.pmod(F.xxhash64("doc_id", "part"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).drop("part").collect()
     if not rows:
         return UNTRAINED
     rows.sort(key=lambda r: (str(r["doc_id"]), r["x"]))
@@ -171,7 +178,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None = None, share: float
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_share, kept).
 
     A null text is an empty one: no words, so the base rules fail it. Blank lines are no part of
-    the sequence. ``kept`` asks that the base rules hold and the content share is ``share`` or more.
+    the sequence. Each row is judged by its own text, so repeated rows and null doc_ids get the same as others. Of equally likely
+    labels content wins. ``kept`` asks that the base rules hold and the content share is ``share`` or more.
     """
     field = train(docs, labels) if labels is not None else UNTRAINED
 
@@ -205,7 +213,10 @@ NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def keep_content(docs: DataFrame, labels: DataFrame | None = None, share: float = CONTENT_SHARE) -> DataFrame:
-    """The rows that the rules keep, with all their columns; rows are judged where they lie, without a shuffle."""
+    """The rows that the rules keep, with all their columns; rows are judged where they lie, without a shuffle.
+
+    Each row is judged by its own text; a null or empty one goes, and of repeated rows all stay or go.
+    """
     field = train(docs, labels) if labels is not None else UNTRAINED
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
