@@ -65,13 +65,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "quality",
     """(text, y) of labelled training rows: those whose crc32(doc_id as text) mod 4 is not 2.
 
     Of more than ``most`` rows a hash of doc_id picks about that many, so the side that is broadcast
-    has a proven bound. Null labels teach nothing.
+    has a proven bound. Null labels teach nothing. Of rows that share a doc_id the one of the smallest text teaches.
     """
     rows = labels.where(F.col(label).isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2))
     rows = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     share = min(1.0, most / max(1, rows.count()))
     rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("doc_id", "text", "y")
+    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 16) -> np.ndarray:
@@ -117,13 +117,19 @@ def scores_of(texts: list[str | None], w: np.ndarray) -> np.ndarray:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted); labels teach only where crc32(doc_id as text) mod 4 is not 2."""
+    """(doc_id, held_out, score, predicted); labels teach only where crc32(doc_id as text) mod 4 is not 2.
+
+    A row for each row of ``docs``, scored by its own text; an empty or null text has the bias alone, a null doc_id is not held out.
+    """
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
     return scored(docs, train(docs, labels)).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows predicted to be good, with all their columns; rows are scored where they lie, without a shuffle."""
+    """The rows predicted to be good, with all their columns; rows are scored where they lie, without a shuffle.
+
+    Each row is scored by its own text, also an empty or null one; of repeated rows all stay or go.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # 2 MB
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
