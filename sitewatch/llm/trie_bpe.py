@@ -128,6 +128,13 @@ class TrieEncoder:
         A single space between two other characters always starts a word, so texts are cut there
         into chunks, and only chunks not met before are split by the vocabulary's pattern.
         """
+        gc.disable()  # words by the million and no cycles: collecting would walk them all again and again
+        try:
+            return self._encoded(texts)
+        finally:
+            gc.enable()
+
+    def _encoded(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         cut = [self._chunks(t) if t else [] for t in texts]
@@ -176,7 +183,6 @@ _ENCODERS: dict[str, TrieEncoder] = {}
 
 def encoder(path: str) -> TrieEncoder:
     """The encoder of a vocabulary file, built once in a Python process."""
-    gc.disable()  # words by the million and no cycles: collecting would walk them all again and again
     if path not in _ENCODERS:
         _ENCODERS[path] = TrieEncoder(path)
     return _ENCODERS[path]
@@ -202,7 +208,10 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each text, encoded and decoded again."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each text, encoded and decoded again.
+
+    A row for each row of ``docs``, also repeated ones and those without a doc_id; a null text is empty.
+    """
     sha = lambda b: hashlib.sha256(b).hexdigest()
     return docs.select("doc_id", "text").mapInArrow(
         lambda batches: _rows(batches, path, lambda t, ids, e: {"n_tokens": len(ids) // 4, "ids_sha256": sha(ids), "decoded_sha256": sha(e.decode(ids).encode())}),
