@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, numbered, pressed
 
 GRAM = 32
-#: Bytes that a bucket queue holds in memory before it writes runs to an unnamed scratch file.
-QUEUE_MEMORY = 64 << 20
+#: Bytes that a bucket queue holds in memory before it writes runs to an unnamed scratch file; a full shard's queues hold several times that.
+QUEUE_MEMORY = 4 << 20
 
 
 class BucketQueue:
@@ -192,7 +192,8 @@ def segment_bounds(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.
     """(key, lo, hi, own) of the segments of ``data``: runs of ``width``-byte strings with the same smallest hash of their 32-byte grams.
 
     Every ``width``-byte string lies in exactly one segment, and equal strings have equal keys.
-    ``own``: the smallest hash comes twice, so a string may repeat within the segment.
+    ``own``: the smallest hash comes twice, so a string may repeat within the segment. A longer run (of a text that
+    repeats itself) is cut every ``4 * width`` strings: its pieces are then mostly equal, and equal segments are judged once.
     """
     n = len(data)
     if n < width:
@@ -225,7 +226,15 @@ def segment_bounds(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.
         is_low = windows[at] == key[:, None]
         own |= is_low.sum(1) > 1
         place.append(at + is_low.argmax(1))
-    return key, lo, hi, own | (place[0] != place[1])
+    own |= place[0] != place[1]
+    strings = hi - lo - width + 1
+    if strings.max() <= 4 * width:
+        return key, lo, hi, own
+    pieces = -(-strings // (4 * width))
+    at = np.repeat(np.arange(len(lo)), pieces)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = lo[at] + nth * 4 * width
+    return key[at], start, np.minimum(start + 5 * width - 1, hi[at]), own[at]
 
 
 #: A segment as it travels; it is known by 48 bits of its key and 64 of its content.
