@@ -160,7 +160,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): documents whose fingerprints link at ``radius`` bits or fewer.
 
     Equal fingerprints are one class with its smallest doc_id; only classes are joined, so copies
-    never become pairs. Texts without a word have fingerprint zero and link like any other.
+    never become pairs. Texts without a word have fingerprint zero and link like any other. A row for each row of ``docs``;
+    a null doc_id names a component only where it has no other.
     """
     prints = checkpointed(fingerprints(docs))
     classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
