@@ -113,6 +113,34 @@ def test_shards(run, docs):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(40))
 
 
+def test_shards_are_even_and_keep_equal_texts_together(spark):
+    """No row and no group is over one per cent of a shard: sizes within one per cent of the mean, equal texts in one shard."""
+    from sitewatch.llm.sharding import document_shards
+
+    rng = random.Random(3)
+    texts = ["x" * rng.randint(0, 300) + str(k) for k in range(6000)]
+    texts += [t for t in texts[:200] for _ in range(rng.randint(1, 3))]
+    rows = document_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 10).collect()
+    size, shards = Counter(), defaultdict(set)
+    for r in rows:
+        size[r["shard"]] += r["size"]
+        shards[texts[r["doc_id"]]].add(r["shard"])
+    mean = sum(size.values()) / 10
+    assert max(abs(x - mean) for x in size.values()) <= 0.01 * mean and len(size) == 10
+    assert all(len(s) == 1 for s in shards.values())
+
+
+def test_a_group_larger_than_a_shard_fills_several(spark):
+    from sitewatch.llm.sharding import document_shards
+
+    texts = ["same text " * 5] * 3000 + [f"other {k}" for k in range(3000)]
+    rows = document_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 8).collect()
+    size = Counter()
+    for r in rows:
+        size[r["shard"]] += r["size"]
+    assert len(rows) == 6000 and max(size.values()) - min(size.values()) <= 0.02 * sum(size.values()) / 8
+
+
 def test_simhash(run, docs):
     fps = {}
     for d, t in docs:
@@ -279,6 +307,52 @@ def test_packing(run, docs, tokenizer):
     assert len(places) <= -(-total // 2048) + 2
 
 
+def lower_bound(counts, capacity, bound):
+    """The dual's bound, or the classical one by pieces too long to share a sequence, whichever is larger."""
+    best = bound
+    for a in range(0, capacity // 2 + 1, 8):
+        big = sum(n for x, n in counts.items() if x > capacity - a)
+        middle = {x: n for x, n in counts.items() if capacity // 2 < x <= capacity - a}
+        small = sum(x * n for x, n in counts.items() if a <= x <= capacity // 2)
+        room = sum((capacity - x) * n for x, n in middle.items())
+        best = max(best, big + sum(middle.values()) + max(0, -(-(small - room) // capacity)))
+    return best
+
+
+@pytest.mark.parametrize("name, gap", [("uniform", 0.01), ("500 to 899", 0.03), ("700 to 1399", 0.01), ("lognormal", 0.01), ("few pieces", 0.015), ("five lengths", 0.01)])
+def test_packing_plans_against_bounds(name, gap):
+    from sitewatch.llm.packing import _best_fit, fractional_patterns, packing_plan
+
+    rng = np.random.default_rng(0)
+    lengths = {
+        "uniform": lambda: rng.integers(1, 2049, 200_000), "500 to 899": lambda: rng.integers(500, 900, 200_000), "700 to 1399": lambda: rng.integers(700, 1400, 200_000),
+        "lognormal": lambda: np.clip(rng.lognormal(6, 1, 200_000), 1, 2048).astype(int), "few pieces": lambda: rng.integers(1, 2049, 5000), "five lengths": lambda: rng.choice([300, 500, 700, 900, 1100], 5000)}[name]()
+    counts = Counter(lengths.tolist())
+    plan, held = packing_plan(counts), Counter()
+    for pattern, n in plan:
+        assert sum(x * m for x, m in pattern.items()) <= 2048 and n > 0
+        for x, m in pattern.items():
+            held[x] += m * n
+    used = sum(n for _, n in plan)
+    assert held == counts and used <= sum(n for _, n in _best_fit(Counter(counts), 2048))
+    assert used <= (1 + gap) * lower_bound(counts, 2048, max(fractional_patterns(dict(counts), 2048)[1], sum(x * n for x, n in counts.items()) / 2048))
+
+
+def test_knapsack_against_all_patterns():
+    from itertools import product
+
+    from sitewatch.llm.packing import knapsack
+
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        worth = np.where(rng.random(25) < 0.3, rng.random(25), 0)
+        worth[0] = 0
+        best, _ = knapsack(worth, 24)
+        lengths = np.flatnonzero(worth)
+        every = [sum(worth[x] * k for x, k in zip(lengths, c)) for c in product(*[range(24 // x + 1) for x in lengths]) if sum(x * k for x, k in zip(lengths, c)) <= 24] if 0 < len(lengths) <= 7 else [best[24]]
+        assert math.isclose(best[24], max(every))
+
+
 def test_cover_tree(run):
     vectors = dict(made_vectors())
     unit = {}
@@ -298,6 +372,43 @@ def test_classifier(run, docs):
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7)
 
 
+def test_follow_the_regularised_leader_step_by_step():
+    """The same weights as the update rule written out for one coordinate at a time."""
+    from sitewatch.llm.ftrl import features, fit_ftrl
+
+    texts, y = ["good words here", "bad junk junk", "good good prose", "", "junk again"], np.array([1, 0, 1, 1, 0], float)
+    slots, alpha, beta, l1, l2 = 64, 2.0, 1.0, 1e-4, 1e-4
+    z, n, order = Counter(), Counter(), np.random.default_rng(0)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    slot, ends = features(texts, slots)
+    for _ in range(3):
+        for k in order.permutation(len(texts)):
+            grams = slot[ends[k] : ends[k + 1]].tolist()
+            x = {i: 8.0 * c / len(grams) for i, c in Counter(grams).items()} | {slots: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - y[k]) * x[i]
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    got = fit_ftrl(texts, y, slots=slots)
+    assert np.allclose(got, [weight(i) for i in range(slots + 1)], atol=1e-5)
+
+
+def test_kept_is_the_base_rules_and_the_content_share(spark, run, docs, folder):
+    from sitewatch.llm.crf_quality import CONTENT_SHARE, lines_of, train
+
+    field = train(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    text = dict(docs)
+    for r in run("op3_line_labels"):
+        x, words, _ = lines_of(text[r["doc_id"]])
+        share = sum(w for w, s in zip(words.tolist(), field.viterbi(x).tolist()) if s) / max(1, r["n_words"])
+        assert math.isclose(r["content_share"], share) and r["kept"] == (not r["base_failed"] and share >= CONTENT_SHARE)
+
+
 def test_classifier_on_held_out_labels(spark):
     where = "/root/testdata/sf0.01"
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{where}/labels.parquet").collect()}
