@@ -16,32 +16,41 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the line labels reject go."""
+    """Documents that the base rules and the line labels reject go.
+
+    Each row is judged by its own text: null and empty texts go, repeated rows and null doc_ids are taken as they are.
+    """
     small_batches(spark)
     return crf_quality.keep_content(docs, table(spark, sf_dir, "labels"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the classifier's threshold go."""
+    """Documents below the classifier's threshold go; each row is scored by its own text, repeated rows and null doc_ids included."""
     small_batches(spark)
     return ftrl.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the smallest doc_id stays."""
+    """Of each group of near-duplicates the smallest doc_id stays.
+
+    Rows of one doc_id and text are one document; an id's other texts are documents of their own, and a null doc_id comes after all others.
+    """
     small_batches(spark)
     return simhash.keep_first(docs)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 100 bytes or more that stand earlier in the corpus leave their texts."""
+    """Passages of 100 bytes or more that stand earlier in the corpus leave their texts; rows neither go nor multiply.
+
+    Rows of one doc_id and text don't repeat each other, and rows without a doc_id come after all others. A null text becomes an empty one.
+    """
     small_batches(spark)
     short = suffix_dedup.shortened(docs)
     return short.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in short.columns else short
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all texts with their sequences of at most 2048 tokens."""
+    """The pieces of all texts with their sequences of at most 2048 tokens; a null or empty text is one token, repeated rows are packed each."""
     small_batches(spark)
     return packing.packed_documents(docs, vocabulary())
 
