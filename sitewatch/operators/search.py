@@ -344,3 +344,61 @@ def j14_clip_frames(spark: SparkSession, d: str) -> DataFrame:
     spans = e.where("is_violation").select(F.col("event_id").alias("event"), "camera_id", F.col("at").alias("t"), F.explode(F.sequence(F.floor((F.col("at") - 180) / 360), F.floor((F.col("at") + 180) / 360))).alias("bucket"))
     frames = e.select("event_id", "camera_id", "at", F.floor(F.col("at") / 360).alias("bucket"))
     return spans.join(frames, ["camera_id", "bucket"]).where("at between t - 180 and t + 180").groupBy("event").agg(F.count("*").alias("frames"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+
+
+def f09_exemption(spark: SparkSession, d: str) -> DataFrame:
+    """Whether any visit holds a moment: one row is enough to know."""
+    at = F.expr("timestamp_ntz'1998-06-30 12:00:00'")
+    end = F.col("o_orderdate") + F.make_dt_interval((F.col("o_orderkey") % 20).cast("int"))
+    one = table(spark, d, "orders").where((F.col("o_orderdate") <= at) & (end >= at)).limit(1)
+    return one.agg((F.count("*") > 0).alias("exempt"))
+
+
+def io13_archive_index(spark: SparkSession, d: str) -> DataFrame:
+    """Members of an archive by the object key at the end of their names; the first member of a key counts."""
+    e = case_events(spark, d).where("key is not null")
+    members = e.select(F.col("event_id").alias("place"), F.concat(F.lit("part-"), (F.col("event_id") % 3).cast("string"), F.lit("/store/"), "key").alias("name"))
+    members = members.unionByName(members.where("place % 5 = 0").select((F.col("place") + 1_000_000).alias("place"), F.concat(F.lit("again/store/"), F.substring_index("name", "/store/", -1)).alias("name")))
+    return members.groupBy(F.substring_index("name", "/store/", -1).alias("key")).agg(F.min_by("name", "place").alias("member"))
+
+
+def io14_exported_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The export as plain SQL: violations with a stored snapshot."""
+    return spark.sql("select event_id, ts, key from {e} where is_violation and bucket is not null and key is not null order by ts, event_id", e=case_events(spark, d))
+
+
+def s30_file_names(spark: SparkSession, d: str) -> DataFrame:
+    """The old file's name, and a name for the export from the time, without characters that files can't have."""
+    stamp = F.translate(F.date_format("ts", "yyyy/MM/dd HH:mm:ss"), " :/", "_--")
+    return case_events(spark, d).where("path is not null").select("event_id", F.substring_index("path", "/", -1).alias("base"), F.concat(stamp, F.lit(".jpg")).alias("export"))
+
+
+def s31_formatted(spark: SparkSession, d: str) -> DataFrame:
+    """Labels and person ids as clients show them: known ones by name, others in title case; persons and tracks by number."""
+    from sitewatch.functions.vocabulary import LABELS, literal_map
+
+    raw = F.element_at(F.array(*map(F.lit, ["action:fall_detected", " NO-hardhat ", "safety-shoes", "new  kind-of thing", "Gloves"])), (F.col("event_id") % 5 + 1).cast("int"))
+    key = F.regexp_replace(F.lower(F.regexp_replace(F.trim(raw), "^(?i)action:", "")), r"[\s-]+", "_")
+    known = literal_map(LABELS)
+    label = F.coalesce(F.when(key.startswith("no_"), known[F.substr(key, F.lit(4))]), known[key], F.initcap(F.translate(key, "_", " ")))
+    u = F.col("user_id").cast("string")
+    person = F.element_at(F.array(F.concat(F.lit("person_"), u), F.concat(F.lit("TRACK_"), u), F.concat(F.lit("unknown:"), u), F.lit(""), u), (F.col("event_id") % 5 + 1).cast("int"))
+    number = F.regexp_extract(person, r"(?i)^(person|track)_(\d+)$", 2)
+    shown = F.when((person == "") | F.lower(person).startswith("unknown:"), "未知人员").when(number != "", F.concat(F.when(F.lower(person).startswith("person"), "人员 #").otherwise("轨迹 #"), number)).otherwise(person)
+    return safety_events(spark, d).select("event_id", label.alias("label"), shown.alias("person"))
+
+
+def s32_presets(spark: SparkSession, d: str) -> DataFrame:
+    """Events within the clients' presets: from midnight some days before today up to the end of today."""
+    end = F.date_trunc("day", now()) + F.expr("INTERVAL 86399 SECONDS")
+    presets = {"today": 0, "3days": 3, "7days": 7, "30days": 30}
+    counts = safety_events(spark, d).agg(*[F.count_if((F.col("ts") >= F.date_trunc("day", now()) - F.expr(f"INTERVAL {n} DAYS")) & (F.col("ts") <= end)).alias(name) for name, n in presets.items()])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("preset"), F.col(f"`{n}`").alias("n")) for n in presets])).alias("x")).select("x.*")
+
+
+def s33_day_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """A day with times that may be left out, as a range up to the last second of its last minute."""
+    day, n = F.date_format("shift_date", "yyyy-MM-dd"), F.col("day")
+    start, end = F.when(n % 2 == 0, "08:15").otherwise(""), F.when(n % 3 == 0, "17:45").otherwise("")
+    at = lambda t, other, s: F.concat(day, F.lit("T"), F.when(t == "", other).otherwise(t), F.lit(s))
+    return schedules(spark, d).select("shift_date", at(start, "00:00", ":00").alias("start"), at(end, "23:59", ":59").alias("end"))

@@ -219,3 +219,35 @@ def w09_suppressed(spark: SparkSession, d: str) -> DataFrame:
     none = F.slice("all", 1, 0)
     kept = F.aggregate("all", none, lambda kept, b: F.when(F.exists(kept, lambda k: falls(k, b)), kept).otherwise(F.concat(kept, F.array(b))))
     return rows.select("frame", "kind", F.explode(kept).alias("b")).select("frame", "kind", "b.obj")
+
+
+def j03_equipment_of_persons(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a person wears a helmet, lacks one, or is said to lack one since none was seen.
+
+    An item that shows the helmet counts with half of it on the person, one that shows it missing by
+    its centre or a tenth of overlap either way. What is worn outweighs what is missing; where neither is seen the helmet is
+    held to be missing, with a low confidence.
+    """
+    worn = (F.col("ik") % 3 == 0) & (containment("i", "p") >= 0.5)
+    lacking = (F.col("ik") % 3 == 1) & (centre_inside("i", "p") | (F.greatest(containment("i", "p"), containment("p", "i")) >= 0.1) | (iou("p", "i") >= 0.1))
+    rows = _pairs(spark, d).groupBy("frame", "person").agg(F.max(worn).alias("worn"), F.max(lacking).alias("lacking"))
+    rows = rows.withColumn("missing", F.col("lacking") & ~F.col("worn"))
+    return rows.select("frame", "person", "worn", "missing", F.when(~F.col("worn") & ~F.col("missing"), 0.45).otherwise(0.0).alias("supposed"))
+
+
+def s16_box_shapes(spark: SparkSession, d: str) -> DataFrame:
+    x, y = bottom_centre("box")
+    w, h = F.col("box.x2") - F.col("box.x1"), F.col("box.y2") - F.col("box.y1")
+    return boxes(spark, d).select("obj", x.alias("x"), ((F.col("box.y1") + F.col("box.y2")) / 2).alias("y"), y.alias("bottom"), area("box").alias("area"), (h / w).alias("aspect"))
+
+
+def scaled(polygon: list[tuple[float, float]], width: float, height: float) -> list[tuple[float, float]]:
+    """A polygon in pixels; one with all corners within the unit square is in shares of the picture."""
+    return [(x * width, y * height) for x, y in polygon] if all(0 <= v <= 1 for p in polygon for v in p) else polygon
+
+
+def s17_in_scaled_zone(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes whose bottom centre is in a zone that is given in shares of the picture."""
+    zone = scaled([(0.1, 0.2), (0.8, 0.25), (0.75, 0.9), (0.2, 0.8)], 640.0, 480.0)
+    x, y = bottom_centre("box")
+    return boxes(spark, d).where(inside_polygon(x, y, zone)).select("obj")
