@@ -160,8 +160,9 @@ def s18_zone_anchors(spark: SparkSession, d: str) -> DataFrame:
 
 def r02_overcrowded(spark: SparkSession, d: str, limit: int = 2) -> DataFrame:
     """Persons inside a zone that holds more than its limit: all that are inside are flagged."""
-    rows = _persons(spark, d).select("frame", "obj", zone_anchor().alias("a"))
-    rows = rows.where(inside_polygon(F.col("a.x"), F.col("a.y"), ZONE))
+    # the anchor as a lambda's variable: as a column it would be written out at every use, and outgrow what Spark compiles
+    inside = F.exists(F.array(zone_anchor()), lambda a: inside_polygon(a["x"], a["y"], ZONE))
+    rows = _persons(spark, d).where(inside).select("frame", "obj")
     return rows.withColumn("n", F.count("*").over(Window.partitionBy("frame"))).where(F.col("n") > limit).select("frame", "obj", "n")
 
 
