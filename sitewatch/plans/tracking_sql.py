@@ -28,6 +28,11 @@ SELECT camera_id, event_id, track FROM f""",
 f AS (SELECT user_id, event_id, r, t AS seen, 0 AS since, matches AS matched, true AS looks FROM o WHERE r = 1
 UNION ALL SELECT user_id, event_id, r, t, CASE WHEN l THEN 0 ELSE since + 1 END, CASE WHEN l THEN matches ELSE matched END, l FROM (SELECT o.*, since, matched, o.t - seen > 172800 OR since + 1 >= CASE WHEN matched THEN 8 ELSE 10 END AS l FROM f JOIN o ON o.user_id = f.user_id AND o.r = f.r + 1) x)
 SELECT user_id, event_id FROM f WHERE looks""",
+    "st12_frame_identities": f"""WITH RECURSIVE {BOXES}, o AS (SELECT frame, obj, CASE WHEN k % 3 = 0 THEN 'p' || k % 5 END AS face, ['p' || k % 4, 'p' || (k + 1) % 5] AS cands, CASE WHEN k % 7 < 4 THEN 'p' || obj % 6 END AS trk,
+  row_number() OVER (PARTITION BY frame ORDER BY CAST(k % 3 <> 0 AS INTEGER), score DESC, obj) AS r FROM bx WHERE kind = 'person'),
+f AS (SELECT frame, obj, r, coalesce(face, cands[1]) AS ident, [coalesce(face, cands[1])] AS taken FROM o WHERE r = 1
+UNION ALL SELECT frame, obj, r, ident, list_append(taken, ident) FROM (SELECT o.frame, o.obj, o.r, taken, coalesce(CASE WHEN NOT list_contains(taken, face) THEN face END, list_filter(cands, lambda c: NOT list_contains(taken, c))[1], CASE WHEN NOT list_contains(taken, trk) THEN trk END, 'unknown:' || o.obj) AS ident FROM f JOIN o ON o.frame = f.frame AND o.r = f.r + 1) x)
+SELECT frame, obj, ident AS identity FROM f""",
     "j03_equipment_of_persons": f"WITH {BOXES}, q AS (SELECT p.frame, p.obj AS person, i.k % 3 AS m, greatest(0, least(p.x2, i.x2) - greatest(p.x1, i.x1)) * greatest(0, least(p.y2, i.y2) - greatest(p.y1, i.y1)) AS b, p.w * p.h AS pa, i.w * i.h AS ia, {_CENTRE} AS c FROM bx p JOIN bx i ON p.frame = i.frame AND p.kind = 'person' AND i.kind = 'item'), g AS (SELECT frame, person, bool_or(m = 0 AND b / ia >= 0.5) AS worn, bool_or(m = 1 AND (c OR greatest(b / ia, b / pa) >= 0.1 OR b / (pa + ia - b) >= 0.1)) AS l FROM q GROUP BY ALL) SELECT frame, person, worn, l AND NOT worn AS missing, CASE WHEN NOT worn AND NOT (l AND NOT worn) THEN 0.45e0 ELSE 0.0e0 END AS supposed FROM g",
     "s16_box_shapes": f"WITH {BOXES} SELECT obj, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, y2 AS bottom, w * h AS area, h / w AS aspect FROM bx",
     "s17_in_scaled_zone": f"WITH {BOXES} SELECT obj FROM bx WHERE {_scaled('((x1 + x2) / 2)', 'y2')}",
