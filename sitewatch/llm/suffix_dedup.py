@@ -17,30 +17,25 @@ from .common import checkpointed, numbered, pressed
 
 GRAM = 32
 #: Bytes that a bucket queue holds in memory before it writes runs to an unnamed scratch file; a full shard's queues hold several times that.
-QUEUE_MEMORY = 4 << 20
+QUEUE_MEMORY = 1 << 20
 
 
 class BucketQueue:
-    """A monotone priority queue of suffixes by their first symbol; equal symbols leave in the order they came.
+    """A monotone priority queue of suffix tuples by their first symbol; equal symbols leave in the order they came.
 
-    Beyond ``QUEUE_MEMORY`` the buffered runs go to one unnamed scratch file, which ends with the queue.
+    A tuple is a suffix and its common prefix with the one that entered its bucket before. Beyond ``QUEUE_MEMORY`` the
+    buffered runs go to one unnamed scratch file, which ends with the queue.
     """
 
     def __init__(self, symbols: int, kind: type = np.int64):
-        self.kind = np.dtype(kind)
+        self.kind = np.dtype([("at", kind), ("lcp", np.int16)])
         self.memory: list[list[np.ndarray]] = [[] for _ in range(symbols)]
         self.disk: list[list[tuple[int, int]]] = [[] for _ in range(symbols)]
         self.held, self.file = 0, None
 
-    def push(self, symbols: np.ndarray, suffixes: np.ndarray) -> None:
-        if not len(suffixes):
-            return
-        order = np.argsort(symbols.astype(np.uint16), kind="stable")
-        symbols, suffixes = symbols[order], suffixes[order]
-        cuts = np.flatnonzero(np.diff(symbols)) + 1
-        for s, run in zip(symbols[np.concatenate(([0], cuts))].tolist(), np.split(suffixes, cuts)):
-            self.memory[s].append(run)
-        self.held += suffixes.nbytes
+    def push(self, symbol: int, run: np.ndarray) -> None:
+        self.memory[symbol].append(run)
+        self.held += run.nbytes
         if self.held > QUEUE_MEMORY:
             self._spill()
 
@@ -55,7 +50,7 @@ class BucketQueue:
         self.held = 0
 
     def pop(self, symbol: int) -> np.ndarray:
-        """All suffixes of one symbol, oldest first."""
+        """All tuples of one symbol, oldest first; the first one has nothing before it."""
         runs = []
         for at, n in self.disk[symbol]:
             self.file.seek(at)
@@ -63,7 +58,78 @@ class BucketQueue:
         runs += self.memory[symbol]
         self.held -= sum(r.nbytes for r in self.memory[symbol])
         self.disk[symbol], self.memory[symbol] = [], []
-        return np.concatenate(runs) if runs else np.zeros(0, self.kind)
+        out = np.concatenate(runs) if runs else np.zeros(0, self.kind)
+        if len(out):
+            out["lcp"][0] = 0
+        return out
+
+
+class Inducer:
+    """Pushes what precedes the suffixes of one bucket, run after run in their order, with the common prefixes that follow from theirs.
+
+    Two suffixes of one symbol share one symbol more than what comes after it, and that is the least of
+    the common prefixes between the two in sorted order; it is 0 if they come from different buckets.
+    """
+
+    def __init__(self, t: np.ndarray, queue: BucketQueue, symbols: int, depth: int):
+        self.t, self.queue, self.depth = t, queue, min(depth, 30_000)
+        self.since = np.zeros(symbols, np.int16)  # least common prefix since a symbol's last push
+
+    def begin(self) -> None:
+        self.since[:] = 0
+
+    def run(self, sources: np.ndarray, takes: np.ndarray, own: int) -> np.ndarray:
+        """Push the predecessors of ``sources`` where ``takes`` says so; those of the bucket ``own`` itself come back as the next run."""
+        lcp = sources["lcp"]
+        at = np.flatnonzero(takes)
+        symbol = self.t[sources["at"][at] - 1]
+        order = np.argsort(symbol.astype(np.uint16), kind="stable")
+        at, symbol = at[order], symbol[order]
+        least = np.minimum.accumulate(lcp)
+        new = np.ones(len(at), bool)
+        new[1:] = symbol[1:] != symbol[:-1]
+        shared = np.empty(len(at), np.int16)
+        shared[new] = np.minimum(self.since[symbol[new]], least[at[new]])
+        if not new.all():
+            rest = np.flatnonzero(~new)
+            shared[rest] = _range_minimum(lcp, at[rest - 1] + 1, at[rest])
+        made = np.empty(len(at), self.queue.kind)
+        made["at"], made["lcp"] = sources["at"][at] - 1, np.minimum(shared + 1, self.depth)
+        after = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.int16(self.depth))
+        np.minimum(self.since, least[-1], out=self.since)
+        heads = np.flatnonzero(new)
+        if len(at):
+            self.since[symbol[heads]] = after[at[np.append(heads[1:] - 1, len(at) - 1)] + 1]
+        here = np.zeros(0, self.queue.kind)
+        for s, part in zip(symbol[heads].tolist(), np.split(made, heads[1:])):
+            if s == own:
+                here = part
+            else:
+                self.queue.push(s, part)
+        return here
+
+
+def _range_minimum(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Least element of each x[lo..hi], both included, from minima of runs of 1, 2, 4, ... places."""
+    level = np.frexp((hi - lo + 1).astype(float))[1] - 1
+    out, runs = np.empty(len(lo), x.dtype), x
+    for k in range(int(level.max()) + 1):
+        mine = np.flatnonzero(level == k)
+        out[mine] = np.minimum(runs[lo[mine]], runs[hi[mine] - (1 << k) + 1])
+        if len(runs) > 1 << k:
+            runs = np.minimum(runs[: -(1 << k)], runs[1 << k :])
+    return out
+
+
+def _shared(t: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Common prefixes of suffixes ``a`` and ``b``, up to ``depth`` symbols."""
+    out, go = np.zeros(len(a), np.int16), np.arange(len(a))
+    for k in range(min(depth, 30_000)):
+        go = go[t[a[go] + k] == t[b[go] + k]]
+        if not len(go):
+            break
+        out[go] += 1
+    return out
 
 
 def _star_order(t: np.ndarray, stars: np.ndarray, depth: int) -> np.ndarray:
@@ -102,16 +168,17 @@ def _ranks(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return out
 
 
-def induced_suffix_array(t: np.ndarray, depth: int = 1 << 62) -> np.ndarray:
-    """Suffix array of ``t`` (integers from 0 to 1022, the last one 0 and unique).
+def induced_suffix_array(t: np.ndarray, depth: int = 1 << 62) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array, common prefix of each suffix with the one before) of ``t`` (integers from 0 to 1022, the last one 0 and unique).
 
-    Order holds for the first ``depth`` symbols at least. The sorted S* suffixes induce the L
-    suffixes from the smallest symbol up, and these the S suffixes from the largest down; between
-    buckets, suffixes wait in a disk-backed queue.
+    Order holds for the first ``depth`` symbols at least, and common prefixes are exact up to ``depth`` (30,000 at most). The
+    sorted S* suffixes induce the L suffixes from the smallest symbol up, and these the S suffixes from
+    the largest down; between buckets, suffix tuples wait in a disk-backed queue. Common prefixes are induced
+    with them; only those of neighbouring S* suffixes, and of the last L and first S one of a bucket, are compared.
     """
     n, symbols = len(t), int(t.max()) + 1
     if n == 1:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int64), np.zeros(1, np.int16)
     kind = np.int32 if n < 1 << 31 else np.int64  # of positions
     step = np.diff(t)
     follow = np.where(step != 0, np.arange(n - 1, dtype=kind), kind(n - 1))
@@ -121,39 +188,54 @@ def induced_suffix_array(t: np.ndarray, depth: int = 1 << 62) -> np.ndarray:
     del step, follow
     stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     ordered = _star_order(t, stars, depth).astype(kind)
-    seeds = np.split(ordered, np.searchsorted(t[ordered], np.arange(1, symbols)))
+    shared = np.zeros(len(ordered), np.int16)
+    shared[1:] = _shared(t, ordered[:-1], ordered[1:], depth)
+    cuts = np.searchsorted(t[ordered], np.arange(symbols + 1))
+
+    def tuples(at: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+        out = np.empty(len(at), np.dtype([("at", kind), ("lcp", np.int16)]))
+        out["at"], out["lcp"] = at, lcp
+        return out
+
+    def seam(upper: np.ndarray, lower: np.ndarray) -> int:
+        """Common prefix of the last L and the first S suffix of a bucket: their runs of its symbol end at different ends."""
+        return int(_shared(t, upper[:1], lower[:1], depth)[0])
 
     queue, large = BucketQueue(symbols, kind), []
+    inducer = Inducer(t, queue, symbols, depth)
+
+    def before(run: np.ndarray) -> np.ndarray:
+        return t[np.maximum(run["at"] - 1, 0)]
+
     for c in range(symbols):
         got, wave = [], queue.pop(c)
+        inducer.begin()
         while len(wave):
             got.append(wave)
-            before = wave[wave > 0] - 1
-            before = before[t[before] >= c]
-            here = t[before] == c
-            queue.push(t[before[~here]], before[~here])
-            wave = before[here]
-        large.append(np.concatenate(got) if got else np.zeros(0, kind))
-        before = seeds[c][seeds[c] > 0] - 1
-        queue.push(t[before], before)
+            wave = inducer.run(wave, (wave["at"] > 0) & (before(wave) >= c), c)
+        large.append(np.concatenate(got) if got else tuples(np.zeros(0, kind), np.zeros(0, np.int16)))
+        seeds = tuples(ordered[cuts[c] : cuts[c + 1]], shared[cuts[c] : cuts[c + 1]])
+        if len(seeds):
+            seeds["lcp"][0] = seam(large[c]["at"][-1:], seeds["at"]) if len(large[c]) else 0
+            inducer.run(seeds, seeds["at"] > 0, -1)
 
     queue, out = BucketQueue(symbols, kind), []
+    inducer = Inducer(t, queue, symbols, depth)
     for c in range(symbols - 1, -1, -1):
         got, wave = [], queue.pop(c)
+        inducer.begin()
         while len(wave):
             got.append(wave)
-            before = wave[wave > 0] - 1
-            before = before[(t[before] <= c) & small[before]]
-            here = t[before] == c
-            queue.push(t[before[~here]], before[~here])
-            wave = before[here]
-        own = large[c][::-1]
-        before = own[own > 0] - 1
-        before = before[t[before] < c]
-        queue.push(t[before], before)
+            wave = inducer.run(wave, (wave["at"] > 0) & (before(wave) <= c) & small[np.maximum(wave["at"] - 1, 0)], c)
+        own = large[c][::-1].copy()
+        if len(own):  # downwards, a suffix's common prefix is that of the one above it
+            own["lcp"][1:] = large[c]["lcp"][:0:-1]
+            own["lcp"][0] = seam(own["at"], got[-1]["at"][-1:]) if got else 0
+            inducer.run(own, (own["at"] > 0) & (before(own) < c), -1)
         out += [*got, own]
         large[c] = None
-    return np.concatenate([*out, np.array([n - 1], kind)])[::-1]
+    down = np.concatenate([*out, tuples(np.array([n - 1], kind), np.zeros(1, np.int16))])
+    return down["at"][::-1], np.append(np.zeros(1, np.int16), down["lcp"][:0:-1])
 
 
 def earlier_repeats(segments: list[bytes], doc: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
@@ -165,19 +247,19 @@ def earlier_repeats(segments: list[bytes], doc: np.ndarray, start: np.ndarray, w
     t = text.astype(np.int16) + np.int16(2)
     t[heads + lengths] = 1  # ends of segments, whatever bytes they hold
     t[-1] = 0
-    sa = induced_suffix_array(t, width)
+    sa, lcp = induced_suffix_array(t, width)
     segment = np.repeat(np.arange(len(segments), dtype=np.int32), lengths + 1)
-    valid = np.arange(len(segment)) + width <= (heads + lengths)[segment]
-    sa = sa[sa < len(segment)]
-    sa = sa[valid[sa]]
+    valid = np.arange(len(t)) < len(segment)
+    valid[: len(segment)] &= np.arange(len(segment)) + width <= (heads + lengths)[segment]
+    kept = valid[sa]  # no string that a segment's end cuts lies between two equal ones
+    string = np.cumsum(lcp < width)[kept]
+    sa = sa[kept]
     flags = np.zeros(len(segment), bool)
     if len(sa) < 2:
         return flags
-    same = np.ones(len(sa) - 1, bool)
-    for k in range(width):
-        same &= t[sa[1:] + k] == t[sa[:-1] + k]
-        if not k % 8 and not same.any():
-            return flags
+    same = string[1:] == string[:-1]
+    if not same.any():
+        return flags
     # a suffix's place in the corpus as one number: equal (doc, start) pairs are one place
     number = np.unique(doc, return_inverse=True)[1]
     base = number * (int((start + lengths).max()) + 1) + start - heads

@@ -467,14 +467,37 @@ def test_a_frequent_gram_is_dealt_to_many_shards(spark, monkeypatch, footer):
     assert max(weight.values()) < 8 << 10
 
 
+def brute_suffixes(t, depth):
+    order = sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    shared = lambda a, b: next((k for k in range(min(depth, len(t))) if a + k >= len(t) or b + k >= len(t) or t[a + k] != t[b + k]), depth)
+    return order, [0] + [shared(a, b) for a, b in zip(order, order[1:])]
+
+
 def test_induced_suffix_array():
+    """Suffixes and their common prefixes, of random and of repetitive strings."""
     from sitewatch.llm.suffix_dedup import induced_suffix_array
 
     rng = np.random.default_rng(5)
-    for high in (2, 4, 200):
-        for n in (1, 2, 3, 50, 400):
-            t = np.append(rng.integers(1, high, n), 0)
-            assert induced_suffix_array(t).tolist() == sorted(range(n + 1), key=lambda i: t[i:].tolist())
+    strings = [rng.integers(1, high, n) for high in (2, 4, 200) for n in (1, 2, 3, 50, 400)]
+    strings += [np.tile(rng.integers(1, 5, k), 60 // k) for k in (1, 2, 3, 7)] + [np.concatenate([x, rng.integers(1, 9, 5), x, x[3:]]) for x in (rng.integers(1, 6, 80),)]
+    for x in strings:
+        t = np.append(x, 0)
+        sa, lcp = induced_suffix_array(t)
+        assert (sa.tolist(), lcp.tolist()) == brute_suffixes(t, 30_000)
+
+
+def test_common_prefixes_up_to_a_depth():
+    """Beyond the depth any order of equal prefixes will do; up to it order and common prefixes hold."""
+    from sitewatch.llm.suffix_dedup import induced_suffix_array
+
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        x = rng.integers(1, 4, 60)
+        t = np.append(np.concatenate([x, rng.integers(1, 4, 20), x, x[10:], np.ones(30, int)]), 0)
+        sa, lcp = induced_suffix_array(t, 12)
+        heads = [t[i : i + 12].tolist() for i in sa]
+        assert heads == sorted(heads) and sorted(sa.tolist()) == list(range(len(t)))
+        assert lcp[1:].tolist() == [next((k for k in range(12) if k >= min(len(a), len(b)) or a[k] != b[k]), 12) for a, b in zip(heads, heads[1:])]
 
 
 def test_induced_suffix_array_spills(monkeypatch):
@@ -482,7 +505,24 @@ def test_induced_suffix_array_spills(monkeypatch):
 
     monkeypatch.setattr(suffix_dedup, "QUEUE_MEMORY", 256)
     t = np.append(np.random.default_rng(6).integers(1, 5, 2000), 0)
-    assert suffix_dedup.induced_suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    sa, lcp = suffix_dedup.induced_suffix_array(t)
+    assert (sa.tolist(), lcp.tolist()) == brute_suffixes(t, 30_000)
+
+
+def test_queues_of_a_full_shard_use_the_disk(monkeypatch):
+    """At the sizes that run in production."""
+    from sitewatch.llm import suffix_dedup
+
+    spills = []
+    spill = suffix_dedup.BucketQueue._spill
+    monkeypatch.setattr(suffix_dedup.BucketQueue, "_spill", lambda q: (spills.append(q.held), spill(q)))
+    t = np.append(np.random.default_rng(6).integers(2, 60, 2_000_000).astype(np.int16), 0).astype(np.int16)
+    sa, lcp = suffix_dedup.induced_suffix_array(t, 100)
+    assert spills and len(np.unique(sa)) == len(t)
+    some = np.random.default_rng(1).integers(1, len(sa), 2000)
+    for i in some.tolist():
+        a, b = t[sa[i - 1] :][:100].tolist(), t[sa[i] :][:100].tolist()
+        assert a <= b and lcp[i] == next((k for k in range(100) if k >= min(len(a), len(b)) or a[k] != b[k]), 100)
 
 
 def test_compact_windows_brute_force():
