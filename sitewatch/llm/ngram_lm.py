@@ -21,8 +21,9 @@ PRIOR_2, PRIOR_3, STEPS = 1000.0, 30.0, 20
 END, BEGIN = b"", b" "
 #: Bytes of text, as expected, in which frequent first words are looked for, and the times that such a word must occur there.
 SAMPLE, OFTEN = 8 << 20, 64
-#: Bits of the hash by which pairs and triples know their words; unigrams have all 64.
-WORD_BITS = 48
+#: Bits of the hash by which pairs and triples know their words; unigrams have all 64. They only tell the words of one shard apart,
+#: some 100,000 however large the corpus is: in about one of two hundred shards two words share their pairs and triples.
+WORD_BITS = 40
 ODD = np.uint64(0x9E3779B97F4A7C15)
 _SELECT = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.uint8)
 
@@ -317,7 +318,7 @@ def answers(rows: list[dict], priors: tuple[float, float]) -> Iterator[tuple]:
     The questions' nodes are merged and counted, the trie is built from those with a training count,
     and every distinct node is looked up in it.
     """
-    press = zstandard.ZstdCompressor(level=1).compress
+    press = zstandard.ZstdCompressor(level=3).compress
     sizes = [(r["batch"], r["shard"], len(r["salts"]) // 4, len(r["pair_counts"]), len(r["triple_counts"])) for r in rows]
     wide = lambda k: np.concatenate([_wide(r.pop(k), r.pop(k + "_big")) for r in rows])
     salts = np.concatenate([np.frombuffer(r.pop("salts"), "<u4") for r in rows])
@@ -389,7 +390,7 @@ def hot_words(docs: DataFrame, total: int, shards: int) -> dict[int, int]:
 def _pack(docs: DataFrame, batches_wanted: int) -> DataFrame:
     """(batch, blob): documents by a hash of their doc_id and text, some hundreds in a compressed blob."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=5)
         for b in batches:
             batch = b.column(3).to_numpy()
             order = np.argsort(batch, kind="stable")
@@ -416,7 +417,7 @@ def _unpack(group: pa.Table, shards: int, hot: dict[int, int]) -> tuple[pa.Table
     return rows, Batch(rows.column("text").to_pylist(), rows.column("train").to_numpy(zero_copy_only=False).astype(bool), shards, hot)
 
 
-def language_model_scores(docs: DataFrame, batch_bytes: int = 12 << 20, priors: tuple[float, float] = (PRIOR_2, PRIOR_3)) -> DataFrame:
+def language_model_scores(docs: DataFrame, batch_bytes: int = 14 << 20, priors: tuple[float, float] = (PRIOR_2, PRIOR_3)) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text; a null text is empty.
 
     A row for each row of ``docs``; repeated rows count as often as they come, and rows without a doc_id teach. Documents
@@ -428,7 +429,7 @@ def language_model_scores(docs: DataFrame, batch_bytes: int = 12 << 20, priors:
     others is its smoothed share there plus what that context leaves to the model of one word less.
 
     Only shards that a batch has words for get a row from it, so rows grow with the text and not with
-    batches times shards. Words are known by 64 bits of hash, within pairs and triples by 48.
+    batches times shards. Words are known by 64 bits of hash, within the pairs and triples of a shard by ``WORD_BITS``.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     wanted = shards = max(6, -(-total // batch_bytes))
