@@ -213,11 +213,13 @@ class Batch:
     """
 
     def __init__(self, texts: list[bytes], train: np.ndarray, shards: int, hot: dict[int, int]):
+        """``texts`` is emptied."""
         index: defaultdict[bytes, int] = defaultdict(count().__next__)
         begin = index[BEGIN]
         ids = []
-        for t in texts:
-            words = t.lower().split()
+        texts.reverse()
+        while texts:  # a text goes once its words are numbered
+            words = texts.pop().lower().split()
             words.append(END)
             ids.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
         digest, size = xxhash.xxh64_intdigest, len(index)
@@ -414,7 +416,9 @@ def _pack(docs: DataFrame, batches_wanted: int) -> DataFrame:
 def _unpack(group: pa.Table, shards: int, hot: dict[int, int]) -> tuple[pa.Table, Batch]:
     open_ = zstandard.ZstdDecompressor()
     rows = pa.concat_tables([pa.ipc.open_stream(open_.decompress(x)).read_all() for x in group.column("blob").to_pylist()])
-    return rows, Batch(rows.column("text").to_pylist(), rows.column("train").to_numpy(zero_copy_only=False).astype(bool), shards, hot)
+    texts, rows = rows.column("text").to_pylist(), rows.select(["doc_id", "train"])
+    pa.default_memory_pool().release_unused()
+    return rows, Batch(texts, rows.column("train").to_numpy(zero_copy_only=False).astype(bool), shards, hot)
 
 
 def language_model_scores(docs: DataFrame, batch_bytes: int = 14 << 20, priors: tuple[float, float] = (PRIOR_2, PRIOR_3)) -> DataFrame:
