@@ -22,8 +22,8 @@ END, BEGIN = b"", b" "
 #: Bytes of text, as expected, in which frequent first words are looked for, and the times that such a word must occur there.
 SAMPLE, OFTEN = 8 << 20, 64
 #: Bits of the hash by which pairs and triples know their words; unigrams have all 64. They only tell the words of one shard apart,
-#: some 100,000 however large the corpus is: in about one of two hundred shards two words share their pairs and triples.
-WORD_BITS = 40
+#: some 100,000 however large the corpus is: about one pair of words in each shard shares its pairs and triples.
+WORD_BITS = 32
 ODD = np.uint64(0x9E3779B97F4A7C15)
 _SELECT = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.uint8)
 
@@ -421,7 +421,7 @@ def _unpack(group: pa.Table, shards: int, hot: dict[int, int]) -> tuple[pa.Table
     return rows, Batch(texts, rows.column("train").to_numpy(zero_copy_only=False).astype(bool), shards, hot)
 
 
-def language_model_scores(docs: DataFrame, batch_bytes: int = 14 << 20, priors: tuple[float, float] = (PRIOR_2, PRIOR_3)) -> DataFrame:
+def language_model_scores(docs: DataFrame, batch_bytes: int = 16 << 20, priors: tuple[float, float] = (PRIOR_2, PRIOR_3)) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text; a null text is empty.
 
     A row for each row of ``docs``; repeated rows count as often as they come, and rows without a doc_id teach. Documents
