@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compact_windows, cover_tree, crf_quality, ftrl, ngram_lm, packing, sharding, simhash, suffix_dedup, trie_bpe
+from . import compact_windows, conversation_repair, cover_tree, crf_quality, ftrl, hard_negatives, ngram_lm, oracles, packing, sharding, simhash, suffix_dedup, syncmers, trie_bpe
 from .common import table
 
 
@@ -60,9 +60,23 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repairs(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_shards, op2_simhash, op3_line_labels, op4_language_model, op5_trie_bpe, op6_compact_windows, op7_packing, op8_cover_tree, op9_ftrl, op10_suffix_array)
+    f.__name__: f for f in (op1_shards, op2_simhash, op3_line_labels, op4_language_model, op5_trie_bpe, op6_compact_windows, op7_packing, op8_cover_tree, op9_ftrl, op10_suffix_array, op11_conversation_repair, op12_syncmers, op13_hard_negatives)
 }
 
 #: In DuckDB's SQL, of the queries that it can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_conversation_repair": oracles.OP11, "op13_hard_negatives": oracles.OP13}
