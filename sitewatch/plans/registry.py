@@ -7,6 +7,7 @@ import re
 from sitewatch.functions.vocabulary import TYPES
 from sitewatch.operators import dashboard, exchange, lifecycle, runtime, search, similarity, spatial, telemetry, temporal, tracking
 from sitewatch.plans import exchange_sql, lifecycle_sql, runtime_sql, search_sql, spatial_sql, tracking_sql
+from sitewatch.streaming import lifecycle as stream_lifecycles
 
 #: The modules whose queries are registered under their functions' names.
 MODULES = (dashboard, exchange, lifecycle, runtime, search, similarity, spatial, telemetry, temporal, tracking)
@@ -19,6 +20,7 @@ def _queries(module) -> dict:
 
 
 QUERIES = {name: f for module in MODULES for name, f in _queries(module).items()}
+QUERIES |= {f.__name__: f for f in (stream_lifecycles.stream_lifecycle, stream_lifecycles.stream_temporal)}
 
 _EV = """ev0 AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, 'cam_' || CAST(user_id % 16 AS VARCHAR) AS camera_id FROM events),
 ev AS (SELECT *, CASE WHEN k % 10 <> 0 THEN CAST(user_id AS VARCHAR) END AS person_id,
@@ -94,3 +96,5 @@ ORACLE_SQL = {
     "j15_visits_by_day": "SELECT CAST(d AS DATE) AS day, count(*) AS n FROM range(TIMESTAMP '1998-06-01', TIMESTAMP '1998-07-01', INTERVAL 1 DAY) r(d) JOIN orders ON CAST(o_orderdate AS DATE) <= d AND CAST(o_orderdate + to_days(CAST(o_orderkey % 20 AS INTEGER)) AS DATE) >= d AND o_orderdate >= DATE '1998-05-01' AND o_orderdate < DATE '1998-07-01' GROUP BY 1",
 }
 ORACLE_SQL |= search_sql.ORACLE_SQL | runtime_sql.ORACLE_SQL | lifecycle_sql.ORACLE_SQL | spatial_sql.ORACLE_SQL | exchange_sql.ORACLE_SQL | tracking_sql.ORACLE_SQL
+ORACLE_SQL["stream_lifecycle"] = ORACLE_SQL["st06_lifecycle_with_rotation"]
+ORACLE_SQL["stream_temporal"] = f"SELECT 'binary' AS mode, * FROM ({ORACLE_SQL['st02_temporal_binary']}) UNION ALL SELECT 'confident' AS mode, * FROM ({ORACLE_SQL['st03_temporal_confidence']})"
