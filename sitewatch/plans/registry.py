@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 
 from sitewatch.functions.vocabulary import TYPES
-from sitewatch.operators import dashboard, exchange, lifecycle, runtime, search, similarity, spatial, telemetry, temporal, tracking
-from sitewatch.plans import exchange_sql, lifecycle_sql, runtime_sql, search_sql, spatial_sql, tracking_sql
+from sitewatch.operators import dashboard, exchange, identity, lifecycle, runtime, search, similarity, spatial, telemetry, temporal, tracking
+from sitewatch.plans import exchange_sql, identity_sql, lifecycle_sql, runtime_sql, search_sql, spatial_sql, tracking_sql
 from sitewatch.streaming import lifecycle as stream_lifecycles
 
 #: The modules whose queries are registered under their functions' names.
-MODULES = (dashboard, exchange, lifecycle, runtime, search, similarity, spatial, telemetry, temporal, tracking)
+MODULES = (dashboard, exchange, identity, lifecycle, runtime, search, similarity, spatial, telemetry, temporal, tracking)
 
 
 def _queries(module) -> dict:
@@ -95,6 +95,6 @@ ORACLE_SQL = {
     "j16_missed_windows": f"WITH {_WIN} SELECT c.camera_id, w.window_start FROM (SELECT DISTINCT window_start FROM rec) w, (SELECT DISTINCT camera_id FROM ev) c WHERE (c.camera_id, w.window_start) NOT IN (SELECT (camera_id, window_start) FROM rec)",
     "j15_visits_by_day": "SELECT CAST(d AS DATE) AS day, count(*) AS n FROM range(TIMESTAMP '1998-06-01', TIMESTAMP '1998-07-01', INTERVAL 1 DAY) r(d) JOIN orders ON CAST(o_orderdate AS DATE) <= d AND CAST(o_orderdate + to_days(CAST(o_orderkey % 20 AS INTEGER)) AS DATE) >= d AND o_orderdate >= DATE '1998-05-01' AND o_orderdate < DATE '1998-07-01' GROUP BY 1",
 }
-ORACLE_SQL |= search_sql.ORACLE_SQL | runtime_sql.ORACLE_SQL | lifecycle_sql.ORACLE_SQL | spatial_sql.ORACLE_SQL | exchange_sql.ORACLE_SQL | tracking_sql.ORACLE_SQL
+ORACLE_SQL |= search_sql.ORACLE_SQL | runtime_sql.ORACLE_SQL | lifecycle_sql.ORACLE_SQL | spatial_sql.ORACLE_SQL | exchange_sql.ORACLE_SQL | identity_sql.ORACLE_SQL | tracking_sql.ORACLE_SQL
 ORACLE_SQL["stream_lifecycle"] = ORACLE_SQL["st06_lifecycle_with_rotation"]
 ORACLE_SQL["stream_temporal"] = f"SELECT 'binary' AS mode, * FROM ({ORACLE_SQL['st02_temporal_binary']}) UNION ALL SELECT 'confident' AS mode, * FROM ({ORACLE_SQL['st03_temporal_confidence']})"
