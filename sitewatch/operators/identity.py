@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewatch.operators.similarity import FACE
+from sitewatch.sources.store import checkpointed
 from sitewatch.sources.views import safety_events, table
 
 #: How long a look lives, in seconds; two of one identity are at least as similar as a known face.
@@ -22,17 +21,6 @@ BLOCK = 2_048
 ROUNDS = 60
 
 
-def checkpointed(rows: DataFrame) -> DataFrame:
-    """Rows in the shared folder of ``spark.checkpoint.dir``, so that lost executors don't undo earlier rounds."""
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-        context.setCheckpointDir(folder or tempfile.mkdtemp())
-    return rows.checkpoint()
-
-
 def observations(spark: SparkSession, d: str) -> DataFrame:
     """(event_id, at, key, matched, violation, embedding): every vector as the look of the event of its number.
 

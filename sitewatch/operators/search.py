@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from sitewatch.functions.clock import now, seconds
 from sitewatch.functions.text import ip_number, iso_naive, list_text, local_naive, polygon_points
-from sitewatch.functions.vocabulary import TYPES, event_label, expanded, matched_types, type_label
-from sitewatch.sources.views import cameras, case_events, persons, safety_events, table
+from sitewatch.functions.vocabulary import TYPES, event_label, expanded, matched_types, normal_key, type_label
+from sitewatch.sources.store import placed
+from sitewatch.sources.views import cameras, case_events, persons, safety_events, shown_events, table, typed
 
 #: Order of the floors; others come last.
 FLOORS = {"一楼": 1, "二楼": 2, "三楼": 3, "四楼": 4, "室外": 5, "户外": 5}
@@ -137,8 +138,10 @@ def p09_camera_short_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_event_options(spark: SparkSession, d: str) -> DataFrame:
+    """All types in canonical order with their labels, as a filter offers them, and how many shown events each would find."""
     names = spark.createDataFrame([(i + 1, t) for i, t in enumerate(TYPES)], "position int, key string")
-    return names.select("position", "key", type_label(F.col("key")).alias("label"))
+    found = typed(shown_events(spark, d)).select(F.explode("types").alias("key")).groupBy("key").agg(F.count("*").alias("events"))
+    return names.join(found, "key", "left").select("position", "key", type_label(F.col("key")).alias("label"), F.coalesce("events", F.lit(0)).alias("events"))
 
 
 def o01_event_total(spark: SparkSession, d: str) -> DataFrame:
@@ -152,27 +155,27 @@ def _ranked(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
 
 
 def o03_person_order(spark: SparkSession, d: str) -> DataFrame:
-    """Employees by segment, falling balance and id."""
+    """All employees by segment, falling balance and id."""
     rows = persons(spark, d).where("employee")
-    return _ranked(rows, [F.col("c_mktsegment").asc_nulls_last(), F.col("c_acctbal").desc_nulls_last(), F.col("c_custkey")], 50).select("place", "id")
+    return placed(rows, [F.col("c_mktsegment").asc_nulls_last(), F.col("c_acctbal").desc_nulls_last(), F.col("c_custkey")]).select("place", "id")
 
 
 def o04_camera_order(spark: SparkSession, d: str) -> DataFrame:
-    """Cameras by floor, then host as a number, then names."""
+    """All cameras by floor, then host as a number, then names."""
     floor = F.trim("floor")
     order = F.coalesce(F.create_map(*[F.lit(x) for pair in FLOORS.items() for x in pair])[floor], F.lit(99))
     host = F.trim("host")
     rows = cameras(spark, d).select("camera_id", order.alias("a"), F.coalesce(ip_number(host), F.lit(2**32 - 1)).alias("b"), F.when(host == "", "").otherwise(host).alias("c"), floor.alias("e"), F.trim("suffix").alias("f"), F.trim("name").alias("g"))
-    return _ranked(rows, [F.col(x) for x in ("a", "b", "c", "e", "f", "g", "camera_id")], 1000).select("place", "camera_id")
+    return placed(rows, [F.col(x) for x in ("a", "b", "c", "e", "f", "g", "camera_id")]).select("place", "camera_id")
 
 
 def schedules(spark: SparkSession, d: str) -> DataFrame:
-    """A row for each day of January: the ids on duty as JSON text, as comma text, or as one old id."""
-    ids = lambda a, b: (F.col("day") * a % 150, F.col("day") * b % 150)
-    rows = spark.range(1, 32).select(F.col("id").alias("day"), F.date_add(F.lit("2023-12-31").cast("date"), F.col("id").cast("int")).alias("shift_date"))
-    x, y = (c.cast("string") for c in ids(7, 13))
-    text = F.when(F.col("day") % 7 == 0, x).when(F.col("day") % 2 == 0, F.concat(F.lit('["'), x, F.lit('", "'), y, F.lit('"]'))).otherwise(F.concat(x, F.lit(" , ,"), y))
-    return rows.select("shift_date", "day", text.alias("day_ids"))
+    """A row for each day with orders: the ids on duty, its smallest and largest customer, as JSON text, as comma text, or as one old id."""
+    date = F.to_date("o_orderdate")
+    rows = table(spark, d, "orders").groupBy(date.alias("shift_date")).agg(F.min("o_custkey").cast("string").alias("x"), F.max("o_custkey").cast("string").alias("y"))
+    day = F.date_diff("shift_date", F.lit("1992-01-01").cast("date"))
+    text = F.when(day % 7 == 0, F.col("x")).when(day % 2 == 0, F.concat(F.lit('["'), "x", F.lit('", "'), "y", F.lit('"]'))).otherwise(F.concat("x", F.lit(" , ,"), "y"))
+    return rows.select("shift_date", day.alias("day"), text.alias("day_ids"))
 
 
 def o05_schedule_page(spark: SparkSession, d: str) -> DataFrame:
@@ -221,7 +224,7 @@ def u01_gallery(spark: SparkSession, d: str) -> DataFrame:
 def u03_schedule_rows(spark: SparkSession, d: str) -> DataFrame:
     """Schedules of several sources: an override wins, else the first source that has the date."""
     rows = schedules(spark, d)
-    parts = [rows.where("day % 10 = 0").withColumn("day_ids", F.lit("override")).withColumn("rank", F.lit(0)), rows.where("day <= 20").withColumn("rank", F.lit(1)), rows.where("day >= 15").withColumn("day_ids", F.concat("day_ids", F.lit("*"))).withColumn("rank", F.lit(2))]
+    parts = [rows.where("day % 10 = 0").withColumn("day_ids", F.lit("override")).withColumn("rank", F.lit(0)), rows.where("day % 4 <> 0").withColumn("rank", F.lit(1)), rows.where("day % 3 <> 0").withColumn("day_ids", F.concat("day_ids", F.lit("*"))).withColumn("rank", F.lit(2))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("shift_date").agg(F.min_by("day_ids", "rank").alias("day_ids"))
 
 
@@ -242,7 +245,12 @@ def u04_set_algebra(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s03_expanded_types(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(t, "|".join(expanded(t))) for t in [*TYPES, "new-type", " "]], "name string, spellings string")
+    """Filter names with the spellings they stand for, and the events whose raw lists hold one of these."""
+    names = spark.createDataFrame([(t, expanded(t)) for t in [*TYPES, "new-type", " "]], "name string, list array<string>")
+    raw = safety_events(spark, d).select("event_id", F.explode(F.concat("missing", "actions")).alias("raw")).select("event_id", normal_key(F.col("raw")).alias("spelling"))
+    wanted = names.select("name", F.explode("list").alias("spelling"))  # some for each type
+    found = raw.join(F.broadcast(wanted), "spelling").groupBy("name", "event_id").agg(F.lit(1)).groupBy("name").agg(F.count("*").alias("events"))
+    return names.join(found, "name", "left").select("name", F.array_join("list", "|").alias("spellings"), F.coalesce("events", F.lit(0)).alias("events"))
 
 
 def s04_label_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -304,7 +312,7 @@ def j19_missing_snapshots(spark: SparkSession, d: str) -> DataFrame:
 def f17_export_rows(spark: SparkSession, d: str) -> DataFrame:
     """Rows of a snapshot export: violations with evidence in the store, oldest first, as numbered lines."""
     rows = case_events(spark, d).where("is_violation and bucket is not null and key is not null")
-    return _ranked(rows, [F.col("ts"), F.col("event_id")], 200).select("place", "event_id", "key")
+    return placed(rows, [F.col("ts"), F.col("event_id")]).select("place", "event_id", "key")
 
 
 def a14_person_counters(spark: SparkSession, d: str) -> DataFrame:

@@ -149,8 +149,8 @@ def j13_answered_requests(spark: SparkSession, d: str, wait: int = 43_200) -> Da
     from sitewatch.sources.views import safety_events
 
     e = safety_events(spark, d).select("event_id", "user_id", "ts", seconds(F.col("ts")).alias("at"), (F.col("k") % 2 == 0).alias("asks"))
-    later = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(1, Window.unboundedFollowing)
-    answer = F.first(F.when(~F.col("asks"), F.struct("event_id", "at")), ignorenulls=True).over(later)
+    later = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
+    answer = F.last(F.when(~F.col("asks"), F.struct("event_id", "at")), ignorenulls=True).over(later)  # grows row by row; a frame that shrinks would be read anew
     rows = e.withColumn("answer", answer).where("asks")
     return rows.select("event_id", F.when(F.col("answer.at") - F.col("at") <= wait, F.col("answer.event_id")).alias("answer"))
 

@@ -83,7 +83,7 @@ ORACLE_SQL = {
     "a21_slowest_cameras": f"WITH {_TEL}, r AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY ms) - 1 AS i, count(*) OVER (PARTITION BY camera) AS n FROM te) SELECT camera, {_rank(0.95)} AS p95, sum(units) / (count(*) * 10000) AS mean, count(*) AS n FROM r GROUP BY camera ORDER BY p95 DESC, camera LIMIT 5",
     "a21_slowest_stages": f"WITH {_TEL}, r AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY ms) - 1 AS i, count(*) OVER (PARTITION BY camera) AS n FROM te), five AS (SELECT camera, {_rank(0.95)} AS p95 FROM r GROUP BY camera ORDER BY p95 DESC, camera LIMIT 5), q AS (SELECT *, row_number() OVER (PARTITION BY camera, stage ORDER BY ms) - 1 AS i, count(*) OVER (PARTITION BY camera, stage) AS n FROM te WHERE camera IN (SELECT camera FROM five)), g AS (SELECT camera, stage, {_rank(0.95)} AS p95, count(*) AS n FROM q GROUP BY camera, stage) SELECT camera, stage, row_number() OVER (PARTITION BY camera ORDER BY p95 DESC, stage) AS place, p95, n FROM g QUALIFY place <= 5",
     "a22_batch_sizes": f"WITH {_TEL} SELECT batch, count(*) AS n FROM te GROUP BY batch",
-    "a23_main_shard": f"WITH {_TEL}, c AS (SELECT camera, stage, count(*) AS n FROM te GROUP BY ALL) SELECT camera, arg_min(stage, (-n, stage)) AS stage FROM c GROUP BY camera",
+    "a23_main_shard": f"WITH {_TEL}, c AS (SELECT camera, (shard + batch % 3) % 4 AS at_, count(*) AS n FROM te GROUP BY ALL) SELECT camera, arg_min(at_, (-n, at_)) AS shard FROM c GROUP BY camera",
     "w06_rolling_mean": f"WITH {_TEL}, r AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY l_shipdate DESC, l_orderkey DESC, l_partkey DESC, l_linenumber DESC, l_extendedprice DESC, l_quantity DESC, l_returnflag DESC, l_linestatus DESC) AS r FROM te) SELECT camera, round(avg(ms), 4) AS mean, count(*) AS n FROM r WHERE r <= 30 GROUP BY camera",
     "a26_shard_summary": f"WITH {_TEL}, c AS (SELECT shard, camera, avg(ms) AS m FROM te GROUP BY ALL) SELECT shard, round(avg(m), 4) AS mean, count(*) FILTER (m > 560) AS hot FROM c GROUP BY shard",
     "w02_stable_items": f"WITH {_EV} SELECT event_id, sum(k & 1) {_ORD} ROWS 2 PRECEDING) = 3 AND count(*) {_ORD} ROWS 2 PRECEDING) = 3 AS stable FROM ev",

@@ -23,8 +23,8 @@ PERSONS = """pe AS (SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey
 CAMERAS = """ca AS (SELECT 'cam_' || s_suppkey AS camera_id, floor, CASE WHEN s_suppkey % 2 = 0 THEN trim(floor) ELSE '' END || ' 通道' || s_suppkey AS name, CASE WHEN s_suppkey % 5 = 0 THEN ' 门' || s_suppkey ELSE '' END AS suffix,
   CASE WHEN s_suppkey % 7 = 0 THEN '' WHEN s_suppkey % 7 = 1 THEN 'camera.local' ELSE '10.0.' || s_suppkey % 4 || '.' || s_suppkey * 37 % 256 END AS host, s_suppkey % 3 <> 0 AS patrol, s_suppkey % 9 <> 0 AS enabled, s_suppkey AS number, s_acctbal
   FROM (SELECT *, ['一楼', '二楼', ' 三楼', '室外', '地下', '四楼'][CAST(s_suppkey % 6 + 1 AS INTEGER)] AS floor FROM supplier))"""
-SCHEDULES = """sd AS (SELECT day, DATE '2023-12-31' + CAST(day AS INTEGER) AS shift_date, CASE WHEN day % 7 = 0 THEN CAST(day * 7 % 150 AS VARCHAR)
-  WHEN day % 2 = 0 THEN '["' || day * 7 % 150 || '", "' || day * 13 % 150 || '"]' ELSE day * 7 % 150 || ' , ,' || day * 13 % 150 END AS day_ids FROM range(1, 32) r(day))"""
+SCHEDULES = """sd0 AS (SELECT CAST(o_orderdate AS DATE) AS shift_date, CAST(min(o_custkey) AS VARCHAR) AS x, CAST(max(o_custkey) AS VARCHAR) AS y FROM orders GROUP BY 1),
+sd AS (SELECT shift_date, datediff('day', DATE '1992-01-01', shift_date) AS day, CASE WHEN day % 7 = 0 THEN x WHEN day % 2 = 0 THEN '["' || x || '", "' || y || '"]' ELSE x || ' , ,' || y END AS day_ids FROM sd0)"""
 SETTINGS = "st AS (SELECT TIMESTAMP '2024-01-01' + to_days(CAST(n_nationkey * 7 % 25 AS INTEGER)) AS updated_at, n_regionkey + 1 AS interval_hours, n_nationkey FROM nation)"
 _NAMES = ", ".join(f"({i + 1}, '{t}', '{LABELS[t]}')" for i, t in enumerate(TYPES))
 _RAW = ", ".join(f"('{k}', '{v}')" for k, v in {**RAW_LABELS, **LABELS}.items())
@@ -50,19 +50,20 @@ ORACLE_SQL = {
     "p05_camera_names": f"WITH {EVENTS}, {CAMERAS}, x AS (SELECT event_id, unnest(cameras) AS c, generate_subscripts(cameras, 1) AS i FROM ev) SELECT event_id, string_agg(coalesce(name, c), '、' ORDER BY i) AS names FROM x LEFT JOIN ca ON camera_id = c GROUP BY 1",
     "p06_gallery_messages": f"WITH {EVENTS}, r AS (SELECT *, missing || list_transform(actions, lambda a: 'action:' || a) AS raw FROM ev WHERE is_violation) SELECT event_id, coalesce(person_id, 'unknown person') || CASE WHEN len(raw) > 0 THEN ' missing ' || replace(array_to_string(raw, ', '), '_', ' ') ELSE ' violation' END AS message FROM r",
     "p09_camera_short_names": f"WITH {CAMERAS}, t AS (SELECT camera_id, trim(suffix) AS s, trim(floor) AS f, trim(name) AS n FROM ca) SELECT camera_id, CASE WHEN s <> '' THEN s WHEN starts_with(n, f) AND trim(substr(n, length(f) + 1)) <> '' THEN trim(substr(n, length(f) + 1)) ELSE n END AS short FROM t",
-    "p10_event_options": f"SELECT * FROM (VALUES {_NAMES}) t(position, key, label)",
+    "p10_event_options": f"WITH {EVENTS}, x AS (SELECT unnest(types) AS t FROM ev WHERE source NOT LIKE 'inspection_presence:%') SELECT position, key, label, count(t) AS events FROM (VALUES {_NAMES}) n(position, key, label) LEFT JOIN x ON t = key GROUP BY ALL",
     "o01_event_total": f"WITH {EVENTS} SELECT count(*) AS total FROM ev WHERE camera_id = 'cam_3' AND is_violation",
-    "o03_person_order": f"WITH {PERSONS} SELECT row_number() OVER (ORDER BY c_mktsegment, c_acctbal DESC, c_custkey) AS place, id FROM pe WHERE employee QUALIFY place <= 50",
-    "o04_camera_order": f"WITH {CAMERAS}, t AS (SELECT *, CASE trim(floor) WHEN '一楼' THEN 1 WHEN '二楼' THEN 2 WHEN '三楼' THEN 3 WHEN '四楼' THEN 4 WHEN '室外' THEN 5 WHEN '户外' THEN 5 ELSE 99 END AS a, CASE WHEN host LIKE '10.%' THEN 167772160 + CAST(split_part(host, '.', 3) AS BIGINT) * 256 + CAST(split_part(host, '.', 4) AS BIGINT) ELSE 4294967295 END AS b FROM ca) SELECT row_number() OVER (ORDER BY a, b, host, trim(floor), trim(suffix), trim(name), camera_id) AS place, camera_id FROM t QUALIFY place <= 1000",
+    "o03_person_order": f"WITH {PERSONS} SELECT row_number() OVER (ORDER BY c_mktsegment, c_acctbal DESC, c_custkey) AS place, id FROM pe WHERE employee",
+    "o04_camera_order": f"WITH {CAMERAS}, t AS (SELECT *, CASE trim(floor) WHEN '一楼' THEN 1 WHEN '二楼' THEN 2 WHEN '三楼' THEN 3 WHEN '四楼' THEN 4 WHEN '室外' THEN 5 WHEN '户外' THEN 5 ELSE 99 END AS a, CASE WHEN host LIKE '10.%' THEN 167772160 + CAST(split_part(host, '.', 3) AS BIGINT) * 256 + CAST(split_part(host, '.', 4) AS BIGINT) ELSE 4294967295 END AS b FROM ca) SELECT row_number() OVER (ORDER BY a, b, host, trim(floor), trim(suffix), trim(name), camera_id) AS place, camera_id FROM t",
     "o05_schedule_page": f"WITH {SCHEDULES} SELECT shift_date, day_ids, (SELECT count(*) FROM sd) AS total, (SELECT count(*) FROM sd) > 30 AS has_more FROM sd ORDER BY shift_date DESC LIMIT 10 OFFSET 20",
     "o06_latest_snapshots": f"WITH {EVENTS}, n AS (SELECT * FROM ev WHERE is_violation ORDER BY ts DESC, event_id DESC LIMIT 40) SELECT event_id, ts FROM n WHERE key IS NOT NULL OR path IS NOT NULL ORDER BY ts DESC, event_id DESC LIMIT 10",
     "o07_alert_feed": f"WITH {EVENTS} SELECT event_id, ts FROM ev WHERE is_violation AND ts BETWEEN TIMESTAMP '2024-01-30 11:59:59' AND TIMESTAMP '2024-01-30 23:59:59' ORDER BY ts DESC, event_id DESC LIMIT 10",
     "o08_camera_type_table": f"WITH {EVENTS}, x AS (SELECT camera_id, unnest(types) AS t FROM ev WHERE is_violation) SELECT camera_id, count(*) FILTER (t = 'hardhat') AS hardhat, count(*) FILTER (t = 'mask') AS mask, count(*) FILTER (t = 'protective_clothing') AS protective_clothing FROM x WHERE t IN ('hardhat', 'mask', 'protective_clothing') GROUP BY 1",
     "o09_visits": "SELECT row_number() OVER (ORDER BY o_orderdate DESC, o_orderdate + to_days(CAST(o_orderkey % 20 AS INTEGER)) DESC, o_orderkey) AS place, o_orderkey FROM orders QUALIFY place <= 20",
     "u01_gallery": f"WITH {PERSONS} SELECT CASE WHEN employee THEN 'employee' ELSE 'external_person' END AS subject_type, id AS subject_id, name FROM pe UNION ALL SELECT 'external_registration', CAST(s_suppkey AS VARCHAR), s_name FROM supplier",
-    "u03_schedule_rows": f"WITH {SCHEDULES} SELECT shift_date, CASE WHEN day % 10 = 0 THEN 'override' WHEN day <= 20 THEN day_ids ELSE day_ids || '*' END AS day_ids FROM sd",
+    "u03_schedule_rows": f"WITH {SCHEDULES} SELECT shift_date, CASE WHEN day % 10 = 0 THEN 'override' WHEN day % 4 <> 0 THEN day_ids ELSE day_ids || '*' END AS day_ids FROM sd WHERE day % 10 = 0 OR day % 4 <> 0 OR day % 3 <> 0",
     "u04_set_algebra": f"WITH {EVENTS}, w AS (SELECT event_id, missing AS a, lag(missing) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM ev), i AS (SELECT *, len(list_intersect(a, b)) AS n, len(a) AS x, len(b) AS y FROM w WHERE b IS NOT NULL) SELECT event_id, x + y - n AS n_union, n AS n_both, x - n AS n_new, x = n AS inside, CASE WHEN x = 0 AND y = 0 THEN true WHEN x = 0 OR y = 0 THEN false ELSE n >= 0.5 * least(x, y) END AS similar FROM i",
-    "s03_expanded_types": f"SELECT type AS name, string_agg(spelling, '|' ORDER BY i) AS spellings FROM (VALUES {_SPELL}) t(spelling, type, label, i) GROUP BY 1 UNION ALL SELECT 'new-type', 'new_type' UNION ALL SELECT ' ', ''",
+    "s03_expanded_types": f"""WITH {EVENTS}, sp AS (SELECT type AS name, spelling, i FROM (VALUES {_SPELL}) t(spelling, type, label, i) UNION ALL SELECT 'new-type', 'new_type', 0), nm AS (SELECT name, string_agg(spelling, '|' ORDER BY i) AS spellings FROM sp GROUP BY 1 UNION ALL SELECT ' ', ''),
+x AS (SELECT event_id, unnest(missing || actions) AS r FROM ev), c AS (SELECT name, count(DISTINCT event_id) AS n FROM x JOIN sp ON spelling = {_KEY.format('r')} GROUP BY 1) SELECT nm.name, spellings, coalesce(n, 0) AS events FROM nm LEFT JOIN c ON c.name = nm.name""",
     "s04_label_counts": f"WITH {EVENTS}, sp(spelling, type, label, i) AS (VALUES {_SPELL}), x AS (SELECT unnest(missing || actions) AS raw FROM ev) SELECT coalesce(label, {_KEY.format('raw')}) AS label, count(*) AS n FROM x LEFT JOIN sp ON spelling = {_KEY.format('raw')} GROUP BY 1",
     "s05_naive_times": f"WITH {_WRITTEN} SELECT event_id, plain AS at FROM wr",
     "s06_local_times": f"WITH {_WRITTEN} SELECT event_id, plain + CASE event_id % 5 WHEN 0 THEN INTERVAL 8 HOURS WHEN 3 THEN INTERVAL 810 MINUTES ELSE INTERVAL 0 HOURS END AS at FROM wr",
@@ -71,7 +72,7 @@ ORACLE_SQL = {
     "j17_on_duty": f"WITH {SCHEDULES}, {PERSONS}, x AS (SELECT shift_date, unnest({_IDS}) AS i, generate_subscripts({_IDS}, 1) - 1 AS place FROM sd) SELECT shift_date, CAST(place AS INTEGER) AS place, id, name FROM x JOIN pe ON id = i",
     "j19_missing_snapshots": f"WITH {EVENTS} SELECT camera_id, count(*) AS n, count(*) FILTER (event_id % 4 = 0) AS missing FROM ev WHERE is_violation AND key IS NOT NULL GROUP BY 1",
     "j21_without_camera": f"WITH {EVENTS} SELECT event_id, array_to_string(list_filter(cameras, lambda c: c <> 'cam_4'), ',') AS cameras FROM ev WHERE list_contains(cameras, 'cam_4')",
-    "f17_export_rows": f"WITH {EVENTS} SELECT row_number() OVER (ORDER BY ts, event_id) AS place, event_id, key FROM ev WHERE is_violation AND key IS NOT NULL QUALIFY place <= 200",
+    "f17_export_rows": f"WITH {EVENTS} SELECT row_number() OVER (ORDER BY ts, event_id) AS place, event_id, key FROM ev WHERE is_violation AND key IS NOT NULL",
     "a14_person_counters": f"WITH {EVENTS} SELECT person_id, count(*) AS events, count(*) FILTER (is_violation) AS violations, max(ts) AS last_seen FROM ev WHERE person_id IS NOT NULL GROUP BY 1",
     "a13_top_counters": f"WITH {EVENTS}, c AS (SELECT person_id, count(*) FILTER (is_violation) AS violations, max(ts) AS l FROM ev WHERE person_id IS NOT NULL GROUP BY 1) SELECT row_number() OVER (ORDER BY violations DESC, l DESC, person_id) AS place, person_id, violations FROM c QUALIFY place <= 5",
     "a11_online_cameras": f"WITH {EVENTS}, {CAMERAS} SELECT (SELECT count(*) FROM ca WHERE enabled) AS online, (SELECT max(ts) FROM ev WHERE event_type = 'view') AS last_patrol_at",

@@ -2,9 +2,9 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from sitewatch.operators.identity import checkpointed, components, links, resolved
+from sitewatch.operators.identity import components, links, resolved
+from sitewatch.sources.store import checkpointed
 
 LOOK = "event_id bigint, at bigint, key string, matched boolean, embedding array<float>, slice string, block string"
 
