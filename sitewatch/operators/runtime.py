@@ -21,17 +21,21 @@ class Limits:
     mean_ms: float = 600.0
     p95_ms: float = 1200.0
     mean_wait_ms: float = 250.0
-    mean_backlog: float = 0.5
+    p95_wait_ms: float = 600.0
+    age_ms: float = 900.0
+    persons: float = 1.5
+    backlog: float = 0.5
     skips: int = 3
     score: float = 3.0
     calm_mean_ms: float = 220.0
     calm_p95_ms: float = 350.0
+    calm_persons: float = 0.5
     warning_ratio: float = 0.85
     warning_p95_ms: float = 500.0
 
 
 #: The timings of the test tables are a tenth of what the fixed values are made for.
-LIMITS = Limits(mean_ms=550.0, p95_ms=950.0, mean_wait_ms=280.0, mean_backlog=2.0, skips=3, score=3.0, calm_mean_ms=450.0, calm_p95_ms=920.0)
+LIMITS = Limits(mean_ms=550.0, p95_ms=950.0, mean_wait_ms=280.0, p95_wait_ms=490.0, age_ms=700.0, persons=2.0, backlog=1.25, skips=3, score=3.0, calm_mean_ms=450.0, calm_p95_ms=920.0, calm_persons=1.5)
 LAST = 30
 
 
@@ -60,13 +64,15 @@ def a18_last_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def latest_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """A row for each camera: metrics of its last thirty timings, taken from those rows alone."""
+    """A row for each camera: metrics of its last thirty timings, taken from those rows alone; the age of their frames, persons and backlog are dealt by their numbers."""
     w = Window.partitionBy("camera").orderBy(F.desc("seq"))
     last = telemetry(spark, d).withColumn("r", F.row_number().over(w)).where(F.col("r") <= LAST)
     found = last.groupBy("camera").agg(
         F.count("*").alias("n"), F.sum("units").alias("units"), F.array_sort(F.collect_list("units")).alias("sorted"), F.sum("batch").alias("batches"),
+        F.array_sort(F.collect_list("batch")).alias("waits"), F.sum(F.col("order_no") % 1200).alias("age"), F.sum(F.col("line_no") % 4).alias("persons"), F.sum(F.col("order_no") % 3).alias("backlog"),
         F.count_if(F.col("batch") > 48).alias("skips"), F.max_by("shard", F.struct("seq")).alias("shard"))
     place = F.rint((F.col("n") - 1) * F.lit(0.95)).cast("int") + 1
+    found = found.withColumn("p95_wait", F.element_at("waits", place) * 10).drop("waits")
     return found.withColumn("p95_units", F.element_at("sorted", place)).withColumn("mean", F.col("units") / (F.col("n") * 10_000)).withColumn("p95", F.col("p95_units") / 10_000).drop("sorted")
 
 
@@ -103,32 +109,60 @@ def a26_shard_overview(spark: SparkSession, d: str, limits: Limits = LIMITS) ->
     return found.select("shard", "cameras", F.element_at("means", place).alias("p95_of_means"), "hot", "hottest", (F.col("hot") >= 2).alias("warning"))
 
 
-def _signs(limits: Limits) -> dict[str, Column]:
-    """Conditions that make a camera hot, in the order in which they are named."""
+def _half_up(total: str, places: int) -> Column:
+    """A mean over ``n`` rows in units of its last decimal place, as a whole number."""
+    return F.floor((F.col(total) * (2 * 10**places) + F.col("n")) / (F.col("n") * 2))
+
+
+def _spelled(number: Column, places: int) -> Column:
+    """A whole number of units of the last decimal place as text."""
+    return F.concat(F.floor(number / 10**places).cast("string"), F.lit("."), F.lpad((number % 10**places).cast("string"), places, "0"))
+
+
+def _reasons(limits: Limits) -> dict[str, tuple[Column, Column]]:
+    """What makes a camera hot, in the order in which it is named: whether it holds, and the figure shown."""
+    age, persons, backlog = _half_up("age", 1), _half_up("persons", 2), _half_up("backlog", 2)
     return {
-        "avg_latency": F.col("mean") > limits.mean_ms, "p95_latency": F.col("p95") > limits.p95_ms,
-        "avg_batch_wait": F.col("batches") * 10 > F.lit(limits.mean_wait_ms) * F.col("n"), "backpressure_skips": F.col("skips") >= limits.skips,
+        "avg_latency": (F.col("mean") > limits.mean_ms, _tenths(F.floor((F.col("units") * 10 + F.col("n") * 5000) / (F.col("n") * 10_000)))),
+        "p95_latency": (F.col("p95") > limits.p95_ms, _tenths(F.floor((F.col("p95_units") * 10 + 5000) / 10_000))),
+        "avg_batch_wait": (F.col("batches") * 10 > F.lit(limits.mean_wait_ms) * F.col("n"), _tenths(F.floor((F.col("batches") * 200 + F.col("n")) / (F.col("n") * 2)))),
+        "p95_batch_wait": (F.col("p95_wait") > limits.p95_wait_ms, _tenths(F.col("p95_wait") * 10)),
+        "latest_frame_age": (age > limits.age_ms * 10, _spelled(age, 1)),
+        "avg_person_count": (persons > limits.persons * 100, _spelled(persons, 2)),
+        "avg_backlog": (backlog > limits.backlog * 100, _spelled(backlog, 2)),
+        "backpressure_skips": (F.col("skips") >= limits.skips, F.col("skips").cast("string")),
     }
 
 
+def _hotness(limits: Limits) -> Column:
+    """Hundredths of points: a whole one for each of seven limits that is reached, and skips as a share of theirs, up to one."""
+    n, share = F.col("n"), max(1, limits.skips)
+    reached = [
+        F.col("mean") >= limits.mean_ms, F.col("p95") >= limits.p95_ms, F.col("batches") * 10 >= F.lit(limits.mean_wait_ms) * n, F.col("p95_wait") >= limits.p95_wait_ms,
+        F.col("age") >= F.lit(limits.age_ms) * n, F.col("persons") >= F.lit(limits.persons) * n, F.col("backlog") >= F.lit(limits.backlog) * n,
+    ]
+    return sum((x.cast("int") for x in reached), F.lit(0)) * 100 + F.least(F.lit(100), F.floor((F.col("skips") * 200 + share) / (2 * share)))
+
+
 def a27_hotness(spark: SparkSession, d: str, limits: Limits = LIMITS) -> DataFrame:
-    """One point for each condition that holds, and skips as a share of their limit, up to one."""
-    c = latest_metrics(spark, d)
-    points = (F.col("mean") >= limits.mean_ms).cast("int") + (F.col("p95") >= limits.p95_ms).cast("int") + (F.col("batches") * 10 >= F.lit(limits.mean_wait_ms) * F.col("n")).cast("int")
-    return c.select("camera", (points + F.least(F.lit(1.0), F.col("skips") / limits.skips)).alias("score"))
+    """One point for each of seven conditions that holds, and skips as a share of their limit, up to one."""
+    return latest_metrics(spark, d).select("camera", (_hotness(limits) / 100).alias("score"))
 
 
 def a28_recommendations(spark: SparkSession, d: str, limits: Limits = LIMITS) -> DataFrame:
-    """Whether a camera is hot, the profile for it, and why."""
-    c = latest_metrics(spark, d)
-    shown = {
-        "avg_latency": _tenths(F.floor((F.col("units") * 10 + F.col("n") * 5000) / (F.col("n") * 10_000))), "p95_latency": _tenths(F.floor((F.col("p95_units") * 10 + 5000) / 10_000)),
-        "avg_batch_wait": _tenths(F.floor((F.col("batches") * 200 + F.col("n")) / (F.col("n") * 2))), "backpressure_skips": F.col("skips").cast("string"),
-    }
-    reasons = F.array_compact(F.array(*[F.when(holds, F.concat(F.lit(f"{name}="), shown[name])) for name, holds in _signs(limits).items()]))
+    """Whether a camera is hot, the profile for it, and why: by eight limits, and where none is passed by its score alone."""
+    return recommended(latest_metrics(spark, d), limits)
+
+
+def recommended(metrics: DataFrame, limits: Limits) -> DataFrame:
+    """(camera, hot, profile, reason) of rows as ``latest_metrics`` gives them."""
+    named = F.array_compact(F.array(*[F.when(holds, F.concat(F.lit(f"{name}="), shown)) for name, (holds, shown) in _reasons(limits).items()]))
+    score = _hotness(limits)
+    by_score = F.when(score >= limits.score * 100, F.array(F.concat(F.lit("hotness_score="), _spelled(score, 2)))).otherwise(F.array().cast("array<string>"))
+    reasons = F.when(F.size(named) > 0, named).otherwise(by_score)
     hot = F.size(reasons) > 0
-    calm = (F.col("mean") < limits.calm_mean_ms) & (F.col("p95") < limits.calm_p95_ms)
-    return c.select(
+    calm = (F.col("mean") < limits.calm_mean_ms) & (F.col("p95") < limits.calm_p95_ms) & (F.col("persons") <= F.lit(limits.calm_persons) * F.col("n"))
+    return metrics.select(
         "camera", hot.alias("hot"), F.when(hot, "fast").when(calm, "accurate").otherwise("balanced").alias("profile"),
         F.when(hot, F.array_join(reasons, ",")).when(calm, "latency headroom is high").otherwise("current load is within balanced profile range").alias("reason"))
 

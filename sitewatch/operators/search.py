@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sitewatch.functions.clock import now, seconds
 from sitewatch.functions.text import ip_number, iso_naive, list_text, local_naive, polygon_points
 from sitewatch.functions.vocabulary import TYPES, event_label, expanded, matched_types, normal_key, type_label
+from sitewatch.operators.runtime import folded
 from sitewatch.sources.store import placed
 from sitewatch.sources.views import cameras, case_events, persons, safety_events, shown_events, table, typed
 
@@ -315,10 +316,27 @@ def f17_export_rows(spark: SparkSession, d: str) -> DataFrame:
     return placed(rows, [F.col("ts"), F.col("event_id")]).select("place", "event_id", "key")
 
 
-def a14_person_counters(spark: SparkSession, d: str) -> DataFrame:
-    """Counters that a service would keep up: events, violations, and when last seen, moved on only after thirty seconds."""
-    rows = safety_events(spark, d).where("person_id is not null").groupBy("person_id")
-    return rows.agg(F.count("*").alias("events"), F.count_if("is_violation").alias("violations"), F.max("ts").alias("last_seen"))
+def a14_person_counters(spark: SparkSession, d: str, touch: int = 6 * 3600) -> DataFrame:
+    """Counters that a service would keep up: events, violations, and when last seen.
+
+    A violation moves that time always; a mere sighting only when ``touch`` seconds have gone since. So only sightings after the last violation
+    are followed one by one.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = safety_events(spark, d).where("person_id is not null").select("person_id", "event_id", micros.alias("at"), "is_violation")
+    start = F.coalesce(F.max(F.when(F.col("is_violation"), F.col("at"))), F.min("at"))
+    totals = rows.groupBy("person_id").agg(F.count("*").alias("events"), F.count_if("is_violation").alias("violations"), start.alias("start"))
+
+    def step(state, row):
+        if row is None:
+            return state, [state]
+        person, seen = state or (row["person_id"], row["start"])
+        return (person, row["at"] if row["at"] - seen >= touch * 1_000_000 else seen), []
+
+    later = rows.where("not is_violation").join(totals.select("person_id", "start"), "person_id").where("at > start").select("person_id", "event_id", "at", "start")
+    moved = folded(later, ["person_id"], ["at", "event_id"], step, "person_id string, seen bigint")
+    seen = F.timestamp_micros(F.coalesce("seen", "start")).cast("timestamp_ntz")
+    return totals.join(moved, "person_id", "left").select("person_id", "events", "violations", seen.alias("last_seen"))
 
 
 def a13_top_counters(spark: SparkSession, d: str) -> DataFrame:

@@ -10,15 +10,27 @@ _LAST = "OVER (PARTITION BY camera ORDER BY seq ROWS 29 PRECEDING)"
 ROLLING = f"""{TIMINGS}, ro0 AS (SELECT *, list_sort(list(units) {_LAST}) AS last, count(*) {_LAST} AS n, sum(units) {_LAST} AS total, max(batch) {_LAST} AS top_batch FROM te),
 ro AS (SELECT *, total / (n * 10000) AS mean, last[CAST(round_even((n - 1) * 0.95, 0) AS INTEGER) + 1] / 10000 AS p95 FROM ro0)"""
 LATEST = f"""{TIMINGS}, la0 AS (SELECT *, row_number() OVER (PARTITION BY camera ORDER BY seq DESC) AS r FROM te),
-la1 AS (SELECT camera, count(*) AS n, CAST(sum(units) AS BIGINT) AS units, list_sort(list(units)) AS srt, CAST(sum(batch) AS BIGINT) AS batches, count(*) FILTER (batch > 48) AS skips, arg_min(shard, r) AS shard FROM la0 WHERE r <= 30 GROUP BY camera),
-la2 AS (SELECT *, srt[CAST(round_even((n - 1) * 0.95, 0) AS INTEGER) + 1] AS p95_units FROM la1),
+la1 AS (SELECT camera, count(*) AS n, CAST(sum(units) AS BIGINT) AS units, list_sort(list(units)) AS srt, CAST(sum(batch) AS BIGINT) AS batches, count(*) FILTER (batch > 48) AS skips, arg_min(shard, r) AS shard, list_sort(list(batch)) AS waits, CAST(sum(order_no % 1200) AS BIGINT) AS age, CAST(sum(line_no % 4) AS BIGINT) AS persons, CAST(sum(order_no % 3) AS BIGINT) AS backlog FROM la0 WHERE r <= 30 GROUP BY camera),
+la2 AS (SELECT *, srt[CAST(round_even((n - 1) * 0.95, 0) AS INTEGER) + 1] AS p95_units, waits[CAST(round_even((n - 1) * 0.95, 0) AS INTEGER) + 1] * 10 AS p95_wait FROM la1),
 la AS (SELECT *, units / (n * 10000) AS mean, p95_units / 10000 AS p95 FROM la2)"""
-HOT = f"""{LATEST}, ho0 AS (SELECT *, list_filter([
+_MEAN = "({0} * {1} + n) // (n * 2)"
+
+
+def _decimals(total: str, places: int) -> str:
+    x = _MEAN.format(total, 2 * 10**places)
+    return f"{x} // {10**places} || '.' || lpad(CAST({x} % {10**places} AS VARCHAR), {places}, '0')"
+
+
+HOT = f"""{LATEST}, ho0 AS (SELECT *, 100 * ((mean >= 550)::INT + (p95 >= 950)::INT + (batches * 10 >= 280 * n)::INT + (p95_wait >= 490)::INT + (age >= 700 * n)::INT + (persons >= 2 * n)::INT + (backlog * 4 >= 5 * n)::INT) + least(100, (skips * 200 + 3) // 6) AS score, list_filter([
   CASE WHEN mean > 550 THEN 'avg_latency=' || (units * 10 + n * 5000) // (n * 10000) // 10 || '.' || (units * 10 + n * 5000) // (n * 10000) % 10 END,
   CASE WHEN p95 > 950 THEN 'p95_latency=' || (p95_units * 10 + 5000) // 10000 // 10 || '.' || (p95_units * 10 + 5000) // 10000 % 10 END,
   CASE WHEN batches * 10 > 280 * n THEN 'avg_batch_wait=' || (batches * 200 + n) // (n * 2) // 10 || '.' || (batches * 200 + n) // (n * 2) % 10 END,
-  CASE WHEN skips >= 3 THEN 'backpressure_skips=' || skips END], lambda x: x IS NOT NULL) AS reasons FROM la),
-ho AS (SELECT *, len(reasons) > 0 AS hot, mean < 450 AND p95 < 920 AS calm FROM ho0)"""
+  CASE WHEN p95_wait > 490 THEN 'p95_batch_wait=' || p95_wait || '.0' END,
+  CASE WHEN {_MEAN.format('age', 20)} > 7000 THEN 'latest_frame_age=' || {_decimals('age', 1)} END,
+  CASE WHEN {_MEAN.format('persons', 200)} > 200 THEN 'avg_person_count=' || {_decimals('persons', 2)} END,
+  CASE WHEN {_MEAN.format('backlog', 200)} > 125 THEN 'avg_backlog=' || {_decimals('backlog', 2)} END,
+  CASE WHEN skips >= 3 THEN 'backpressure_skips=' || skips END], lambda x: x IS NOT NULL) AS named FROM la),
+ho AS (SELECT *, CASE WHEN len(named) = 0 AND score >= 300 THEN ['hotness_score=' || score // 100 || '.' || lpad(CAST(score % 100 AS VARCHAR), 2, '0')] ELSE named END AS reasons, len(named) > 0 OR score >= 300 AS hot, mean < 450 AND p95 < 920 AND persons * 2 <= 3 * n AS calm FROM ho0)"""
 _N = "order_no % 11"
 LINES = f"""{TIMINGS}, li AS (SELECT *, strftime(ts, '%Y-%m-%d %H:%M:%S') || ',000 INFO [worker] ' AS head FROM te),
 ln AS (SELECT *, CASE {_N} WHEN 7 THEN head || 'Dropping invalid frame payload' WHEN 8 THEN head || 'Skipping inference sample for camera=a' || camera || '-f' WHEN 9 THEN head || 'FRAME_TIMING {{"camera_id": "cam_' || camera
@@ -38,7 +50,7 @@ ORACLE_SQL = {
     "a20_worker_percentiles": f"WITH {TIMINGS}, r AS (SELECT shard, units, row_number() OVER (PARTITION BY shard ORDER BY units) - 1 AS i, count(*) OVER (PARTITION BY shard) AS n FROM te), f AS (SELECT shard, {_PCT.format('round_even((n - 1) * 0.5, 0)')} AS p50, {_PCT.format('round_even((n - 1) * 0.95, 0)')} AS p95 FROM r GROUP BY shard) SELECT s AS shard, coalesce((p50 + 500) // 1000 / 10, 0.0) AS p50, coalesce((p95 + 500) // 1000 / 10, 0.0) AS p95 FROM range(5) t(s) LEFT JOIN f ON shard = s",
     "a22_capacity": f"WITH {HOT}, o AS (SELECT units, row_number() OVER (ORDER BY units) - 1 AS i, count(*) OVER () AS n FROM te) SELECT (SELECT count(*) FROM te) AS n, (SELECT count(*) FROM te WHERE batch = 1) AS ones, count(*) FILTER (hot) AS hot_cameras, (SELECT count(*) FROM te WHERE batch = 1) >= 0.85 * (SELECT count(*) FROM te) AND count(*) FILTER (hot) >= 2 AND (SELECT {_PCT.format('ceil((n - 1) * 0.95)')} FROM o) > 5000000 AS warning FROM ho",
     "a26_shard_overview": f"WITH {LATEST}, s AS (SELECT shard, count(*) AS cameras, list_sort(list(mean)) AS means, count(*) FILTER (mean > 550) AS hot, list(CAST(camera AS VARCHAR) ORDER BY p95_units DESC, camera)[1:5] AS top FROM la GROUP BY shard) SELECT shard, cameras, means[CAST(round_even((cameras - 1) * 0.95, 0) AS INTEGER) + 1] AS p95_of_means, hot, array_to_string(top, ',') AS hottest, hot >= 2 AS warning FROM s",
-    "a27_hotness": f"WITH {LATEST} SELECT camera, CAST(mean >= 550 AS INTEGER) + CAST(p95 >= 950 AS INTEGER) + CAST(batches * 10 >= 280 * n AS INTEGER) + least(1.0, skips / 3) AS score FROM la",
+    "a27_hotness": f"WITH {HOT} SELECT camera, score / 100 AS score FROM ho",
     "a28_recommendations": f"WITH {HOT} SELECT camera, hot, CASE WHEN hot THEN 'fast' WHEN calm THEN 'accurate' ELSE 'balanced' END AS profile, CASE WHEN hot THEN array_to_string(reasons, ',') WHEN calm THEN 'latency headroom is high' ELSE 'current load is within balanced profile range' END AS reason FROM ho",
     "a29_rates": f"WITH {EVENTS}, e AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS tm, k % 10 = 0 AS s FROM ev), f AS (SELECT camera_id, count(*) FILTER (NOT s) AS n, count(*) FILTER (s) AS z, min(tm) FILTER (NOT s) AS a, max(tm) FILTER (NOT s) AS b FROM e GROUP BY 1) SELECT camera_id, CASE WHEN n >= 2 AND b > a THEN (n - 1) * 86400 / (b - a) END AS per_day, (z * 2000 + n + z) // ((n + z) * 2) / 1000 AS skip_ratio, CAST(epoch(TIMESTAMP '2024-01-30 23:59:59') AS BIGINT) - b AS age_s FROM f",
     "a30_batch_statistics": f"WITH {EVENTS} SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2024-01-01') AS start, count(*) AS frames, CAST(sum(k % 6) AS BIGINT) AS persons, max(k % 6) AS most, count(DISTINCT camera_id) AS cameras, count(*) FILTER (k % 6 >= 4) AS complex FROM ev GROUP BY 1",

@@ -25,6 +25,9 @@ CAMERAS = """ca AS (SELECT 'cam_' || s_suppkey AS camera_id, floor, CASE WHEN s_
   FROM (SELECT *, ['一楼', '二楼', ' 三楼', '室外', '地下', '四楼'][CAST(s_suppkey % 6 + 1 AS INTEGER)] AS floor FROM supplier))"""
 SCHEDULES = """sd0 AS (SELECT CAST(o_orderdate AS DATE) AS shift_date, CAST(min(o_custkey) AS VARCHAR) AS x, CAST(max(o_custkey) AS VARCHAR) AS y FROM orders GROUP BY 1),
 sd AS (SELECT shift_date, datediff('day', DATE '1992-01-01', shift_date) AS day, CASE WHEN day % 7 = 0 THEN x WHEN day % 2 = 0 THEN '["' || x || '", "' || y || '"]' ELSE x || ' , ,' || y END AS day_ids FROM sd0)"""
+COUNTERS = """pc0 AS (SELECT person_id, ts, is_violation, row_number() OVER (PARTITION BY person_id ORDER BY ts, event_id) AS r FROM ev WHERE person_id IS NOT NULL),
+pc AS (SELECT person_id, r, ts AS seen FROM pc0 WHERE r = 1 UNION ALL SELECT o.person_id, o.r, CASE WHEN o.is_violation OR o.ts - seen >= INTERVAL 6 HOURS THEN o.ts ELSE seen END FROM pc JOIN pc0 o ON o.person_id = pc.person_id AND o.r = pc.r + 1),
+co AS (SELECT person_id, count(*) AS events, count(*) FILTER (is_violation) AS violations, (SELECT arg_max(seen, r) FROM pc WHERE pc.person_id = pc0.person_id) AS last_seen FROM pc0 GROUP BY 1)"""
 SETTINGS = "st AS (SELECT TIMESTAMP '2024-01-01' + to_days(CAST(n_nationkey * 7 % 25 AS INTEGER)) AS updated_at, n_regionkey + 1 AS interval_hours, n_nationkey FROM nation)"
 _NAMES = ", ".join(f"({i + 1}, '{t}', '{LABELS[t]}')" for i, t in enumerate(TYPES))
 _RAW = ", ".join(f"('{k}', '{v}')" for k, v in {**RAW_LABELS, **LABELS}.items())
@@ -73,8 +76,8 @@ x AS (SELECT event_id, unnest(missing || actions) AS r FROM ev), c AS (SELECT na
     "j19_missing_snapshots": f"WITH {EVENTS} SELECT camera_id, count(*) AS n, count(*) FILTER (event_id % 4 = 0) AS missing FROM ev WHERE is_violation AND key IS NOT NULL GROUP BY 1",
     "j21_without_camera": f"WITH {EVENTS} SELECT event_id, array_to_string(list_filter(cameras, lambda c: c <> 'cam_4'), ',') AS cameras FROM ev WHERE list_contains(cameras, 'cam_4')",
     "f17_export_rows": f"WITH {EVENTS} SELECT row_number() OVER (ORDER BY ts, event_id) AS place, event_id, key FROM ev WHERE is_violation AND key IS NOT NULL",
-    "a14_person_counters": f"WITH {EVENTS} SELECT person_id, count(*) AS events, count(*) FILTER (is_violation) AS violations, max(ts) AS last_seen FROM ev WHERE person_id IS NOT NULL GROUP BY 1",
-    "a13_top_counters": f"WITH {EVENTS}, c AS (SELECT person_id, count(*) FILTER (is_violation) AS violations, max(ts) AS l FROM ev WHERE person_id IS NOT NULL GROUP BY 1) SELECT row_number() OVER (ORDER BY violations DESC, l DESC, person_id) AS place, person_id, violations FROM c QUALIFY place <= 5",
+    "a14_person_counters": f"WITH RECURSIVE {EVENTS}, {COUNTERS} SELECT * FROM co",
+    "a13_top_counters": f"WITH RECURSIVE {EVENTS}, {COUNTERS} SELECT row_number() OVER (ORDER BY violations DESC, last_seen DESC, person_id) AS place, person_id, violations FROM co QUALIFY place <= 5",
     "a11_online_cameras": f"WITH {EVENTS}, {CAMERAS} SELECT (SELECT count(*) FROM ca WHERE enabled) AS online, (SELECT max(ts) FROM ev WHERE event_type = 'view') AS last_patrol_at",
     "a31_life_sets": f"WITH {EVENTS} SELECT user_id, CAST(ts AS DATE) AS day, coalesce(array_to_string(list_sort(list_distinct(flatten(list(missing)))), '|'), '') AS missing FROM ev WHERE is_violation GROUP BY ALL",
     "a32_active_by_source": f"WITH {EVENTS}, l AS (SELECT source, arg_max(is_violation, (ts, event_id)) AS open FROM ev GROUP BY user_id, source) SELECT source, count(*) AS active FROM l WHERE open GROUP BY 1",
