@@ -46,3 +46,12 @@ p AS (SELECT anchor_id, vec_id AS positive_id, score FROM s WHERE label = own QU
 SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
 FROM p JOIN s USING (anchor_id) WHERE s.label <> s.own AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
 QUALIFY rank <= 5"""
+
+_COSINE = "list_dot_product(a.q, b.q) / sqrt(list_dot_product(a.q, a.q) * list_dot_product(b.q, b.q))"
+OP8 = f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) AND {_COSINE} >= 0.9),
+rc AS (SELECT vec_id AS n, vec_id AS r FROM embeddings UNION SELECT rc.n, p.b FROM rc JOIN p ON rc.r = p.a),
+co AS (SELECT n AS vec_id, min(r) AS component_id FROM rc GROUP BY 1),
+ln AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY 1)
+SELECT co.vec_id, coalesce(n, 0) AS n_links, component_id, co.vec_id = component_id AS kept FROM co LEFT JOIN ln ON ln.vec_id = co.vec_id"""

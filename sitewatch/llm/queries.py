@@ -79,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: In DuckDB's SQL, of the queries that it can express.
-ORACLE_SQL: dict[str, str] = {"op11_conversation_repair": oracles.OP11, "op13_hard_negatives": oracles.OP13}
+ORACLE_SQL: dict[str, str] = {"op8_cover_tree": oracles.OP8, "op11_conversation_repair": oracles.OP11, "op13_hard_negatives": oracles.OP13}

@@ -312,3 +312,20 @@ def test_first_of_many_parts():
     slot, score, ids = best.first()
     want = [x for s in range(9) for x in sorted((x for x in every if x[0] == s), key=lambda x: (-x[1], x[2]))[:3]]
     assert list(zip(slot.tolist(), score.tolist(), ids.tolist())) == want
+
+
+def test_near_vectors_by_sql(spark, tmp_path):
+    """Groups of vectors that drift apart, chains among them, and vectors that link with nothing."""
+    rng = np.random.default_rng(5)
+    rows, v = [], None
+    for i in range(240):
+        v = rng.normal(size=8) if i % 6 == 0 else v + rng.normal(size=8) * 0.2
+        rows.append((i, [float(x) for x in v], i % 10))
+    rows += [(240, None, 1), (241, [0.0] * 8, 1), (242, [float("nan")] * 8, 1), (243, [], 1), (244, rows[7][1], 1), (245, [1.0, 2.0], 1), (246, [2.0, 4.0], 1)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    cursor = con.execute(ORACLE_SQL["op8_cover_tree"])
+    names = [c[0] for c in cursor.description]
+    want = Counter(tuple(str(x) for _, x in sorted(zip(names, r))) for r in cursor.fetchall())
+    assert sum(int(k[3]) for k in want) > 200 and by_spark("op8_cover_tree", spark, str(tmp_path)) == want
