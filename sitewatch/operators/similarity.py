@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sitewatch.operators.cells import best, comparable, through_cells, units
 from sitewatch.sources.views import table
 
-#: Bytes of query vectors that go to every task; more of them are joined block by block.
+#: Bytes of query vectors that go to every task; more of them search the index.
 BROADCAST = 64 << 20
 #: Subjects of a query that leave a task.
 KEPT = 12
@@ -27,46 +28,30 @@ def cosine(a: str, b: str) -> Column:
     return F.when(lengths <= 1e-8, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col(a), F.col(b)) / lengths)))
 
 
-def _unit(vectors: list) -> np.ndarray:
-    x = np.array(vectors, float)
-    length = np.sqrt((x * x).sum(1))[:, None]
-    return np.divide(x, length, out=np.zeros_like(x), where=length > 1e-8)
-
-
-def nearest(queries: DataFrame, subjects: DataFrame, kept: int = KEPT) -> DataFrame:
+def nearest(queries: DataFrame, subjects: DataFrame, kept: int = KEPT, most: int | None = None) -> DataFrame:
     """(query, subject, label, score, rank): the ``kept`` best subjects of each query other than itself, by cosine and then id.
 
-    ``queries``: query, q; ``subjects``: subject, s, label. Queries within ``BROADCAST`` bytes go to all tasks as one matrix, and a
-    task's subjects meet them by matrix products, of which the best of each query leave the task. More
-    queries are joined with blocks of subjects, as many as the subjects' number asks for.
+    ``queries``: query, q; ``subjects``: subject, s, label; ids are unique in each. Vectors that are null, of another width than the queries'
+    widest or hold a null or non-finite component take no part; one without length has the score 0. Queries of at most ``most`` bytes (``BROADCAST``) go
+    to all tasks as one matrix, and a task's subjects meet them by matrix products, of which the best of each query leave
+    the task. More queries search an index of cells (``operators.cells``), with the same result.
     """
     n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(1))).first()
-    if 8 * n * width <= BROADCAST:
-        rows = queries.orderBy("query").collect()  # of a checked size
-        ids, matrix = np.array([r["query"] for r in rows], np.int64), _unit([r["q"] for r in rows]) if rows else np.zeros((0, 1))
+    if 8 * n * width <= (BROADCAST if most is None else most):
+        rows = queries.where(F.col("query").isNotNull() & comparable("q", width)).orderBy("query").collect()  # of a checked size
+        ids, matrix = np.array([r["query"] for r in rows], np.int64), units(pa.array([r["q"] for r in rows], pa.list_(pa.float64())))
         shared = subjects.sparkSession.sparkContext.broadcast((ids, matrix))
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, m = shared.value
             for b in batches:
-                if not len(own) or not b.num_rows:
-                    continue
-                subject = b.column(0).to_numpy()
-                scores = np.clip(_unit(b.column(1).to_pylist()) @ m.T, -1, 1)
-                scores[subject[:, None] == own[None, :]] = -2
-                order = np.lexsort((np.broadcast_to(subject[:, None], scores.shape), -scores), axis=0)[:kept]
-                row, column = order.ravel(), np.tile(np.arange(len(own)), len(order))
-                real = scores[row, column] > -2
-                row, column = row[real], column[real]
-                yield pa.RecordBatch.from_arrays([pa.array(own[column]), pa.array(subject[row]), b.column(2).take(pa.array(row)), pa.array(scores[row, column])], ["query", "subject", "label", "score"])
+                if len(shared.value[0]) and b.num_rows:
+                    yield from best(*shared.value, b.column(0).to_numpy(), units(b.column(1)), b.column(2), kept)
 
         label = subjects.schema["label"].dataType.simpleString()
-        found = subjects.select("subject", "s", "label").mapInArrow(each, f"query bigint, subject bigint, label {label}, score double")
+        usable = subjects.where(F.col("subject").isNotNull() & comparable("s", width))
+        found = usable.select("subject", "s", "label").mapInArrow(each, f"query bigint, subject bigint, label {label}, score double")
     else:
-        blocks = max(16, int(subjects.count() // 4096))
-        rows = subjects.withColumn("block", F.pmod(F.xxhash64("subject"), F.lit(blocks)))
-        asked = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-        found = asked.join(rows, "block").where("query <> subject").select("query", "subject", "label", cosine("q", "s").alias("score"))
+        found = through_cells(queries, subjects, width, kept)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "subject")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= kept)
 
@@ -113,6 +98,11 @@ def j10_known_samples(spark: SparkSession, d: str, least: float = 0.15) -> DataF
     return ranked.groupBy("query").agg(F.min_by(F.struct("subject", "label"), "rank").alias("s")).select("query", "s.subject", F.col("s.label").alias("person"))
 
 
+def j08_indexed_subjects(spark: SparkSession, d: str, kept: int = 5) -> DataFrame:
+    """Five best subjects of each query through the index of cells, whatever the queries' size."""
+    return nearest(*_gallery(spark, d), kept, most=0).select("query", "rank", "subject", F.round("score", 6).alias("cosine"))
+
+
 def j11_nearest_centroids(spark: SparkSession, d: str) -> DataFrame:
     """The person whose mean vector is nearest to each query; a person is few numbers, a query stays one row."""
     queries, subjects = _gallery(spark, d)

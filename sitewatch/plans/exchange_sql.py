@@ -10,6 +10,7 @@ SCORES = f"sc AS (SELECT q.vec_id AS query, s.vec_id AS subject, s.label, {_COS}
 
 ORACLE_SQL = {
     "j09_registry": f"WITH {SCORES} SELECT query, rank, subject, CASE subject % 3 WHEN 0 THEN 'employee' WHEN 1 THEN 'external_person' ELSE 'external_registration' END AS kind, round(score, 4) AS cosine, score >= 0.2 AS strong FROM rk WHERE rank <= 10",
+    "j08_indexed_subjects": f"WITH {SCORES} SELECT query, CAST(rank AS INTEGER) AS rank, subject, round(score, 6) AS cosine FROM rk WHERE rank <= 5",
     "j10_known_samples": f"WITH {SCORES} SELECT query, arg_min(subject, rank) AS subject, arg_min(label, rank) AS person FROM rk WHERE rank <= 5 AND score >= 0.15 AND label <> 3 GROUP BY query",
     "j11_nearest_centroids": "WITH c AS (SELECT label, list(m ORDER BY place) AS embedding FROM (SELECT label, place, avg(x) AS m FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS place FROM embeddings) GROUP BY ALL) GROUP BY label), "
     f"sc AS (SELECT q.vec_id AS query, s.label, {_COS} AS score FROM embeddings q, c s WHERE q.vec_id % 100 = 0) SELECT query, arg_max(label, score) AS person, round(max(score), 4) AS cosine FROM sc GROUP BY query",
