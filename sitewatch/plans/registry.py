@@ -8,6 +8,7 @@ from sitewatch.functions.vocabulary import TYPES
 from sitewatch.operators import dashboard, exchange, identity, lifecycle, runtime, search, similarity, spatial, telemetry, temporal, tracking
 from sitewatch.plans import exchange_sql, identity_sql, lifecycle_sql, runtime_sql, search_sql, spatial_sql, tracking_sql
 from sitewatch.streaming import lifecycle as stream_lifecycles
+from sitewatch.streaming import requests as stream_requests
 
 #: The modules whose queries are registered under their functions' names.
 MODULES = (dashboard, exchange, identity, lifecycle, runtime, search, similarity, spatial, telemetry, temporal, tracking)
@@ -20,7 +21,7 @@ def _queries(module) -> dict:
 
 
 QUERIES = {name: f for module in MODULES for name, f in _queries(module).items()}
-QUERIES |= {f.__name__: f for f in (stream_lifecycles.stream_lifecycle, stream_lifecycles.stream_temporal)}
+QUERIES |= {f.__name__: f for f in (stream_lifecycles.stream_lifecycle, stream_lifecycles.stream_temporal, stream_requests.stream_requests)}
 
 _EV = """ev0 AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, 'cam_' || CAST(user_id % 16 AS VARCHAR) AS camera_id FROM events),
 ev AS (SELECT *, CASE WHEN k % 10 <> 0 THEN CAST(user_id AS VARCHAR) END AS person_id,
@@ -97,4 +98,5 @@ ORACLE_SQL = {
 }
 ORACLE_SQL |= search_sql.ORACLE_SQL | runtime_sql.ORACLE_SQL | lifecycle_sql.ORACLE_SQL | spatial_sql.ORACLE_SQL | exchange_sql.ORACLE_SQL | identity_sql.ORACLE_SQL | tracking_sql.ORACLE_SQL
 ORACLE_SQL["stream_lifecycle"] = ORACLE_SQL["st06_lifecycle_with_rotation"]
+ORACLE_SQL["stream_requests"] = ORACLE_SQL["j13_answered_requests"]
 ORACLE_SQL["stream_temporal"] = f"SELECT 'binary' AS mode, * FROM ({ORACLE_SQL['st02_temporal_binary']}) UNION ALL SELECT 'confident' AS mode, * FROM ({ORACLE_SQL['st03_temporal_confidence']})"
