@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewatch.functions.vocabulary import matched_types
+from sitewatch.sources.dumps import dump_lines, dumped
 from sitewatch.sources.views import case_events, safety_events, table
-
-#: Columns of a dumped event, as far as the exports need them.
-DUMP = ["event_id", "camera_id", "source", "is_violation", "bucket", "key", "path"]
+from sitewatch.streaming.replay import shared_folder
 
 
 def packed(meta: Column, payload: Column) -> Column:
@@ -61,23 +60,28 @@ def io09_decoded_vectors(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vec_id", F.size(e).alias("n"), e[0].cast("double").alias("a"), e[1].cast("double").alias("b"), e[63].cast("double").alias("c"))
 
 
-def dump_lines(rows: DataFrame) -> DataFrame:
-    r"""Rows as lines of a table dump: tabs between the columns, \N for null."""
-    return rows.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in DUMP]).alias("line"))
-
-
-def parsed_dump(lines: DataFrame) -> DataFrame:
-    """Rows of dump lines; lines with another number of columns (heads, ends, other tables) are left out."""
-    parts = F.split("line", "\t")
-    rows = lines.where(F.size(parts) == len(DUMP)).select(*[F.nullif(parts[i], F.lit("\\N")).alias(c) for i, c in enumerate(DUMP)])
-    return rows.withColumn("event_id", F.col("event_id").cast("bigint")).withColumn("is_violation", F.col("is_violation").cast("boolean"))
+def dump_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Events with the 34 columns of a dump; lists are JSON, notes hold tabs, line ends and backslashes."""
+    e, k = case_events(spark, d), F.col("k")
+    note = F.when(k % 6 != 0, F.concat(F.lit("seen\tat "), "camera_id", F.lit("\n\\N\\"), F.col("event_id").cast("string")))
+    frame = F.col("event_id")
+    listed = {c: F.to_json(c) for c in ("missing", "actions", "stored", "cameras")}
+    flags = {f"bit_{i}": F.shiftright(k, i).bitwiseAND(F.lit(1)) == 1 for i in range(7)}
+    return e.select(
+        "event_id", "ts", "user_id", "event_type", "value", "k", "camera_id", "person_id", "source", "is_violation", "person_name", "bucket", "key", "path",
+        *[x.alias(c) for c, x in listed.items()], *[x.alias(c) for c, x in flags.items()],
+        (frame - 3).alias("start_frame"), F.when(k % 3 != 0, frame + k).alias("end_frame"), F.to_date("ts").alias("day"), (k / 100).alias("confidence"),
+        (k % 4).alias("level"), F.when(k % 5 == 0, "").otherwise(F.col("event_type")).alias("danger"), (F.col("user_id") % 7).alias("shard"), note.alias("note"),
+        F.when(k % 2 == 0, F.col("ts") + F.expr("interval 90 seconds")).alias("ended_at"))
 
 
 def io12_dumped_events(spark: SparkSession, d: str) -> DataFrame:
-    """Violations with a stored snapshot, read back from a dump between its head and its end."""
-    around = spark.createDataFrame([("COPY events FROM stdin;",), ("\\.",), ("a\tb",)], "line string")
-    rows = parsed_dump(dump_lines(case_events(spark, d)).unionByName(around))
-    return rows.where("is_violation and bucket is not null and key is not null").select("event_id", "camera_id", "source", "key", "path")
+    """Violations with a stored snapshot, read back from dumps of all events, which lie in the session's shared folder."""
+    folder = shared_folder(spark)
+    dump_lines(dump_columns(spark, d), "public.events").write.text(folder)
+    wanted = "event_id bigint, camera_id string, source string, key string, path string, note string, is_violation boolean, bucket string"
+    rows = dumped(spark, folder, "public.events", wanted)
+    return rows.where("is_violation and bucket is not null and key is not null").select("event_id", "camera_id", "source", "key", "path", "note")
 
 
 def io16_created_events(spark: SparkSession, d: str) -> DataFrame:

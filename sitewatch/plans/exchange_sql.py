@@ -20,7 +20,7 @@ ORACLE_SQL = {
     "st21_expired_requests": f"WITH {EVENTS}, e AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS t, k % 2 = 0 AS asks FROM ev), w AS (SELECT *, first_value(CASE WHEN NOT asks THEN t END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS at_ FROM e) SELECT camera_id, count(*) AS expired FROM w WHERE asks AND (at_ IS NULL OR at_ - t > 43200) GROUP BY 1",
     "io08_packed_frames": f"WITH {EVENTS} SELECT event_id, CAST(4 + strlen('{{\"camera\": \"' || camera_id || '\"}}') + 2 * (k % 5) AS INTEGER) AS bytes, '{{\"camera\": \"' || camera_id || '\"}}' AS meta, repeat('é', k % 5) AS payload FROM ev",
     "io09_decoded_vectors": "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[64] AS DOUBLE) AS c FROM embeddings",
-    "io12_dumped_events": f"WITH {EVENTS} SELECT event_id, camera_id, source, key, path FROM ev WHERE is_violation AND key IS NOT NULL",
+    "io12_dumped_events": f"WITH {EVENTS} SELECT event_id, camera_id, source, key, path, CASE WHEN k % 6 <> 0 THEN 'seen' || chr(9) || 'at ' || camera_id || chr(10) || chr(92) || 'N' || chr(92) || event_id END AS note FROM ev WHERE is_violation AND key IS NOT NULL",
     "io15_object_keys": f"WITH {EVENTS} SELECT event_id, 'violation/prod/' || strftime(ts, '%Y/%m/%d') || '/' || camera_id || '/' || event_id || '.jpg' AS key FROM ev WHERE is_violation",
     "io16_created_events": f"WITH {EVENTS} SELECT event_id, array_to_string(cameras, ',') AS cameras, array_to_string(types, ',') AS types, CASE WHEN k % 4 = 0 THEN event_id ELSE event_id - 3 END AS start_frame FROM ev WHERE is_violation",
     "io17_closed_events": f"WITH {EVENTS} SELECT event_id, CASE WHEN k % 3 <> 0 THEN event_id + k END AS end_frame, CASE WHEN k % 3 <> 0 THEN k + 1 + CASE WHEN k % 4 = 0 THEN 0 ELSE 3 END END AS duration FROM ev WHERE is_violation",
