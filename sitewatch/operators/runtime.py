@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from sitewatch.functions.clock import now, seconds
 from sitewatch.operators.telemetry import ceiled, half_even, ranked_values
+from sitewatch.sources.logs import BY_COLUMN, hourly_lines, write_hourly
 from sitewatch.sources.views import boxes, cameras, log_lines, safety_events, telemetry
+from sitewatch.streaming.replay import shared_folder
 
 
 @dataclass(frozen=True)
@@ -207,6 +209,18 @@ def io10_log_lines(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(kind.alias("kind"), F.col("at").isNull().alias("timeless")).agg(F.count("*").alias("n"))
 
 
+def io10_log_tree(spark: SparkSession, d: str, start: str = "1996-01-01", end: str = "1998-12-31") -> DataFrame:
+    """Lines of a range by component and what they say, from files by month in the session's shared folder; months outside aren't opened.
+
+    A line without a time counts where its file does."""
+    root = shared_folder(spark)
+    lines = log_lines(spark, d).select(F.concat(F.lit("worker-"), (F.col("place.camera") % 4).cast("string")).alias("component"), "ts", "line")
+    write_hourly(lines, root, "month")  # the table's times are days, a few lines each
+    rows = parsed_lines(hourly_lines(spark, root, start, end, ["worker-0", "worker-1", "worker-3"], BY_COLUMN, "month"), start, end)
+    kind = F.when(F.col("timing.camera_id").isNotNull(), "timing").when(F.col("line").contains("FRAME_TIMING"), "broken").otherwise("notice")
+    return rows.groupBy("component", kind.alias("kind"), F.col("at").isNull().alias("timeless")).agg(F.count("*").alias("n"))
+
+
 def io11_timings(spark: SparkSession, d: str) -> DataFrame:
     """Timings parsed from the lines' JSON, per camera and stage."""
     rows = parsed_lines(log_lines(spark, d)).where("timing.camera_id is not null")

@@ -11,8 +11,10 @@ from sitewatch.functions.clock import now, seconds
 from sitewatch.functions.text import ip_number, iso_naive, list_text, local_naive, polygon_points
 from sitewatch.functions.vocabulary import TYPES, event_label, expanded, matched_types, normal_key, type_label
 from sitewatch.operators.runtime import folded
+from sitewatch.sources.archives import archive_index, with_bytes, write_archives
 from sitewatch.sources.store import placed
 from sitewatch.sources.views import cameras, case_events, persons, safety_events, shown_events, table, typed
+from sitewatch.streaming.replay import shared_folder
 
 #: Order of the floors; others come last.
 FLOORS = {"一楼": 1, "二楼": 2, "三楼": 3, "四楼": 4, "室外": 5, "户外": 5}
@@ -380,12 +382,23 @@ def f09_exemption(spark: SparkSession, d: str) -> DataFrame:
     return one.agg((F.count("*") > 0).alias("exempt"))
 
 
-def io13_archive_index(spark: SparkSession, d: str) -> DataFrame:
-    """Members of an archive by the object key at the end of their names; the first member of a key counts."""
+def archive_members(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots in four archives; every fifth is there twice, one half of those first in the archive that comes before all others."""
     e = case_events(spark, d).where("key is not null")
-    members = e.select(F.col("event_id").alias("place"), F.concat(F.lit("part-"), (F.col("event_id") % 3).cast("string"), F.lit("/store/"), "key").alias("name"))
-    members = members.unionByName(members.where("place % 5 = 0").select((F.col("place") + 1_000_000).alias("place"), F.concat(F.lit("again/store/"), F.substring_index("name", "/store/", -1)).alias("name")))
-    return members.groupBy(F.substring_index("name", "/store/", -1).alias("key")).agg(F.min_by("name", "place").alias("member"))
+    own, n = F.concat(F.lit("part-"), (1 + F.col("event_id") % 3).cast("string")), F.col("event_id").cast("string")
+    body = F.concat(F.lit("snap "), n, F.repeat(F.lit("."), (F.col("event_id") % 50).cast("int")))
+    first = e.select(own.alias("archive"), F.col("event_id").alias("place"), F.concat(F.lit("own/store/"), "key").alias("name"), body.cast("binary").alias("data"))
+    archive = F.when(F.col("event_id") % 10 == 0, "part-0").otherwise(own)
+    again = e.where("event_id % 5 = 0").select(archive.alias("archive"), F.lit(1 << 40).alias("place"), F.concat(F.lit("again/store/"), "key").alias("name"), F.concat(F.lit("again "), n).cast("binary").alias("data"))
+    return first.unionByName(again)
+
+
+def io13_archive_index(spark: SparkSession, d: str) -> DataFrame:
+    """Members of archives by the object key at the end of their names; the first member of a key counts, and only it is read."""
+    folder = shared_folder(spark)
+    write_archives(archive_members(spark, d), folder).agg(F.sum("members")).collect()  # one row; the files are what it is run for
+    rows = with_bytes(archive_index(spark, folder))
+    return rows.select("key", F.substring_index("path", "/", -1).alias("part"), "member", "size", F.md5("data").alias("md5"))
 
 
 def io14_exported_rows(spark: SparkSession, d: str) -> DataFrame:

@@ -56,6 +56,7 @@ ORACLE_SQL = {
     "a30_batch_statistics": f"WITH {EVENTS} SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2024-01-01') AS start, count(*) AS frames, CAST(sum(k % 6) AS BIGINT) AS persons, max(k % 6) AS most, count(DISTINCT camera_id) AS cameras, count(*) FILTER (k % 6 >= 4) AS complex FROM ev GROUP BY 1",
     "s34_complexity": f"WITH {BOXES} SELECT frame, count(*) FILTER (kind = 'person') AS persons, count(*) AS complexity FROM bx GROUP BY 1",
     "io10_log_lines": f"WITH {PARSED} SELECT CASE WHEN camera_id IS NOT NULL THEN 'timing' WHEN line LIKE '%FRAME_TIMING%' THEN 'broken' ELSE 'notice' END AS kind, tm IS NULL AS timeless, count(*) AS n FROM ps WHERE tm IS NULL OR tm BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-12-31' GROUP BY ALL",
+    "io10_log_tree": f"WITH {PARSED} SELECT 'worker-' || camera % 4 AS component, CASE WHEN camera_id IS NOT NULL THEN 'timing' WHEN line LIKE '%FRAME_TIMING%' THEN 'broken' ELSE 'notice' END AS kind, tm IS NULL AS timeless, count(*) AS n FROM ps WHERE ts BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-12-31' AND camera % 4 <> 2 GROUP BY ALL",
     "io11_timings": f"WITH {PARSED} SELECT camera_id, stg AS stage, count(*) AS n, CAST(sum(u) AS BIGINT) AS units, max(bt) AS batch FROM ps WHERE camera_id IS NOT NULL GROUP BY ALL",
     "a24_latest_payloads": f"WITH {PARSED}, r AS (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY tm DESC, order_no DESC, line_no DESC, camera DESC, units DESC, batch DESC, stage DESC) AS r FROM ps WHERE camera_id IS NOT NULL) SELECT camera_id, stg AS stage, u AS units, bt AS batch FROM r WHERE r = 1",
     "a25_log_counters": f"WITH {LINES} SELECT 'invalid frames' AS name, count(*) FILTER (line LIKE '%Dropping invalid frame payload%') AS n FROM ln UNION ALL SELECT 'expired identities', count(*) FILTER (line LIKE '%Expired pending async identity update%') FROM ln UNION ALL SELECT 'a' || camera || '-f', count(*) FROM ln WHERE {_N} = 8 GROUP BY camera",

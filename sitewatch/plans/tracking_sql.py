@@ -37,7 +37,7 @@ SELECT frame, obj, ident AS identity FROM f""",
     "s16_box_shapes": f"WITH {BOXES} SELECT obj, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, y2 AS bottom, w * h AS area, h / w AS aspect FROM bx",
     "s17_in_scaled_zone": f"WITH {BOXES} SELECT obj FROM bx WHERE {_scaled('((x1 + x2) / 2)', 'y2')}",
     "f09_exemption": "SELECT count(*) > 0 AS exempt FROM orders WHERE o_orderdate <= TIMESTAMP '1998-06-30 12:00:00' AND o_orderdate + to_days(CAST(o_orderkey % 20 AS INTEGER)) >= TIMESTAMP '1998-06-30 12:00:00'",
-    "io13_archive_index": f"WITH {EVENTS} SELECT key, 'part-' || event_id % 3 || '/store/' || key AS member FROM ev WHERE key IS NOT NULL",
+    "io13_archive_index": f"WITH {EVENTS}, m AS (SELECT 1 + event_id % 3 AS p, event_id AS place, 'own/store/' || key AS member, key, 'snap ' || event_id || repeat('.', event_id % 50) AS body FROM ev WHERE key IS NOT NULL UNION ALL SELECT CASE WHEN event_id % 10 = 0 THEN 0 ELSE 1 + event_id % 3 END, event_id + 1099511627776, 'again/store/' || key, key, 'again ' || event_id FROM ev WHERE key IS NOT NULL AND event_id % 5 = 0) SELECT key, 'part-' || min(p) || '.tar' AS part, arg_min(member, (p, place)) AS member, length(arg_min(body, (p, place))) AS size, md5(arg_min(body, (p, place))) AS md5 FROM m GROUP BY key",
     "io14_exported_rows": f"WITH {EVENTS} SELECT event_id, ts, key FROM ev WHERE is_violation AND key IS NOT NULL",
     "s30_file_names": f"WITH {EVENTS} SELECT event_id, 'snap_' || event_id || '.jpg' AS base, strftime(ts, '%Y-%m-%d_%H-%M-%S') || '.jpg' AS export FROM ev WHERE path IS NOT NULL",
     "s31_formatted": f"WITH {EVENTS}, nm(k_, v) AS (VALUES {_NAMES}) SELECT event_id, CASE event_id % 5 WHEN 0 THEN (SELECT v FROM nm WHERE k_ = 'fall_detected') WHEN 1 THEN (SELECT v FROM nm WHERE k_ = 'hardhat') WHEN 2 THEN (SELECT v FROM nm WHERE k_ = 'safety_shoes') WHEN 3 THEN 'New Kind Of Thing' ELSE (SELECT v FROM nm WHERE k_ = 'gloves') END AS label, CASE event_id % 5 WHEN 0 THEN '人员 #' || user_id WHEN 1 THEN '轨迹 #' || user_id WHEN 4 THEN CAST(user_id AS VARCHAR) ELSE '未知人员' END AS person FROM ev",

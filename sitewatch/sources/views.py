@@ -72,7 +72,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = (
         F.when(n == 7, F.concat(head, F.lit("Dropping invalid frame payload"))).when(n == 8, F.concat(head, F.lit("Skipping inference sample for camera=a"), F.col("camera").cast("string"), F.lit("-f")))
         .when(n == 9, F.concat(head, F.lit('FRAME_TIMING {"camera_id": "'), cam)).when(n == 10, F.lit("Expired pending async identity update")).otherwise(timing))
-    return t.select(line.alias("line"), F.struct("order_no", "line_no", "camera", "units", "batch", "stage").alias("place"))
+    return t.select("ts", line.alias("line"), F.struct("order_no", "line_no", "camera", "units", "batch", "stage").alias("place"))
 
 
 def case_events(spark: SparkSession, sf_dir: str) -> DataFrame:
