@@ -415,8 +415,11 @@ def arrow_type(field: str) -> pa.DataType:
 
 
 def st01_sampled_frames(spark: SparkSession, d: str, gap: int = 14_400) -> DataFrame:
-    """Frames that a camera processes: the first, then one at each slot; a slot is the last one plus the gap, or now if that is past."""
-    rows = safety_events(spark, d).select("camera_id", "event_id", seconds(F.col("ts")).alias("at"))
+    """Frames that a camera processes: the first, then one at each slot; a slot is the last one plus the gap, or now if that is past.
+
+    Of one second's frames only the first can be processed; the others go before the shuffle, so a camera's fold grows with time alone.
+    """
+    rows = safety_events(spark, d).groupBy("camera_id", seconds(F.col("ts")).alias("at")).agg(F.min("event_id").alias("event_id"))
 
     def step(due, row):
         if row is None or (due is not None and row["at"] < due):
