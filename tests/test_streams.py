@@ -136,3 +136,17 @@ def test_replay_of_an_empty_table(spark, tmp_path):
 
     none = spark.createDataFrame([], FRAME)
     assert replayed(none, lifecycle_events, F.lit(0.0), F.col("ts")).count() == 0
+
+
+def test_many_persons_share_a_group_of_the_state(spark, tmp_path):
+    """Persons in a few buckets, one without an id: each has a lifecycle of their own, and the state has a key a bucket."""
+    rng = random.Random(9)
+    frames = [frame(rng.choice([None, *range(40)]), k, rng.randrange(24 * 20), rng.choice([0, 1, 3]), rng.choice([0, 0, 2])) for k in range(400)]
+    last = [frame(99, 999, 24 * 300)]
+    for batch in (frames, last):
+        spark.createDataFrame(batch, FRAME).write.mode("append").parquet(f"{tmp_path}/in")
+        read_to_end(lifecycle_events(spark.readStream.schema(FRAME).parquet(f"{tmp_path}/in"), idle=90 * 86_400, buckets=3), str(tmp_path))
+        if batch is frames:
+            store = spark.read.format("statestore").option("path", f"{tmp_path}/checkpoint").option("stateVarName", "waiting").load()
+            assert store.select("key").distinct().count() <= 3
+    assert sorted((tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()), key=str) == events_of(frames)
