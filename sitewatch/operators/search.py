@@ -382,15 +382,23 @@ def f09_exemption(spark: SparkSession, d: str) -> DataFrame:
     return one.agg((F.count("*") > 0).alias("exempt"))
 
 
+#: Places of a volume, as a power of two.
+VOLUME = 16
+
+
 def archive_members(spark: SparkSession, d: str) -> DataFrame:
-    """Snapshots in four archives; every fifth is there twice, one half of those first in the archive that comes before all others."""
+    """Snapshots in four archives; every fifth is there twice, one half of those first in the archive that comes before all others.
+
+    An archive is a folder of volumes in the order of their members' places, so that no task writes or reads more than a volume.
+    """
     e = case_events(spark, d).where("key is not null")
     own, n = F.concat(F.lit("part-"), (1 + F.col("event_id") % 3).cast("string")), F.col("event_id").cast("string")
     body = F.concat(F.lit("snap "), n, F.repeat(F.lit("."), (F.col("event_id") % 50).cast("int")))
-    first = e.select(own.alias("archive"), F.col("event_id").alias("place"), F.concat(F.lit("own/store/"), "key").alias("name"), body.cast("binary").alias("data"))
-    archive = F.when(F.col("event_id") % 10 == 0, "part-0").otherwise(own)
-    again = e.where("event_id % 5 = 0").select(archive.alias("archive"), F.lit(1 << 40).alias("place"), F.concat(F.lit("again/store/"), "key").alias("name"), F.concat(F.lit("again "), n).cast("binary").alias("data"))
-    return first.unionByName(again)
+    first = e.select(own.alias("part"), F.col("event_id").alias("place"), F.concat(F.lit("own/store/"), "key").alias("name"), body.cast("binary").alias("data"))
+    part = F.when(F.col("event_id") % 10 == 0, "part-0").otherwise(own)
+    again = e.where("event_id % 5 = 0").select(part.alias("part"), (F.col("event_id") + (1 << 40)).alias("place"), F.concat(F.lit("again/store/"), "key").alias("name"), F.concat(F.lit("again "), n).cast("binary").alias("data"))
+    volume = F.format_string("%s/%012d/%s", "part", F.shiftright("place", VOLUME), "part")
+    return first.unionByName(again).select(volume.alias("archive"), "place", "name", "data")
 
 
 def io13_archive_index(spark: SparkSession, d: str) -> DataFrame:

@@ -61,32 +61,45 @@ def archive_index(spark: SparkSession, path: str, mark: str = "/store/") -> Data
     return rows.groupBy(F.substring_index("member", mark, -1).alias("key")).agg(first).select("key", "m.path", "m.member", "m.offset", "m.size")
 
 
-def with_bytes(index: DataFrame) -> DataFrame:
-    """Rows of an index (with path, offset, size) and their members' bytes as ``data``; rows are sorted by place, so that an archive is opened
-    once a task and read forwards. A member is in memory alone."""
+def with_bytes(index: DataFrame, stretch: int = 64 << 20, held: int = 4 << 20) -> DataFrame:
+    """Rows of an index (with path, offset, size) and their members' bytes as ``data``.
+
+    Rows go to a task by stretches of ``stretch`` bytes of an archive and are sorted by place, so that an archive is opened by few
+    tasks and read forwards. Some ``held`` bytes of members are in memory, or one member.
+    """
     names = index.columns
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = file = None
         for whole in batches:
-            for i in range(whole.num_rows):
-                row = whole.slice(i, 1)
-                p, offset, size = (row.column(names.index(c))[0].as_py() for c in ("path", "offset", "size"))
+            done, size_held, data = 0, 0, []
+
+            def filled(end: int) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([*whole.slice(done, end - done).columns, pa.array(data, pa.binary())], [*names, "data"])
+
+            places = zip(*(whole.column(names.index(c)).to_pylist() for c in ("path", "offset", "size")))
+            for i, (p, offset, size) in enumerate(places):
+                if data and size_held + size > held:
+                    yield filled(i)
+                    done, size_held, data = i, 0, []
                 if p != path:
                     if file is not None:
                         file.close()
                     system, place = opened(p)
                     path, file = p, system.open_input_file(place)
-                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([file.read_at(size, offset)], pa.binary())], [*names, "data"])
+                data.append(file.read_at(size, offset))
+                size_held += size
+            if data:
+                yield filled(whole.num_rows)
         if file is not None:
             file.close()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema) + ", data binary"
-    return index.sortWithinPartitions("path", "offset").mapInArrow(each, schema)
+    return index.repartition("path", F.floor(F.col("offset") / stretch)).sortWithinPartitions("path", "offset").mapInArrow(each, schema)
 
 
 def write_archives(members: DataFrame, folder: str) -> DataFrame:
-    """Write ``members`` (archive, place, name, data) as ``folder``/archive.tar, members by place; (archive, members) when it is run.
+    """Write ``members`` (archive, place, name, data) as ``folder``/archive.tar, whose name may have folders, members by place; (archive, members) when it is run.
 
     Spark sorts, and a task streams its archives one after the other. An archive that a repeated task writes again replaces the same file.
     """
@@ -107,7 +120,7 @@ def write_archives(members: DataFrame, folder: str) -> DataFrame:
                     if tar is not None:
                         yield over()
                     system, place = opened(folder)
-                    system.create_dir(place)
+                    system.create_dir(f"{place}/{a}".rsplit("/", 1)[0])
                     archive, n, out = a, 0, system.open_output_stream(f"{place}/{a}.tar")
                     tar = tarfile.open(fileobj=out, mode="w|")
                 entry = tarfile.TarInfo(name)

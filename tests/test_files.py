@@ -68,3 +68,13 @@ def test_archives(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)header"):
         archive_index(spark, str(tmp_path / "t")).collect()
     assert write_archives(frame.where("false"), str(tmp_path / "u")).collect() == []
+
+
+def test_archives_of_many_volumes_give_the_same_index(spark, monkeypatch):
+    from sitewatch.operators import search
+
+    whole = sorted(tuple(r) for r in search.io13_archive_index(spark, DATA).collect())
+    monkeypatch.setattr(search, "VOLUME", 4)
+    sizes = search.archive_members(spark, DATA).groupBy("archive").count().collect()
+    assert len(sizes) > 20 and max(r["count"] for r in sizes) <= 16
+    assert sorted(tuple(r) for r in search.io13_archive_index(spark, DATA).collect()) == whole and whole
