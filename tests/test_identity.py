@@ -79,3 +79,15 @@ def test_no_observations(spark):
     assert found.count() == 0 and resolved(none, found).count() == 0
     lone = spark.createDataFrame([(1, 0, "k", False, [1.0], "", "")], LOOK)
     assert [tuple(r) for r in resolved(lone, links(lone, 4, 0.9)).select("key", "identity").collect()] == [("k", "k")]
+
+
+def test_a_row_goes_to_few_tasks_and_scores_at_the_bound_count(spark):
+    from sitewatch.operators.identity import BLOCK, _blocked
+
+    full = spark.range(20_000).selectExpr("id as event_id", "id as at")  # one slice
+    assert _blocked(full, 4, BLOCK).agg({"blocks": "max"}).first()[0] == 1
+    bound = [0.9, float(np.sqrt(1 - 0.81))]  # cosine 0.9 to nine places, though not in single precision
+    rows = [(1, 0, "k", False, [1.0, 0.0], "x", "y"), (2, 1, "k", False, bound, "x", "y"), (3, 2, "k", False, [0.8999, 0.43609], "x", "y")]
+    wide = spark.createDataFrame(rows, LOOK.replace("array<float>", "array<double>"))
+    assert {r["event_id"]: r["seen_id"] for r in links(wide.where("event_id < 3"), 4, 0.9).collect()} == {2: 1}
+    assert links(wide.where("event_id <> 2"), 4, 0.9).count() == 0
