@@ -53,7 +53,10 @@ def replayed(rows: DataFrame, form: Callable[[DataFrame], DataFrame], delay: Col
     batches = [rows]
     if span["a"] is not None:
         width = (span["b"] - span["a"]) / parts + 1e-3
-        batches = [rows.where(F.floor((at - span["a"]) / width) == k).sortWithinPartitions(F.xxhash64("ts")) for k in range(parts)]
+        dealt = rows.where(at.isNotNull()).withColumn("arrival", F.floor((at - span["a"]) / width).cast("int"))  # once, however many batches there are
+        dealt.sortWithinPartitions("arrival", F.xxhash64("ts")).write.partitionBy("arrival").parquet(f"{folder}/all")
+        dealt = spark.read.schema(dealt.schema).parquet(f"{folder}/all")
+        batches = [dealt.where(F.col("arrival") == k).drop("arrival") for k in range(parts)]
         over = spark.range(1).select(F.lit(span["last"]).cast("timestamp").alias("ts")).select(end.alias("ts"))
         batches.append(over.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]))
     for batch in batches:
